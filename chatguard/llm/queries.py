@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import urlrules, vafile
+from chatguard.llm import mixing, packing, reshard, urlrules, vafile
+from chatguard.llm.store import keep
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +22,34 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.exact_top_k(vectors, vectors.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return rows.select("seq_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", F.crc32("position_ids").alias("positions_crc32"))
+
+
+def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.xxhash64("source"), F.lit(16))
+    rows = reshard.reshard(_table(spark, sf_dir, "documents"), old, old_shards=16, new_shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlrules.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", "verdict")
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = keep(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size")), "mix-sizes")
+    mixed = mixing.mix_to_targets(sized)
+    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op3_token_packing": op3_token_packing,
+    "op6_flow_reshard": op6_flow_reshard,
     "op8_url_filter": op8_url_filter,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
