@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import mixing, packing, reshard, urlrules, vafile
+from chatguard.llm import dartminhash, mixing, packing, reshard, urlrules, vafile
 from chatguard.llm.store import keep
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", F.crc32("position_ids").alias("positions_crc32"))
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicate_classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.xxhash64("source"), F.lit(16))
     rows = reshard.reshard(_table(spark, sf_dir, "documents"), old, old_shards=16, new_shards=24)
@@ -47,6 +51,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_token_packing": op3_token_packing,
+    "op4_dart_minhash": op4_dart_minhash,
     "op6_flow_reshard": op6_flow_reshard,
     "op8_url_filter": op8_url_filter,
     "op10_mix_sources": op10_mix_sources,
