@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import dartminhash, mixing, packing, reshard, urlrules, vafile
+from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.exact_top_k(vectors, vectors.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
     return rows.select("seq_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", F.crc32("position_ids").alias("positions_crc32"))
@@ -31,6 +35,17 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicate_classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
+
+
 def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.xxhash64("source"), F.lit(16))
     rows = reshard.reshard(_table(spark, sf_dir, "documents"), old, old_shards=16, new_shards=24)
@@ -42,6 +57,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", "verdict")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = maintext.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = keep(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size")), "mix-sizes")
     mixed = mixing.mix_to_targets(sized)
@@ -50,10 +70,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_packing": op3_token_packing,
     "op4_dart_minhash": op4_dart_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_flow_reshard": op6_flow_reshard,
     "op8_url_filter": op8_url_filter,
+    "op9_main_text": op9_main_text,
     "op10_mix_sources": op10_mix_sources,
 }
 
