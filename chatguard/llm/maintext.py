@@ -178,7 +178,6 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(out).split())
 
 
-@F.pandas_udf("string")
 def _extracted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([main_text(p) for p in part], dtype="object")
@@ -189,4 +188,4 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", to: str = "ma
 
     Null and empty pages give an empty text. Pages are read one by one: repeated rows come out alike.
     """
-    return pages.withColumn(to, _extracted(F.col(html_column)))
+    return pages.withColumn(to, F.pandas_udf(_extracted, "string")(F.col(html_column)))
