@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, reshard, toxicity, urlrules, vafile
+from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, pii, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -52,6 +52,11 @@ def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlrules.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", "verdict")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dart_minhash": op4_dart_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_flow_reshard": op6_flow_reshard,
+    "op7_personal_data": op7_personal_data,
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_mix_sources": op10_mix_sources,
