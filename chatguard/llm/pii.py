@@ -351,7 +351,7 @@ def tagged(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
     return tags
 
 
-def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 3, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 300) -> Network:
+def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 5, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 300) -> Network:
     """A network from labelled pieces plus planted values set into them; deterministic for the same pieces."""
     rng = np.random.default_rng(seed)
     contexts = [p for p, spans in pieces if not spans] or ["the order of and in"]
