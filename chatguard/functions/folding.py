@@ -24,6 +24,8 @@ _SHORTCODE = re.compile(rf":({'|'.join(SHORTCODES)})(?:::skin-tone-\d)?:")
 _unit = "|".join(sorted(UNITS, key=len, reverse=True))
 _NUMBER = re.compile(rf"\b(?:(?P<tens>{'|'.join(TENS)})(?:[\s-]+(?P<ones>{_unit}))?|(?P<teen>{'|'.join(TEENS)})|(?P<unit>{_unit}))\b", re.I)
 _REPEAT = re.compile(rf"\b({'|'.join(REPEATS)})[\s-]+(\d)", re.I)
+_NAMES = frozenset({*UNITS, *TEENS, *TENS, *REPEATS})
+_TOKEN = re.compile(r"\w+")
 _RUN = re.compile(r"(?<!\S)[\dOoIl|ZSB]+(?:\s+[\dOoIl|ZSB]+)*(?!\S)")
 _SWAP = str.maketrans(LOOKALIKES)
 _BETWEEN = re.compile(r"(?<=\d)[\W_]{1,3}(?=\d)")
@@ -63,6 +65,8 @@ def fold_chars(text: str) -> str:
 
 
 def fold_number_words(text: str) -> str:
+    if _NAMES.isdisjoint(_TOKEN.findall(text.lower())):
+        return text
     return _REPEAT.sub(lambda m: m[2] * REPEATS[m[1].lower()], _NUMBER.sub(_number, text))
 
 
@@ -81,5 +85,5 @@ def fold_text(text: str) -> str:
 
 
 def disguised_digits(text: str, folded: str) -> int:
-    """How many digits only appear by folding."""
-    return sum(c.isdigit() for c in folded) - sum("0" <= c <= "9" for c in text)
+    """How many digits only appear by folding; a folded text holds no digits but ASCII ones."""
+    return sum(map(folded.count, "0123456789")) - sum(map(text.count, "0123456789"))

@@ -6,14 +6,15 @@ BASE = 1725000000
 
 
 def _check_digit(body: str, n: int) -> str:
-    """SQL for the digit that completes an n-digit body (its last digit is doubled)."""
-    terms = []
-    for k in range(1, n + 1):
-        d = f"CAST(substr({body}, {k}, 1) AS INT)"
-        terms.append(f"(CASE WHEN {d} > 4 THEN {d} * 2 - 9 ELSE {d} * 2 END)" if (n - k) % 2 == 0 else d)
+    """SQL for the digit that completes an n-digit body; the column <body>2 holds its digits doubled and cast out."""
+    terms = [f"CAST(substr({body}{'2' if (n - k) % 2 == 0 else ''}, {k}, 1) AS INT)" for k in range(1, n + 1)]
     return f"CAST((10 - ({' + '.join(terms)}) % 10) % 10 AS STRING)"
 
 
+def _doubled(body: str) -> str:
+    return f"translate({body}, '0123456789', '0246813579') AS {body}2"
+
+
 def _words(digits: str) -> str:
     """SQL that spells the digits of a string as emoji shortcodes."""
     out = digits
@@ -47,12 +48,13 @@ SELECT id, event_id, channel, author, sent_at, rn, card, sin, CASE rn % 16
     WHEN 14 THEN concat('order ', CAST(event_id AS STRING), ' of 2024')
     ELSE concat('call 555-0', substr(card, 3, 3)) END AS text
 FROM (SELECT *, concat(body, {_check_digit('body', 15)}) AS card, concat(sinbody, {_check_digit('sinbody', 8)}) AS sin
-      FROM (SELECT concat('e.', CAST(event_id AS STRING)) AS id, event_id, event_type AS channel, author, CAST({BASE} + event_id * 3 AS DOUBLE) AS sent_at, rn,
+      FROM (SELECT *, {_doubled('body')}, {_doubled('sinbody')} FROM (
+            SELECT concat('e.', CAST(event_id AS STRING)) AS id, event_id, event_type AS channel, author, CAST({BASE} + event_id * 3 AS DOUBLE) AS sent_at, rn,
                    concat('4', lpad(CAST((CAST(floor(rn / 16) AS BIGINT) * 7919 + uid * 104729 + length(event_type) * 31) % 100000000000 AS STRING), 11, '0'), '731') AS body,
                    concat('4', lpad(CAST((event_id * 7919) % 10000000 AS STRING), 7, '0')) AS sinbody
             FROM (SELECT event_id, event_type, user_id % 5 AS uid, concat('u', CAST(user_id % 5 AS STRING)) AS author,
                          row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY event_id) - 1 AS rn
-                  FROM events) e0) e1) e2"""
+                  FROM events) e0) e1) e1b) e2"""
 
 JOBS_EVENTS = f"""
 SELECT event_id AS id, concat('k', CAST(event_id AS STRING)) AS dedupe, CASE WHEN event_id % 3 = 0 THEN 'deep' ELSE 'triage' END AS topic, user_id % 4 AS lane,

@@ -411,7 +411,8 @@ _SYNTH = f"""g AS (SELECT CAST(range AS BIGINT) AS n FROM range((SELECT count(*)
         concat('4', {_pad(2, 10000000, 7)}, {_pad(3, 10000000, 7)}) AS cb, concat(CAST({_roll(4, 7)} + 1 AS VARCHAR), {_pad(5, 10000000, 7)}) AS sb,
         concat(lpad(CAST({_roll(6, 600)} + 1 AS VARCHAR), 3, '0'), '-', {_pad(7, 100, 2)}, '-', {_pad(8, 10000, 4)}) AS ssn, concat('AKIA', {_pad(9, 100000000, 8)}, {_pad(10, 100000000, 8)}) AS key,
         concat('AT', {_pad(11, 100, 2)}, {_pad(12, 100000000, 8)}, {_pad(13, 100000000, 8)}) AS iban FROM g),
-    c AS (SELECT *, concat(cb, {V._check_digit('cb', 15)}) AS card, concat(sb, {V._check_digit('sb', 8)}) AS sin FROM k),
+    d AS (SELECT *, {V._doubled('cb')}, {V._doubled('sb')} FROM k),
+    c AS (SELECT *, concat(cb, {V._check_digit('cb', 15)}) AS card, concat(sb, {V._check_digit('sb', 8)}) AS sin FROM d),
     s AS (SELECT *, CASE kind WHEN 'card' THEN concat(substr(card, 1, 4), ' ', substr(card, 5, 4), ' ', substr(card, 9, 4), ' ', substr(card, 13)) WHEN 'sin' THEN concat(substr(sin, 1, 3), ' ', substr(sin, 4, 3), ' ', substr(sin, 7))
         WHEN 'ssn' THEN ssn WHEN 'key' THEN key WHEN 'iban' THEN iban ELSE concat(substr(card, 1, 4), '-', substr(card, 5, 4), '-', substr(card, 9, 4), '-', substr(card, 13, 3), CAST((CAST(right(card, 1) AS INT) + 1) % 10 AS VARCHAR)) END AS value,
         CASE kind WHEN 'shape' THEN 'my card number is ' WHEN 'clean' THEN 'tracking code ' ELSE ['please use ', 'here you go: ', 'note '][{_roll(14, 3)} + 1] END AS lead,
