@@ -46,7 +46,7 @@ def _raw_events(spark: SparkSession, d: str) -> DataFrame:
     again = base.filter("event_id % 25 = 0").withColumn("delivery", F.lit(1))
     late = F.concat((F.col("ts").cast("double") + 60).cast("long").cast("string"), F.lit(".000200"))
     edited = F.struct(F.col("user"), F.col("ts"), F.concat("text", F.lit(" (edited)")).alias("text"), none.alias("subtype"), F.col("bot_id"), none.alias("thread_ts"), F.struct(late.alias("ts")).alias("edited"))
-    edits = base.filter("event_id % 20 = 0").withColumns({"message": edited.cast(inner), "subtype": F.lit("message_changed"), "delivery": F.lit(2)})
+    edits = base.filter("event_id % 20 = 0").withColumns({"message": edited, "subtype": F.lit("message_changed"), "delivery": F.lit(2)})
     edits = edits.withColumns({"user": none, "text": none, "bot_id": none})
     return base.unionByName(again).unionByName(edits)
 
