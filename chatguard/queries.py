@@ -381,13 +381,35 @@ def stream_once(spark, d):
     return _streamed(spark, d, build, "append")
 
 
+def stream_lane(spark, d):
+    """The lane with state over messages of the events table; texts are made per row, so the stream needs no window."""
+    def build(events):
+        n, half = F.col("event_id"), F.col("event_id") % 4
+        card = D.luhn_complete(F.concat(F.lit("4"), F.lpad((F.floor(n / 4) * 7919 % 100000000000).cast("string"), 11, "0"), F.lit("731")))
+        text = F.when(half == 0, F.left(card, F.lit(8))).when(half == 1, F.substr(card, F.lit(9))).when(half == 2, "that is all").otherwise("see you")
+        rows = events.select(F.concat(F.lit("e."), n.cast("string")).alias("id"), F.concat(F.lit("c"), (n % 12 / 4).cast("int").cast("string")).alias("channel"), F.concat(F.lit("u"), (n % 20 / 4).cast("int").cast("string")).alias("author"), (F.lit(float(V.BASE)) + n * 3).alias("at"), text.alias("text"))
+        rows = detect.scan_messages(rows).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", "10 minutes")
+        acted = P.decision(F.col("findings"), F.col("channel"), F.lit(False), P.DEFAULT_POLICY)["action"]
+        return streaming.stream_rules_lane(rows.withColumn("removes", acted.isin(schemas.REMOVING)), ["CREDIT_CARD", "CA_SIN"])
+
+    return _streamed(spark, d, build, "append").select("id", "removed", "split_entity", F.array_join("related", ",").alias("related"))
+
+
+def stream_last(spark, d):
+    def build(events):
+        return streaming.stream_cursors(events.select(F.col("event_type").alias("channel"), (F.lit(V.BASE) + F.col("event_id") * 3).cast("string").alias("ts")))
+
+    rows = _streamed(spark, d, build, "update")
+    return E.channel_cursors(rows.withColumnRenamed("last_ts", "ts"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         card_counts, digit_checks, text_checks, masked_fingerprints, plain_texts, intake, cursors, missed, seeds, named_messages, restores, chains, sessions,
         rule_join, rule_decisions, triggers, rule_checks, located, rebuilt, usage, removals, outgoing, notices, releases, audit_lines, routing, top_counts, latency,
         job_lanes, dead_jobs, health, claims, retries, pruned, coverage, model_ranking, archive_scan, document_scan, conversation_scan, rules_lane, model_checks,
-        model_decisions, folded_texts, synth_labels, precision, stream_rollup, stream_once,
+        model_decisions, folded_texts, synth_labels, precision, stream_rollup, stream_once, stream_lane, stream_last,
     )
 }
 
@@ -544,5 +566,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(floor(({V.BASE} + event_id) / 3600) * 3600 AS BIGINT) AS window_start, event_type AS channel, CASE WHEN event_id % 11 = 0 THEN 'mask' ELSE 'allow' END AS action, count(*) AS n,
                CAST(sum(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS model_calls FROM events GROUP BY ALL""",
     "stream_once": f"SELECT DISTINCT concat(event_type, '.', {V.BASE} + event_id - event_id % 5 % 2) AS event_key, event_type AS channel FROM events",
+    "stream_last": f"SELECT event_type AS channel, CAST(max({V.BASE} + event_id * 3) AS VARCHAR) AS last_ts FROM events GROUP BY event_type",
     "conversation_scan": f"WITH c AS ({V.MSGS_CONV}) SELECT author, count(*) AS messages, CAST(0 AS BIGINT) AS findings FROM c GROUP BY author",
 }

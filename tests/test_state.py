@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
-from chatguard import sources, streaming
+from chatguard import queries, sources, streaming
 from chatguard.functions.spans import part_of, split_hit
 from chatguard.operators import decide, policy as P, report as R, windows as W
 
@@ -75,6 +76,11 @@ def test_stream_lane_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(key, batch.collect()))
 
 
+def test_stream_lane_query_finds_splits(spark):
+    rows = queries.stream_lane(spark, DATA).collect()
+    assert any(r["split_entity"] == "CREDIT_CARD" for r in rows) and any(not r["removed"] for r in rows)
+
+
 def test_routing_is_idempotent(spark, tmp_path):
     frame = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "id string, removed boolean")
     frame.write.parquet(str(tmp_path / "in"))
