@@ -12,7 +12,7 @@ from chatguard.functions.spans import Part, all_spans, decode_codebook, encoded_
 from chatguard.schemas import CODEBOOK, FINDING, FINDINGS
 
 _WORDS = sorted({*UNITS, *TEENS, *TENS, *REPEATS}, key=lambda w: (-len(w), w))
-GATE = r"(?iu)[0-9]|[^\x00-\x7F]|" + "|".join(_WORDS)
+GATE = rf"(?i)[0-9]|[^\x00-\x7F]|\b(?:keycap_ten|{'|'.join(w for w in _WORDS if w.isascii())})\b"
 SCAN = f"struct<findings:{FINDINGS},folded:string,groups:array<string>,disguised:int,encoded:boolean>"
 SPLIT = "struct<entity:string,indexes:array<int>,confidence:double>"
 PART = "struct<folded:string,groups:array<string>,disguised:int>"
@@ -36,11 +36,13 @@ def scan_messages(messages: DataFrame, text: str = "text", gate: bool = True) ->
     """messages with findings, folded, groups, disguised and encoded of every text.
 
     Texts that the gate passes by go round Python: no findings, folded equals the text. Such a text can still
-    look encoded by few distinct words, which the JVM cannot count over running windows, so texts of 13 words
-    and more always go through. Null texts count as empty.
+    look encoded by few distinct words in a row; that takes 13 words with three repeats, or emoji codes, so texts
+    with either go through. Null texts count as empty.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    through = (may_hold_digits(body) | (F.size(F.split(body, r"[^\p{L}]+")) >= 13) | (F.size(F.split(body, ":")) > 8)) if gate else F.lit(True)
+    words = F.filter(F.split(F.lower(body), "[^a-z]+"), lambda w: w != "")
+    repeats = (F.size(words) >= 13) & (F.size(words) - F.size(F.array_distinct(words)) >= 3)
+    through = (may_hold_digits(body) | repeats | (F.size(F.split(body, ":")) > 4)) if gate else F.lit(True)
 
     @F.pandas_udf(SCAN)
     def scan(texts: pd.Series) -> pd.DataFrame:
