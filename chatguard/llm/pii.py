@@ -396,11 +396,11 @@ def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int =
 def train(docs: DataFrame, text: str = "text", max_docs: int = 4000, max_pieces: int = 1500, **options) -> Network:
     """Fit on a bounded sample: about max_docs documents by a hash of their text, at most max_pieces pieces of them."""
     n = docs.count()
-    share = min(1.0, max_docs / max(1, n))
-    some = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)))
+    share = min(1 << 40, (max_docs << 40) // max(1, n))
+    some = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share))
     width = WINDOW // 2 + 16
     pieces = some.mapInPandas(lambda x: _sampled(x, width), "piece string, starts array<int>, ends array<int>, kinds array<int>")
-    ranked = pieces.orderBy(F.size("kinds") == 0, F.xxhash64("piece"), "piece").limit(max_pieces).collect()
+    ranked = pieces.dropDuplicates(["piece"]).orderBy(F.size("kinds") == 0, F.xxhash64("piece"), "piece").limit(max_pieces).collect()
     return train_on([(r["piece"], list(zip(r["starts"], r["ends"], r["kinds"], strict=True))) for r in ranked], **options)
 
 

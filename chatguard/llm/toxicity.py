@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: i
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marks.count()
     if n > max_rows:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < max(1, (max_rows << 40) // n))
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = keep(sample, "toxic-sample")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
