@@ -13,7 +13,7 @@ from chatguard import schemas, streaming
 from chatguard.functions import digits as D
 from chatguard.operators import decide, detect, events as E, policy as P, report as R, windows as W
 from chatguard.plans import scan, views as V
-from chatguard.sources import synth
+from chatguard.sources import shared_folder, synth
 
 KEY = "archive-key"
 NOW = V.BASE + 5000.0
@@ -348,13 +348,7 @@ def precision(spark, d):
 
 def _streamed(spark, d, build, mode: str, schema=None) -> DataFrame:
     """Run a stream over the events table to its end; the result table lies in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="chatguard-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    place = f"{shared.rstrip('/')}/chatguard/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/chatguard/stream-{uuid.uuid4().hex}"
     table = spark.read.parquet(f"{d}/events.parquet")
     source = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")  # a glob, so that a single file may stand there
     out = build(source)

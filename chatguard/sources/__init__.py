@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,19 @@ from pyspark.sql import functions as F
 from chatguard import schemas
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (local tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not folder:
+            folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="chatguard-")
+    return folder.rstrip("/")
+
+
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Raw chat events from JSON lines; fields that are missing are null."""
     reader = spark.readStream if stream else spark.read
