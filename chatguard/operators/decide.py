@@ -60,7 +60,7 @@ def model_plan(decided: DataFrame) -> DataFrame:
 def attach_model_responses(messages: DataFrame, responses: DataFrame) -> DataFrame:
     """messages with columns single_reply, window_reply, encoded_reply (structs or null) from responses (id, kind, body, model, usage).
 
-    body is the model's JSON. A missing or unreadable response leaves null; errors counts asked checks without one.
+    body is the model's JSON. A missing or unreadable response leaves null; model_errors counts asked checks without one.
     """
     kinds = {"single": f"struct<findings:{SINGLE}>", "window": f"struct<reconstructed:{WINDOW}>", "encoded": "struct<tokens:array<struct<token:string,digit:string>>>"}
     read = responses.groupBy("id").agg(*[

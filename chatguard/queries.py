@@ -90,7 +90,7 @@ def _stored(spark, d):
 
 
 def cursors(spark, d):
-    return E.channel_cursors(_stored(spark, d).filter("event_id % 3 = 0"))
+    return E.channel_cursors(_stored(spark, d))
 
 
 def missed(spark, d):
@@ -110,7 +110,7 @@ def _dims(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     channels = events.filter("event_type <> 'click'").select(F.col("event_type").alias("channel"), F.concat(F.lit("c-"), "event_type").alias("name")).distinct()
     users = events.select("user_id").distinct().select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("Person "), F.col("user_id").cast("string"))).alias("real_name"), (F.col("user_id") % 37 == 0).alias("is_restricted"), F.struct(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("nick"), F.col("user_id").cast("string"))).alias("display_name")).alias("profile"))
-    members = events.filter("event_id % 9 = 0").groupBy(F.col("event_type").alias("channel")).agg(F.slice(F.array_sort(F.collect_set("user_id")), 1, 60).alias("ids")).select("channel", F.transform("ids", lambda i: F.concat(F.lit("u"), i.cast("string"))).alias("members"))
+    members = events.groupBy(F.col("event_type").alias("channel")).agg(F.slice(F.array_sort(F.collect_set("user_id")), 1, 60).alias("ids")).select("channel", F.transform("ids", lambda i: F.concat(F.lit("u"), i.cast("string"))).alias("members"))
     return channels, users, members
 
 
@@ -175,7 +175,7 @@ def rule_checks(spark, d):
         F.when(F.col("event_id") % 41 == 0, "CARD").otherwise("CREDIT_CARD").alias("entity"), F.when(F.col("event_id") % 43 == 0, "drop").otherwise("mask").alias("action"), F.when(F.col("event_id") % 47 == 0, "me").alias("subject"),
         F.when(F.col("event_id") % 53 == 0, 1.5).alias("min_confidence"), F.lit(False).alias("only_with_guests"), F.lit("").alias("message"),
     )
-    channels = e.filter("event_id % 60 = 0").select(F.concat(F.when(F.col("event_id") % 120 == 0, "#").otherwise(""), F.lit("c"), F.col("event_id").cast("string")).alias("channel"), F.when(F.col("event_id") % 180 == 0, "often").alias("trigger"), F.lit(False).alias("hold"), F.lit(None).cast("string").alias("risk"))
+    channels = e.select(F.concat(F.when(F.col("event_id") % 60 == 7, "").otherwise("#"), F.lit("c"), F.col("event_id").cast("string")).alias("channel"), F.when(F.col("event_id") % 180 == 9, "often").alias("trigger"), F.lit(False).alias("hold"), F.lit(None).cast("string").alias("risk"))
     return P.rule_problems(rules, channels)
 
 
@@ -188,7 +188,7 @@ def located(spark, d):
 
 
 def rebuilt(spark, d):
-    m = _msgs(spark, d).filter("rn % 16 in (10, 11)")
+    m = _msgs(spark, d)
     texts = F.array(F.left("card", F.lit(8)), F.substr("card", F.lit(9)))
     value = F.when(F.col("event_id") % 2 == 0, F.col("card")).otherwise(F.concat(F.substr("card", F.lit(9)), F.left("card", F.lit(8))))
     numbers = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0)))
@@ -473,7 +473,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_M}, {_RAW}
         SELECT event_key, author, CAST(ts AS DOUBLE) AS "at", text FROM stored
         UNION ALL SELECT concat(event_key, '.e', CAST(CAST(sent_at AS BIGINT) + 60 AS VARCHAR), '.000200'), author, CAST(concat(CAST(CAST(sent_at AS BIGINT) + 60 AS VARCHAR), '.000200') AS DOUBLE), concat(text, ' (edited)') FROM stored WHERE event_id % 20 = 0""",
-    "cursors": f"WITH {_M}, {_RAW} SELECT channel, arg_max(ts, CAST(ts AS DECIMAL(20, 6))) AS last_ts FROM stored WHERE event_id % 3 = 0 GROUP BY channel",
+    "cursors": f"WITH {_M}, {_RAW} SELECT channel, arg_max(ts, CAST(ts AS DECIMAL(20, 6))) AS last_ts FROM stored GROUP BY channel",
     "missed": f"""
         WITH {_M}, {_RAW}, c AS (SELECT channel, max(CAST(ts AS DECIMAL(20, 6))) AS last FROM stored WHERE CAST(ts AS DOUBLE) < {V.BASE + 2000} GROUP BY channel)
         SELECT channel, ts, event_key FROM stored JOIN c USING (channel) WHERE CAST(ts AS DECIMAL(20, 6)) > last AND event_key NOT IN (SELECT event_key FROM stored WHERE event_id % 2 = 0)""",
@@ -481,7 +481,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_M}, {_RAW}, c AS (SELECT channel, max(CAST(ts AS DOUBLE)) AS last FROM stored WHERE CAST(ts AS DOUBLE) < {V.BASE + 2000} GROUP BY channel)
         SELECT channel, ts, event_key FROM stored JOIN c USING (channel) WHERE CAST(ts AS DOUBLE) <= last AND CAST(ts AS DOUBLE) >= least(last, {V.BASE + 1990 - 180})""",
     "named_messages": f"""
-        WITH {_M}, mem AS (SELECT event_type AS channel, unnest(list_sort(list(DISTINCT user_id))[1:50]) AS u FROM events WHERE event_id % 9 = 0 GROUP BY event_type),
+        WITH {_M}, mem AS (SELECT event_type AS channel, unnest(list_sort(list(DISTINCT user_id))[1:50]) AS u FROM events GROUP BY event_type),
         g AS (SELECT channel, bool_or(u % 37 = 0) AS guests FROM mem GROUP BY channel), us AS (SELECT DISTINCT user_id FROM events)
         SELECT id, CASE WHEN m.channel <> 'click' THEN concat('c-', m.channel) ELSE '' END AS channel_name, coalesce(guests, false) AS guests,
                CASE WHEN user_id IS NULL THEN 'someone' WHEN user_id % 2 = 0 THEN concat('nick', user_id) WHEN user_id % 3 = 0 THEN 'someone' ELSE concat('Person ', user_id) END AS display_name
@@ -507,17 +507,17 @@ ORACLE_SQL: dict[str, str] = {
     "triggers": f"WITH {_A} SELECT id, CASE channel WHEN 'click' THEN 'always' WHEN 'view' THEN 'never' ELSE 'on_uncertain' END AS trigger, channel = 'click' AND action NOT IN ('mask', 'block') AS held FROM a",
     "rule_checks": """
         WITH r AS (SELECT *, concat('r', event_id - CASE WHEN event_id % 50 = 1 THEN 1 ELSE 0 END) AS id FROM events),
-        c AS (SELECT concat(CASE WHEN event_id % 120 = 0 THEN '#' ELSE '' END, 'c', event_id) AS name, event_id FROM events WHERE event_id % 60 = 0)
+        c AS (SELECT concat(CASE WHEN event_id % 60 = 7 THEN '' ELSE '#' END, 'c', event_id) AS name, event_id FROM events)
         SELECT 'rule' AS kind, id AS place, 'unknown entity' AS problem FROM r WHERE event_id % 41 = 0
         UNION ALL SELECT 'rule', id, 'unknown action' FROM r WHERE event_id % 43 = 0
         UNION ALL SELECT 'rule', id, 'unknown subject' FROM r WHERE event_id % 47 = 0
         UNION ALL SELECT 'rule', id, 'confidence outside 0 to 1' FROM r WHERE event_id % 53 = 0
         UNION ALL SELECT 'rule', id, 'duplicate id' FROM r GROUP BY id HAVING count(*) > 1
-        UNION ALL SELECT 'channel', name, 'name without #' FROM c WHERE event_id % 120 <> 0
-        UNION ALL SELECT 'channel', name, 'unknown trigger' FROM c WHERE event_id % 180 = 0""",
+        UNION ALL SELECT 'channel', name, 'name without #' FROM c WHERE event_id % 60 = 7
+        UNION ALL SELECT 'channel', name, 'unknown trigger' FROM c WHERE event_id % 180 = 9""",
     "located": f"WITH {_M} SELECT id, 1 AS found, CAST(strpos(text, substr(text, 3, 4)) - 1 AS INT) AS first_start, CAST(strpos(text, substr(text, 3, 4)) - 1 + length(substr(text, 3, 4)) AS INT) AS first_end FROM m",
     "rebuilt": f"""
-        WITH {_M}, v AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN card ELSE concat(substr(card, 9), left(card, 8)) END AS value FROM m WHERE rn % 16 IN (10, 11))
+        WITH {_M}, v AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN card ELSE concat(substr(card, 9), left(card, 8)) END AS value FROM m)
         SELECT id, CASE WHEN event_id % 5 <> 0 AND left(value, 1) IN ('3', '4', '5', '6') AND {_luhn('value')} THEN 1 ELSE 0 END AS hits FROM v""",
     "usage": f"WITH {_A} SELECT id, coalesce(model, 's') AS model, CASE WHEN model IS NULL THEN 2 ELSE 5 END AS prompt_tokens, coalesce(total_tokens, 0) * CASE WHEN model IS NULL THEN 1 ELSE 2 END AS total_tokens FROM a",
     "removals": f"""
