@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +66,7 @@ def _pieces(text: str) -> Iterator[str]:
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks (first, last + 1, hashes, counts) of a list of texts: the words of texts[first:last + 1] in a row.
 
-    Null texts count as empty. Memory is bounded by the longest text; texts are joined up to about a megabyte.
+    Null texts count as empty. Memory is bounded by the longest text; texts are joined up to about half a megabyte.
     """
     first, held, size = 0, [], 0
 
