@@ -1,76 +1,147 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared word pairs find passages, Smith-Waterman alignment scores them.
 
-A document sends on only the windows around n-grams that pass a fixed-size filter of benchmark n-grams. The
-windows' n-grams are joined with the benchmark's rare seeds, and each (window, item) that shares enough of them
-is aligned word by word, so edited and paraphrased copies still score by how much of the item they keep.
+A word pair is two words side by side or with one word between, so that one replaced, added or lost word leaves
+a pair of its neighbours. An alignment that reaches the least score must keep a known number of such pairs
+within a known stretch, whatever words were edited; every stretch that does is aligned word by word.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatguard.llm.store import keep
-from chatguard.llm.words import ngrams, word_hashes
+from chatguard.llm.words import mix, word_hashes
 
 SEED = 4
 _FILTER_BITS = 23
+_ENTRIES = 1 << 21  # pairs of one benchmark index; more items take further scans
+_ROWS = 1 << 21  # index hits looked at in one go
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
+def _pairs(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the ordered word pairs (k, k + apart)."""
+    return mix(hashes[:-apart] * np.uint64(0x9E3779B97F4A7C15) + hashes[apart:])
+
+
 def _items(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         ids, texts = frame.iloc[:, 0].tolist(), frame.iloc[:, 1].tolist()
         for first, _, hashes, counts in word_hashes(texts):
             at = np.cumsum(counts) - counts
-            grams, owner, _ = ngrams(hashes, counts, n)
-            rows = [(ids[first + k], hashes[at[k] : at[k] + counts[k]].view(np.int64), grams[owner == k].view(np.int64)) for k in range(len(counts)) if counts[k] >= n]
-            yield pd.DataFrame(rows, columns=["item_id", "words", "seeds"])
-
-
-def _bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    table = np.zeros(1 << _FILTER_BITS, dtype=bool)
-    for frame in frames:
-        for seeds in frame["seeds"]:
-            table[_slot(np.asarray(seeds, dtype=np.int64).view(np.uint64))] = True
-    yield pd.DataFrame({"bits": [np.packbits(table).tobytes()]})
+            rows = [(ids[first + k], hashes[at[k] : at[k] + counts[k]].view(np.int64)) for k in range(len(counts)) if counts[k] >= max(n, 2)]
+            yield pd.DataFrame(rows, columns=["item_id", "words"])
 
 
-def seed_filter(items: DataFrame) -> np.ndarray:
-    """One bit for each hash slot that a benchmark n-gram falls in; 2^23 bits however large the benchmark is."""
-    table = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
-    for row in items.select("seeds").coalesce(8).mapInPandas(_bits, "bits binary").toLocalIterator():
-        table |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return table
+class Index:
+    """Word pairs of some benchmark items.
 
+    An alignment of m matches and e errors scores 2 m - e >= t = 2 least L for an item of L words, so at most
+    e / 2 <= m - t / 2 of its m - 1 steps between matches hold two errors or more: t / 2 - 1 steps are pairs, at
+    different places of the item and of the text. It covers at most m + e <= 3 L - t words. An item leaves out
+    some of the places whose pairs most items share, and asks for so many fewer.
+    """
 
-def _windows(frames: Iterator[pd.DataFrame], packed: np.ndarray, n: int, margin: int) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, start, words, grams, places): stretches of a text with benchmark n-grams and a margin around."""
-    table = np.unpackbits(packed).astype(bool)
-    for frame in frames:
-        ids, texts = frame.iloc[:, 0].tolist(), frame.iloc[:, 1].tolist()
-        for first, _, hashes, counts in word_hashes(texts):
-            grams, owner, place = ngrams(hashes, counts, n)
-            hit = np.flatnonzero(table[_slot(grams)])
-            if not len(hit):
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: float):
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        lengths = np.array([len(w) for w in self.words])
+        self.pairs = np.maximum(1, np.ceil(least * lengths - 1 - 1e-9)).astype(np.int64)
+        self.need = (self.pairs + 1) // 2
+        self.reach = np.ceil((3 - 2 * least) * lengths).astype(np.int64)
+        grams = np.concatenate([_pairs(w, apart) for w in self.words for apart in (1, 2)])
+        owner = np.repeat(np.arange(len(items)), 2 * lengths - 3)
+        place = np.concatenate([np.arange(n - apart) for n in lengths for apart in (1, 2)])
+        known, which, held = np.unique(grams, return_inverse=True, return_counts=True)
+        begin = np.cumsum(lengths) - lengths
+        common = np.zeros(int(lengths.sum()), dtype=np.int64)
+        np.add.at(common, begin[owner] + place, held[which])
+        of = np.repeat(np.arange(len(items)), lengths)
+        last = begin + lengths - 1
+        common[last] = -1
+        order = np.lexsort((-common, of))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - begin[of]
+        kept = rank >= (self.pairs - self.need)[of]
+        keep_row = kept[begin[owner] + place]
+        entry = np.unique(np.stack([which[keep_row], owner[keep_row]], axis=1), axis=0)
+        used, counts = np.unique(entry[:, 0], return_counts=True)
+        self.grams, self.counts, self.owner = known[used], counts, entry[:, 1]
+        self.first = np.cumsum(counts) - counts
+        self.table = np.packbits(np.bincount(_slot(self.grams), minlength=1 << _FILTER_BITS) > 0)
+
+    def holds(self, item: int, words: np.ndarray) -> bool:
+        """Whether a stretch keeps as many pairs and words of the item as the least score takes."""
+        own = self.words[item]
+        there = np.concatenate([_pairs(words, 1), _pairs(words, 2)])
+        shared = np.isin(_pairs(own, 1), there)
+        shared[:-1] |= np.isin(_pairs(own, 2), there)
+        return int(shared.sum()) >= self.pairs[item] and int(np.isin(own, words).sum()) > self.pairs[item]
+
+
+def _indexes(items: DataFrame, least: float) -> Iterator[Index]:
+    some, size = [], 0
+    for row in items.toLocalIterator():
+        some.append((row["item_id"], np.array(row["words"], dtype=np.int64).view(np.uint64)))
+        size += 2 * len(row["words"])
+        if size >= _ENTRIES:
+            yield Index(some, least)
+            some, size = [], 0
+    if some:
+        yield Index(some, least)
+
+
+def stretches(index: Index, table: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, low, high): word bounds of the stretches of each text that may hold an item."""
+    owner, begin = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    at, which = [], []
+    for apart in (1, 2):
+        if len(hashes) <= apart:
+            continue
+        grams = _pairs(hashes, apart)
+        hit = np.flatnonzero(table[_slot(grams)] & (owner[:-apart] == owner[apart:]))
+        gram = np.searchsorted(index.grams, grams[hit])
+        same = index.grams[np.minimum(gram, len(index.grams) - 1)] == grams[hit]
+        at.append(hit[same])
+        which.append(gram[same])
+    if not at:
+        return
+    order = np.argsort(np.concatenate(at), kind="stable")
+    at, which = np.concatenate(at)[order], np.concatenate(which)[order]
+    total, longest = np.cumsum(index.counts[which]), int(index.reach.max())
+    start = 0
+    while start < len(at):
+        # Slices overlap by the longest reach, so that no stretch is parted.
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + _ROWS)), int(np.searchsorted(at, at[start] + 2 * longest)), start + 1)
+        part, row = at[start:stop], which[start:stop]
+        n = index.counts[row]
+        entry = np.repeat(index.first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys = np.unique(index.owner[entry].astype(np.int64) << 40 | np.repeat(part, n))
+        item, place = keys >> 40, keys & ((1 << 40) - 1)
+        to = np.arange(len(keys)) + index.need[item] - 1
+        inside = np.minimum(to, len(keys) - 1)
+        good = (to < len(keys)) & (item[inside] == item) & (owner[place[inside]] == owner[place]) & (place[inside] - place < index.reach[item])
+        held: tuple[int, int, int, int] | None = None
+        for i, g in zip(item[good].tolist(), place[good].tolist(), strict=True):
+            k, reach = int(owner[g]), int(index.reach[i])
+            low, high = max(0, g - int(begin[k]) - reach), min(int(counts[k]), g - int(begin[k]) + reach + 1)
+            if held is not None and held[:2] == (k, i) and low <= held[3]:
+                held = (k, i, held[2], high)
                 continue
-            grams, owner, place = grams[hit], owner[hit], place[hit]
-            cut = np.flatnonzero((owner[1:] != owner[:-1]) | (place[1:] - place[:-1] > 2 * margin)) + 1
-            begin = np.cumsum(counts) - counts
-            rows = []
-            for part in np.split(np.arange(len(hit)), cut):
-                k = owner[part[0]]
-                low, high = max(0, place[part[0]] - margin), min(counts[k], place[part[-1]] + n + margin)
-                words = hashes[begin[k] + low : begin[k] + high].view(np.int64)
-                rows.append((ids[first + k], int(low), words, grams[part].view(np.int64), (place[part] - low).astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "words", "grams", "places"])
+            if held is not None:
+                yield held
+            held = (k, i, low, high)
+        if held is not None:
+            yield held
+        start = len(at) if stop >= len(at) else max(start + 1, int(np.searchsorted(at, at[stop] - longest)))
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int, int]:
@@ -96,56 +167,40 @@ def smith_waterman(item: np.ndarray, window: np.ndarray, match: int = 2, mismatc
     return score, end - back, end
 
 
-def _aligned(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def _aligned(frames: Iterator[pd.DataFrame], index: Index, least: float) -> Iterator[pd.DataFrame]:
+    table = np.unpackbits(index.table).astype(bool)
     for frame in frames:
-        rows = []
-        for doc, start, words, low, high, item_id, item in frame[["doc_id", "start", "words", "low", "high", "item_id", "item"]].itertuples(index=False):
-            a = max(0, low - len(item))
-            part = words[a : high + len(item)]
-            score, begin, end = smith_waterman(item, part)
-            share = score / (2 * len(item))
-            if share >= least:
-                rows.append((doc, item_id, share, start + a + begin, start + a + end))
+        ids, texts, rows = frame.iloc[:, 0].tolist(), frame.iloc[:, 1].tolist(), []
+        for first, _, hashes, counts in word_hashes(texts):
+            begin = np.cumsum(counts) - counts
+            for k, i, low, high in stretches(index, table, hashes, counts):
+                part, item = hashes[begin[k] + low : begin[k] + high], index.words[i]
+                if index.holds(i, part):
+                    score, start, end = smith_waterman(item, part)
+                    share = score / (2 * len(item))
+                    if share >= least:
+                        rows.append((ids[first + k], index.ids[i], share, low + start, low + end))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.5, n: int = SEED, stride: int = 3) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.5, n: int = SEED) -> DataFrame:
     """One row for each (doc_id, item_id) whose alignment reaches `least` of the item's full score.
 
     score is the local alignment score (match 2, mismatch and gap -1) over twice the item's words: 1 for a
     verbatim copy, about 1 - 1.5 e with a share e of words replaced. start_word and end_word bound the best
-    passage. Seeds of an item are the rarer half of its n-grams and the rarest of every `stride` neighbours,
-    counted over all documents; a pair needs two of them (one, if the item has only one n-gram).
-    Items of fewer than n words and rows with a null id or text take no part; repeated ids give one row with
+    passage. Every pair of text and item that reaches `least` is found (an item of fewer than 2 / least words
+    only if two of its words stand at most one apart): the pairs of words asked for follow from the score.
+    Items of fewer than n words (two at least) and rows with a null id or text take no part; repeated ids give one row with
     the best score. Empty tables give an empty result. No document, seed or partner is capped.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    items = keep(items.mapInPandas(lambda x: _items(x, n), "item_id long, words array<long>, seeds array<long>").distinct(), "bench-items")
-    longest = items.agg(F.max(F.size("words"))).first()[0]
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word int, end_word int")
-    if not longest:
-        return empty
-    packed, margin = seed_filter(items), int(longest)
-    held = docs.sparkSession.sparkContext.broadcast(packed)
+    items = keep(items.mapInPandas(lambda x: _items(x, n), "item_id long, words array<long>").distinct(), "bench-items")
+    schema = "doc_id long, item_id long, score double, start_word int, end_word int"
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    windows = source.mapInPandas(lambda x: _windows(x, held.value, n, margin), "doc_id long, start int, words array<long>, grams array<long>, places array<int>")
-    windows = keep(windows.withColumn("window", F.monotonically_increasing_id()), "bench-windows")
-
-    hits = windows.select("window", F.explode(F.arrays_zip("grams", "places")).alias("hit")).select("window", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("place"))
-    rarity = hits.groupBy("gram").agg(F.count_distinct("window").alias("windows"))
-    seeds = items.select(F.xxhash64("item_id", "words").alias("item_key"), "item_id", F.posexplode("seeds").alias("pos", "gram"))
-    seeds = seeds.groupBy("item_key", "item_id", "gram").agg(F.min("pos").alias("pos")).join(rarity, "gram", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
-    by_item = Window.partitionBy("item_key")
-    near = Window.partitionBy("item_key", F.floor(F.col("pos") / stride))
-    seeds = seeds.withColumns({"of": F.count("*").over(by_item), "rank": F.rank().over(by_item.orderBy("windows")), "rank_near": F.rank().over(near.orderBy("windows"))})
-    seeds = keep(seeds.filter((F.col("rank") * 2 <= F.col("of") + 1) | (F.col("rank_near") == 1)).select("item_key", "gram", "of"), "bench-seeds")
-
-    shared = hits.join(seeds, "gram").groupBy("window", "item_key").agg(F.count_distinct("gram").alias("shared"), F.first("of").alias("of"), F.min("place").alias("low"), F.max("place").alias("high"))
-    shared = shared.filter(F.col("shared") >= F.least(F.lit(2), F.col("of")))
-    keyed = items.select(F.xxhash64("item_id", "words").alias("item_key"), "item_id", F.col("words").alias("item"))
-    pairs = shared.join(windows.select("window", "doc_id", "start", "words"), "window").join(keyed, "item_key")
-    pairs = pairs.select("doc_id", "start", "words", "low", "high", "item_id", "item").repartition(F.col("doc_id"), F.col("item_id"))
-    found = pairs.mapInPandas(lambda x: _aligned(x, least), "doc_id long, item_id long, score double, start_word int, end_word int")
+    found = docs.sparkSession.createDataFrame([], schema)
+    for index in _indexes(items, least):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        found = found.union(source.mapInPandas(lambda x, held=held: _aligned(x, held.value, least), schema))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct(F.col("score"), -F.col("start_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -146,6 +146,30 @@ def test_edited_leaks(spark):
     assert decontam.contaminated_pairs(docs, bench.filter("1 = 0")).count() == 0
 
 
+def test_edited_leaks_equal_plain_alignment(spark):
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(6)]
+    items = {k: [rng.choice(common) if rng.random() < 0.4 else f"i{k}w{j}" for j in range(n)] for k, n in enumerate((15, 15, 22, 30, 45, 59, 60, 4, 6))}
+    rows, d = [(0, [w if k not in (4, 9) else "zz" for k, w in enumerate(items[0])]), (1, [w if k % 5 else "zz" for k, w in enumerate(items[5])])], 2
+    rows += [(k + 2, [x for w in items[k] for x in (w, "zz")]) for k in items]
+    d += len(items)
+    for k, item in items.items():
+        for share in (0.1, 0.2, 0.3):
+            for _ in range(6):
+                copy = []
+                for w in item:
+                    edit = rng.choice("rda") if rng.random() < share else ""
+                    copy += [] if edit == "d" else ["zz", w] if edit == "a" else ["zz"] if edit else [w]
+                rows.append((d, [*rng.choices(common, k=rng.randrange(30)), *copy, *rng.choices(common, k=rng.randrange(30))]))
+                d += 1
+    rows.append((d, [w for k in (3, 4, 5, 6) for w in items[k]]))  # verbatim copies elsewhere
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    want = {(k, i): s / (2 * len(item)) for k, words in rows for i, item in items.items() if (s := _local(item, words)[0]) >= len(item)}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(docs, bench).collect()}
+    assert got == want and want[0, 0] == 0.8 and (1, 5) in want
+
+
 def test_awkward_leaks(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "same text of six plain words")], "item_id long, text string")
     assert {r["doc_id"] for r in decontam.contaminated_pairs(awkward, bench).collect()} == {5, 6}
