@@ -1,10 +1,10 @@
 """Personal data by a character-level bidirectional LSTM with a CRF on top, beside exact base patterns.
 
 The network is trained in numpy from labelled spans: base matches in a bounded sample of documents, and planted
-values in several spellings set into stretches of the same documents. At scan time every stretch of a text around
-a digit, an @ or an (at) is cut into overlapping windows; their scores are blended, weighted towards window
-centres, and one Viterbi pass over the whole stretch settles all spans. Model spans must still hold a
-value of their kind (digits, checksum, number ranges) and never replace a base span.
+values in several spellings set into stretches of the same documents. At scan time every whole text is cut into
+overlapping windows; their scores are blended, weighted towards window centres, and one Viterbi pass over the
+text settles all spans. Model spans must still hold a value of their kind (digits, checksum, number ranges) and
+never replace a base span; texts that cannot hold one (no digit, no spelling of @) are not decoded.
 """
 
 from __future__ import annotations
@@ -22,12 +22,21 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begins kind k, 2 + 2k continues it
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LABEL_CHARS = _LOCAL_CHARS - frozenset("._%+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 _DIGITS = re.compile(r"[0-9]+")
+_OPEN, _SHUT = r"[\[({<] ?", r" ?[\])}>]"
+_LOCAL, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+_AT = rf" ?(?:@|{_OPEN}(?i:at){_SHUT}) ?"
+_DOT = rf"(?: ?(?:\.|{_OPEN}(?:(?i:dot)|\.){_SHUT}) ?| (?i:dot) )"
+_SAID = rf"(?: ?{_OPEN}(?i:dot){_SHUT} ?| (?i:dot) )"
+# A bare "at" is an @ only where a dot is spelled out as well.
+_ADDRESS = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| (?i:at) {_LABEL}(?:{_DOT}{_LABEL})*{_SAID}{_LABEL}(?:{_DOT}{_LABEL})*)")
+_POSSIBLE = re.compile(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]|\s(?i:at)\s")
 
 _MARKS = " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = 6 + len(_MARKS)
@@ -80,7 +89,7 @@ def holds_value(kind: int, value: str) -> bool:
     """Whether a span found by the network holds a value of its kind, whatever stands between its parts."""
     digits = "".join(_DIGITS.findall(value))
     if kind == 0:
-        return re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?(?:dot|\.) ?[\])]) ?[A-Za-z0-9-]+)+", value) is not None
+        return _ADDRESS.fullmatch(value) is not None
     if kind == 1:
         parts = _DIGITS.findall(value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -111,6 +120,23 @@ def settled(text: str, span: tuple[int, int, int], taken: list[tuple[int, int]])
     return out
 
 
+def grown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans with addresses widened to whole tokens and on to the end of an address, no further than their neighbours."""
+    out: list[tuple[int, int, int]] = []
+    for k, (low, high, kind) in enumerate(spans):
+        if kind == 0:
+            least, most = out[-1][1] if out else 0, spans[k + 1][0] if k + 1 < len(spans) else len(text)
+            while low > least and text[low] in _LOCAL_CHARS and text[low - 1] in _LOCAL_CHARS:
+                low -= 1
+            while high < most and text[high - 1] in _LABEL_CHARS and text[high] in _LABEL_CHARS:
+                high += 1
+            for m in re.finditer(r"\S+", text[low:high]):
+                if whole := _ADDRESS.match(text, low + m.start(), most):
+                    high = max(high, whole.end())
+        out.append((low, high, kind))
+    return out
+
+
 def encode(text: str) -> np.ndarray:
     """Character classes: letters by case, digits, each ASCII mark, other letters and all else."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -239,7 +265,7 @@ def viterbi(scores: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
 
 
 def stretches(text: str, margin: int = MARGIN) -> list[tuple[int, int]]:
-    """Parts of a text around the characters that any personal data of these kinds needs."""
+    """Parts of a text around digits and @ or (at): where training pieces are taken."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         low, high = max(0, m.start() - margin), min(len(text), m.end() + margin)
@@ -251,8 +277,8 @@ def stretches(text: str, margin: int = MARGIN) -> list[tuple[int, int]]:
 
 
 def model_spans(texts: list[str], network: Network) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network for each text: window scores blended over each stretch, decoded as a whole."""
-    where = [(k, low, high) for k, text in enumerate(texts) for low, high in stretches(text)]
+    """Spans of the network for each text: window scores blended over the text, decoded as a whole."""
+    where = sorted(((k, 0, len(text)) for k, text in enumerate(texts) if _POSSIBLE.search(text)), key=lambda x: x[2])
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     bell = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
     at = 0
@@ -300,7 +326,7 @@ def all_spans(texts: list[str], network: Network | None) -> list[tuple[list[tupl
                 taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
             else:
                 taken.append((a, b))
-        new = [part for span in more for part in settled(text, span, taken)]
+        new = [part for span in grown(text, more) for part in settled(text, span, taken)]
         out.append((base, sorted(base + new, key=lambda s: (s[0], s[2], s[1]))))
     return out
 
@@ -310,14 +336,20 @@ def _luhn_number(rng: np.random.Generator, n: int) -> str:
     return next(body + str(d) for d in range(10) if luhn(body + str(d)))
 
 
-def planted(rng: np.random.Generator, kind: int) -> str:
-    """A made-up value of a kind in one of several spellings."""
+def planted(rng: np.random.Generator, kind: int, said: bool = False) -> str:
+    """A made-up value of a kind in one of several spellings; with said an address whose at and dot are bare words."""
     pick = lambda *x: x[rng.integers(len(x))]
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     num = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     if kind == 0:
         local = pick(word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{num(1)}", f"{word()}+{word()}")
-        return local + pick("@", "@", "@", " @ ", " [at] ", "(at)") + word() + pick("", num(1), "-" + word()) + pick(".", ".", ".", " . ", "[.]", "(dot)") + pick("com", "net", "org", "de", "example.com")
+        if not rng.integers(4):
+            local = f"{word()}.{word()}_{word()}{num(2)}"
+        host, end = word() + pick("", num(1), "-" + word()), pick("com", "net", "org", "de", "example.com")
+        if said or not rng.integers(5):
+            return local + pick(" at ", " at ", " AT ") + host + pick(" dot ", " dot ", " DOT ", "[dot]") + end
+        at = pick("@", "@", "@", " @ ", " [at] ", "(at)", " (AT) ", "[AT]", "{at}", " {at} ", "<at>", " <AT> ", " (at) ")
+        return local + at + host + pick(".", ".", ".", " . ", "[.]", "(dot)", " [DOT] ", "{dot}", "<dot>") + end
     if kind == 1:
         return pick(".", ".", ".", "[.]", " . ", "(.)").join(str(rng.integers(0, 256)) for _ in range(4))
     if kind == 2:
@@ -356,9 +388,9 @@ def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int =
     rng = np.random.default_rng(seed)
     contexts = [p for p, spans in pieces if not spans] or ["the order of and in"]
     rows = list(pieces)
-    for kind in range(len(KINDS)):
+    for kind, said in [*((k, False) for k in range(len(KINDS))), *[(0, True)] * 3]:
         for _ in range(planted_each):
-            value, around = planted(rng, kind), contexts[rng.integers(len(contexts))]
+            value, around = planted(rng, kind, said), contexts[rng.integers(len(contexts))]
             cut = int(rng.integers(0, max(1, min(len(around), width - len(value) - 2))))
             left, right = around[:cut], around[cut:]
             text = left + (" " if left else "") + value + (" " if right else "") + right

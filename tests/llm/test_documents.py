@@ -294,6 +294,25 @@ def test_personal_data(spark, awkward, nothing):
     assert pii.find_personal_data(nothing, None).count() == 0
 
 
+def test_disguised_addresses(spark):
+    network = pii.train(_docs(spark).select("doc_id", "text"))
+    names = ("jo.miller", "anna_k7", "r.stone", "peter.lindgren", "a.very.long_local-part.of.some.person")
+    for spelling in ("{}(AT)host.com", "{} [AT] host.org", "{}{{at}}host.net", "{}<at>host.com", "{} at host dot com", "{} (at) host.com"):
+        values = [spelling.format(n) for n in names]
+        texts = [f"the order of the word and {v} in the house" for v in values]
+        found = [[t[a:b] for a, b, k in spans if k == 0] for t, (_, spans) in zip(texts, pii.all_spans(texts, network), strict=True)]
+        assert np.mean([f == [v] for f, v in zip(found, values, strict=True)]) >= 0.8, (spelling, found)
+
+
+def test_address_spellings():
+    for value in ("a.b@c.de", "a (AT) b.com", "a[At]b(DOT)com", "a{at}b.com", "a <at> b.co.uk", "a at b dot com", "a AT b.c DOT com"):
+        assert pii.holds_value(0, value), value
+    assert not any(pii.holds_value(0, v) for v in ("look at b.com", "meet at noon", "a(bat)b.com", "a at b"))
+    text = "x long.local.part(at)host.com y"
+    assert pii.grown(text, [(7, 27, 0)]) == [(2, 29, 0)]
+    assert pii.grown(text, [(2, 5, 1), (7, 27, 0)])[1] == (5, 29, 0)
+
+
 def test_long_stretch_is_decoded_as_a_whole():
     network = pii.Network()
     text = "12 " * 20_000
