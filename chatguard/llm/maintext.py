@@ -24,29 +24,33 @@ _RAW = frozenset("script style textarea title noscript template iframe object sv
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CUT = frozenset("nav header footer aside form menu dialog button select fieldset head label".split())
 _PARAGRAPH = frozenset("p pre blockquote td dd li".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BETTER = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0}
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-_UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|discussion|sidebar|side|rail|widget|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|skip|meta-nav|copyright|legal)(?:$|[\s_-])", re.I)
+_UNWANTED = re.compile(r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|discussion|sidebar|side|rail|widget|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|skip|meta-nav|copyright|legal)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "score", "size", "linked")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "score", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.parts, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
+        self.tag, self.parent, self.parts, self.cut, self.named = tag, parent, [], cut or named, named and not cut
         self.score, self.size, self.linked = None, 0, 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is unwanted by its kind, role or hiding, and whether only by its class or id."""
     if tag in _CUT:
-        return True
+        return True, False
+    named = False
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "role" and value.lower() in _UNWANTED_ROLES or name in ("class", "id") and _UNWANTED.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "role" and value.lower() in _UNWANTED_ROLES:
+            return True, False
+        named = named or name in ("class", "id") and _UNWANTED.search(value) is not None
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -95,7 +99,7 @@ def parse(page: str) -> Node:
                     node = node.parent
                 if found is not None and found.parent is not None:
                     now = found.parent
-        child = Node(tag, now, _unwanted(tag, m[3] or ""))
+        child = Node(tag, now, *_unwanted(tag, m[3] or ""))
         now.parts.append(child)
         if tag not in _VOID and not (m[3] or "").rstrip().endswith("/") or tag in ("p", "div", "a"):
             now = child
@@ -112,6 +116,34 @@ def _walk(node: Node) -> list[Node]:
     return out
 
 
+def _open_wrappers(root: Node) -> None:
+    """Take back cuts by class or id around the article: of a wrapper of an article or main where none is left
+    outside, else of an element that holds most of the page's paragraph text."""
+    order, left = [], [(root, False)]
+    while left:
+        one, below = left.pop()
+        order.append((one, below))
+        left += [(p, below or p.named) for p in reversed(one.parts) if isinstance(p, Node) and (p.named or not p.cut)]
+    if not any(node.named for node, _ in order) or any(node.tag in ("article", "main") and not below for node, below in order):
+        return
+    said: dict[Node, int] = {}
+    for node, _ in reversed(order):
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        inner = [p for p in node.parts if isinstance(p, Node)]
+        said[node] = sum(said.get(p, 0) for p in inner) + (own if node.tag in _PARAGRAPH else 0)
+    wanted = [node for node, _ in order if node.tag in ("article", "main")]
+    if wanted:
+        node: Node | None = max(wanted, key=lambda n: said[n])
+        while node is not None:
+            if node.named:
+                node.cut = node.named = False
+            node = node.parent
+        return
+    for node, _ in order:
+        if node.named and 2 * said[node] > said[root]:
+            node.cut = node.named = False
+
+
 def _text(node: Node, out: list[str]) -> None:
     left: list = [node]
     while left:
@@ -128,6 +160,7 @@ def _text(node: Node, out: list[str]) -> None:
 def main_text(page: str | None) -> str:
     """The article's text, blocks joined by one space; empty if there is none."""
     root = parse(page or "")
+    _open_wrappers(root)
     nodes = _walk(root)
     for node in reversed(nodes):
         for part in node.parts:
@@ -163,7 +196,7 @@ def main_text(page: str | None) -> str:
                 best = up
             up = up.parent
         bar = max(10.0, 0.2 * fair(best)) if best.score is not None else 10.0
-        kept = []
+        kept, beside = [], best.parent.parts if best.parent is not None else [best]
         for part in best.parent.parts if best.parent is not None else [best]:
             if part is best:
                 kept.append(part)
@@ -171,6 +204,13 @@ def main_text(page: str | None) -> str:
                 loose = part.linked < 0.25 * part.size and part.tag == "p" and part.size > 80
                 if part.score is not None and fair(part) >= bar and part.tag != "a" or loose:
                     kept.append(part)
+        # Between kept siblings, and as headings before the first, all that is not mostly links stays.
+        held = {id(one) for one in kept}
+        chosen = [k for k, part in enumerate(beside) if id(part) in held]
+        first, picked = chosen[0], set(chosen)
+        while first and (isinstance(beside[first - 1], str) and not beside[first - 1].strip() or isinstance(beside[first - 1], Node) and not beside[first - 1].cut and beside[first - 1].tag in _HEADINGS):
+            first -= 1
+        kept = [part for k, part in enumerate(beside) if k in picked or first <= k < chosen[-1] and (isinstance(part, str) or not part.cut and part.linked <= 0.25 * part.size)]
     out = []
     for node in kept:
         _text(node, out)

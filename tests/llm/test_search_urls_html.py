@@ -74,6 +74,18 @@ def test_main_text(body, text):
     assert maintext.main_text(PAGE.format(body=body)) == text
 
 
+def test_layout_wrappers_and_siblings():
+    said = "<p>One, two, three and some text, to score, at length.</p><p>Second, paragraph, of it.</p>"
+    plain = "One, two, three and some text, to score, at length. Second, paragraph, of it."
+    for name in ("site has-sidebar", "content no-sidebar", "page with-header", "post-share"):
+        assert maintext.main_text(PAGE.format(body=f"<div class='{name}'><article>{said}</article></div>")) == plain, name
+        assert maintext.main_text(f"<body><div class='{name}'>{said}</div><div class='ad'><p>Buy</p></div></body>") == plain, name
+    assert maintext.main_text(PAGE.format(body=f"<article>{said}</article><div class='share'><p>Share, this, now</p></div>")) == plain
+    long = "<div>" + "<p>Some, text, with, commas, that, is, long, enough, to, score, well.</p>" * 3 + "</div>"
+    got = maintext.main_text(f"<body>{long}<h2>Head</h2><p>Short one.</p><div><p>Tiny.</p></div><p><a href=x>link</a></p>{long}</body>")
+    assert "well. Head Short one. Tiny. Some" in got and "link" not in got
+
+
 def test_main_text_survives():
     assert maintext.main_text(None) == maintext.main_text("") == ""
     assert maintext.main_text("just words, no markup") == "just words, no markup"
