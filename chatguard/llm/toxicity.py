@@ -1,9 +1,11 @@
 """Toxicity scores from a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, maps look-alike letters of other scripts, styled letters, accents and digit substitutions
-to one plain letter (l, i and 1 to i) and drops invisible characters. Terms are beginnings of words. Their
-weights are smoothed log odds from labelled training rows; hits inside exception phrases do not count. The sum
-of weights, alone and for the length of the text, goes through a logistic function fitted on the same rows.
+to one plain letter (l, i and 1 to i) and drops invisible characters. Terms are whole words, which also match with
+a common English ending, and stems (written with a star), which match any word they begin: a stem is learned only
+where many different words with it were seen. Weights are smoothed log odds from labelled training rows; hits
+inside exception phrases do not count. The sum of weights, alone and for the length of the text, goes through a
+logistic function fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ _SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Harmless phrases that hold a lexicon word.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash day", "clown fish", "clownfish", "stupid question", "sore loser", "worthless without", "class clown", "pond scum")
 
-LEAST, MOST = 4, 8
+LEAST, SHORT, LONG = 3, 4, 8  # letters of a word, of the shortest and of the longest stem
+VARIETY = 5  # different words that a stem must have begun
+# Endings that a term may carry in a text.
+ENDINGS = ("s", "es", "y", "ed", "er", "ers", "ic", "ish", "ly", "ally", "ity", "ness")
 
 
 def _folding() -> dict[int, str | None]:
@@ -57,22 +62,51 @@ def fold(text: str | None) -> str:
     return (text or "").lower().translate(_FOLD)
 
 
-def _starts(text: str) -> set[str]:
-    """Beginnings of LEAST to MOST letters of all words of a folded text."""
-    out = set()
-    for word in set("".join(c if c.isalpha() else " " for c in text).split()):
-        out.update(word[:k] for k in range(LEAST, min(len(word), MOST) + 1))
-    return out
+class _Letters(dict):
+    """translate() table that drops what folding drops and writes a for letters, space for all else."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "a" if chr(code).isalpha() else " "
+        return self[code]
+
+
+_LETTERS = _Letters({c: None for c, plain in _FOLD.items() if plain is None})
+
+
+def _words(text: str) -> list[str]:
+    """Words of a folded text: maximal runs of letters."""
+    return "".join(c if c.isalpha() else " " for c in text).split()
+
+
+def _stems(words: set[str]) -> set[str]:
+    return {f"{w[:k]}*" for w in words for k in range(SHORT, min(len(w), LONG) + 1)}
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, toxic, clean): document counts of word beginnings, summed over a batch before they are sent."""
+    """(term, beside, toxic, clean): document counts of words and stems; beside is null for the plain count, else the
+    word before a word or the word that a stem began, for toxic rows only."""
     for frame in frames:
-        counts = (Counter(), Counter())
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            counts[int(toxic)].update(_starts(fold(text)))
-        terms = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+            words = _words(fold(text))
+            own = {w for w in words if len(w) >= LEAST}
+            counts[int(toxic)].update((t, None) for t in own | _stems(own))
+            if toxic:
+                counts[1].update({(w, v) for v, w in zip(["", *words], words, strict=False) if w in own})
+                counts[1].update((t, w) for w in own for t in _stems({w}))
+        keys = list(counts[0].keys() | counts[1].keys())
+        yield pd.DataFrame({"term": [k[0] for k in keys], "beside": [k[1] for k in keys], "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
+
+
+def _apart(terms: dict[str, float]) -> set[str]:
+    """The terms of the highest ratios, longer ones first among equals, of which no stem begins another."""
+    kept: set[str] = set()
+    for term in sorted(terms, key=lambda t: (-terms[t], -len(t), t)):
+        word = term.rstrip("*")
+        shorter = any(f"{word[:k]}*" in kept for k in range(SHORT, len(word) + 1))
+        if not shorter and not (term[-1] == "*" and any(t.startswith(word) for t in kept)):
+            kept.add(term)
+    return kept
 
 
 class Lexicon:
@@ -83,28 +117,41 @@ class Lexicon:
 
         self.automaton = ahocorasick.Automaton()
         for term, weight in weights.items():
-            self.automaton.add_word(term, (len(term), weight))
+            # The automaton keeps one value a string: a word and a stem of the same letters count as the heavier one.
+            letters, stem = term.rstrip("*"), term.endswith("*")
+            _, old, wide = self.automaton.get(letters, (0, 0.0, False))
+            self.automaton.add_word(letters, (len(letters), max(weight, old), stem or wide))
         for phrase in exceptions:
-            self.automaton.add_word(fold(phrase), (len(fold(phrase)), None))
+            self.automaton.add_word(fold(phrase), (len(fold(phrase)), None, False))
+        self.endings = frozenset(("", *map(fold, ENDINGS)))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
 
     def measure(self, text: str | None) -> tuple[float, int]:
-        """(sum of weights, number of hits); a word counts once, with its heaviest term."""
+        """(sum of weights, number of hits); a word counts once, with its heaviest term.
+
+        Bounds of words are looked up in the text before folding, so a digit or sign beside a word is no letter.
+        """
         folded = fold(text)
-        best: dict[int, float] = {}
-        free: list[tuple[int, int]] = []
-        for end, (length, weight) in () if self.empty else self.automaton.iter(folded):
-            start = end + 1 - length
-            if start and folded[start - 1].isalpha():
+        letters, best, free = "", {}, []
+        for end, (length, weight, stem) in () if self.empty else self.automaton.iter(folded):
+            letters = letters or (text or "").lower().translate(_LETTERS)
+            start, stop = end + 1 - length, end + 1
+            if start and letters[start - 1] == "a":
+                continue
+            rest = stop
+            while rest < len(letters) and letters[rest] == "a" and rest - stop < 6:
+                rest += 1
+            if not stem and folded[stop:rest] not in self.endings:
                 continue
             if weight is None:
-                free.append((start, end))
+                free.append((start, stop))
             else:
                 best[start] = max(weight, best.get(start, 0.0))
         if free:
-            best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in free)}
+            # Few phrases a text: each drops the words inside it.
+            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in free)}
         return sum(best.values()), len(best)
 
 
@@ -113,6 +160,11 @@ def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log1p(total), np.log1p(total / np.sqrt(np.maximum(words, 1)))], axis=1)
 
 
+def word_total(text: str | None) -> int:
+    """Words between white space of any kind."""
+    return len((text or "").split())
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Coefficients by Newton steps with a small ridge, so that separable rows end too."""
     b = np.zeros(x.shape[1])
@@ -135,16 +187,18 @@ def _measured(frames: Iterator[pd.DataFrame], weights: dict[str, float]) -> Iter
     lexicon = Lexicon(weights)
     for frame in frames:
         got = [lexicon.measure(t) for t in frame["text"]]
-        yield pd.DataFrame({"toxic": frame["toxic"], "total": [g[0] for g in got], "words": [(t or "").count(" ") + 1 for t in frame["text"]]})
+        yield pd.DataFrame({"toxic": frame["toxic"], "total": [g[0] for g in got], "words": [word_total(t) for t in frame["text"]]})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
     """Learn terms, weights and the logistic curve from a bounded sample of labelled rows.
 
     docs: doc_id, text. labels: doc_id, toxic (null labels take no part; repeated ids count as toxic if any row
     says so). Both are joined on doc_id, which serves for nothing else. At most about max_rows labelled rows,
-    drawn by a hash of their id, are used: fitting is the one step that does not read every row. A term enters if
-    the likelihood ratio of its counts would not arise by chance among all terms; at most max_terms enter.
+    drawn by a hash of their id, are used: fitting is the one step that does not read every row. A word or stem
+    becomes a term if the likelihood ratio of its counts would not arise by chance among all of them, and a word
+    only if it follows many different words, so that copies of one document do not make terms of its words; a stem
+    only if it began VARIETY words at least, none of them in half the rows that hold it.
     Without rows of both labels the model has no terms and scores the share of toxic rows.
     """
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -158,14 +212,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: i
     if not bad or not good:
         share = min(0.99, max(0.01, bad / max(1, bad + good))) if bad + good else 0.01
         return Model({}, [math.log(share / (1 - share)), 0.0, 0.0])
-    counts = keep(sample.mapInPandas(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic >= 4"), "toxic-counts")
+    pairs = sample.mapInPandas(_counted, "term string, beside string, toxic long, clean long").groupBy("term", "beside").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    whole, beside = F.col("beside").isNull(), F.col("beside").isNotNull()
+    counts = pairs.groupBy("term").agg(F.sum(F.when(whole, F.col("toxic"))).alias("toxic"), F.sum(F.when(whole, F.col("clean"))).alias("clean"), F.sum(beside.cast("long")).alias("kinds"), F.max(F.when(beside, F.col("toxic"))).alias("most"))
+    varied = F.when(F.endswith("term", F.lit("*")), (F.col("kinds") >= VARIETY) & (2 * F.col("most") <= F.col("toxic"))).otherwise(2 * F.col("kinds") >= F.col("toxic"))
+    counts = keep(counts.filter((F.col("toxic") >= 4) & varied), "toxic-counts")
     base, terms = bad / (bad + good), max(2, counts.count())
     both = F.col("toxic") + F.col("clean")
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * base)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - base)))).otherwise(0.0))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    picked = counts.select("term", "toxic", ratio.alias("ratio"), odds.alias("odds")).filter((F.col("ratio") >= 2 * math.log(terms) + 8) & (F.col("odds") >= 2)).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
-    held = {r["term"]: r for r in picked}
-    weights = {t: r["odds"] for t, r in held.items() if not any(t[:k] in held and held[t[:k]]["ratio"] >= 0.9 * r["ratio"] for k in range(LEAST, len(t)))}
+    picked = counts.select("term", ratio.alias("ratio"), odds.alias("odds")).filter((F.col("ratio") >= 2 * math.log(terms) + 8) & (F.col("odds") >= 2)).orderBy("term").collect()  # words of max_rows texts
+    kept = _apart({r["term"]: r["ratio"] for r in picked})
+    weights = {r["term"]: r["odds"] for r in picked if r["term"] in kept}
     rows = sample.mapInPandas(lambda x: _measured(x, weights), "toxic int, total double, words long").toPandas()  # max_rows rows of numbers
     rows = rows.sort_values(["toxic", "total", "words"])
     b = fit_logistic(features(rows["total"].to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy(float))
@@ -185,7 +243,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         lexicon = Lexicon(weights)
         for texts in parts:
             got = [lexicon.measure(t) for t in texts]
-            words = np.array([(t or "").count(" ") + 1 for t in texts], dtype=float)
+            words = np.array([word_total(t) for t in texts], dtype=float)
             x = features(np.array([g[0] for g in got], dtype=float).reshape(-1), words.reshape(-1))
             yield pd.DataFrame({"toxic_score": 1 / (1 + np.exp(-np.clip(x @ b, -30, 30))), "toxic_hits": np.array([g[1] for g in got], dtype=np.int32)})
 

@@ -228,8 +228,38 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxic_folding_and_exceptions():
-    lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 3.0, toxicity.fold("trash"): 2.0})
-    assert [lexicon.measure(t)[1] for t in ("an 1d10t", "ＩＤＩＯＴ", "іdіоt", "i​diot", "trash can", "trash here", "midiot", None, "")] == [1, 1, 1, 1, 0, 1, 0, 0, 0]
+    lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 3.0, toxicity.fold("trash"): 2.0, toxicity.fold("ass"): 1.0, "reeux*": 1.0})
+    texts = ("an 1d10t", "ＩＤＩＯＴ", "іdіоt", "i\u200bdiot", "trash can", "trash here", "midiot", None, "", "@idiot", "|idiot|", "7idiot", "idiots", "idiotic!", "idiotaph", "ass", "assess", "class", "réeuxment", "préeux")
+    assert [lexicon.measure(t)[1] for t in texts] == [1, 1, 1, 1, 0, 1, 0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 0, 0, 1, 0]
+
+
+def test_lexicon_equals_plain_matching():
+    rng = random.Random(6)
+    terms = {"ab": 1.0, "abc": 2.5, "c*": 0.5, "ca": 4.0, "bca*": 1.5, "b": 0.25}
+    lexicon, endings = toxicity.Lexicon(terms, exceptions=()), {"", *map(toxicity.fold, toxicity.ENDINGS)}
+    for _ in range(2000):
+        text = "".join(rng.choice("abcs  .-") for _ in range(rng.randint(0, 20)))
+        found = {}
+        for m in re.finditer("[a-z]+", text):
+            for k, term in enumerate(terms):
+                word = term.rstrip("*")
+                if m[0].startswith(word) and (term[-1] == "*" or m[0][len(word):] in endings):
+                    found[m.start()] = max(found.get(m.start(), 0), terms[term])
+        assert lexicon.measure(text) == (sum(found.values()), len(found)), text
+
+
+def test_ordinary_prose_is_left_alone(spark):
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert not any(k.endswith("*") and len(k) < 5 for k in model.weights) and toxicity.fold("idiot") in model.weights
+    subjects = ("The pathway", "An idiom", "Her disguise", "A path through Morocco", "The trash can", "Moral support", "A worthy cause", "This stupendous view", "Losing a key", "A pathologist")
+    verbs = ("is worth a visit", "was moved near the wall", "makes the idea worthwhile", "came up in the class", "led to the coast")
+    ends = ("in summer.", "for the whole family.", "said the guide.", "on most days.")
+    prose = [f"{a} {b} {c}" for a in subjects for b in verbs for c in ends]
+    rows = toxicity.score_documents(spark.createDataFrame([(t,) for t in prose], "text string"), model).collect()
+    assert len(rows) == 200 and sum(r["toxic_score"] >= 0.5 for r in rows) < 2
+    lines = toxicity.score_documents(spark.createDataFrame([("you idiot go home now",), ("you\nidiot\tgo\u00a0home\u2003now",)], "text string"), model).collect()
+    assert lines[0]["toxic_score"] == lines[1]["toxic_score"] > 0.5
 
 
 def test_awkward_toxicity(spark, awkward, nothing):
