@@ -78,17 +78,27 @@ def _literal_tokens(rule: PathRule | PatternRule) -> list[str]:
     return [t for t in [*re.split(_TOKEN, rule.host.lower()), *inner] if t]
 
 
-def _compiled(rule: PathRule | PatternRule) -> re.Pattern:
-    if isinstance(rule, PatternRule):
-        return re.compile(rule.pattern)
-    return re.compile(rf"(?:.*\.)?{re.escape(rule.host)}\n{re.escape(rule.path)}", re.S)
+class _Test:
+    """One rule ready to run; a path rule looks at host and path apart, so no sign in one can stand for the other."""
+
+    def __init__(self, rule: PathRule | PatternRule):
+        free = isinstance(rule, PatternRule)
+        self.said = (None if free else rule.host + rule.path, rule.verdict)
+        self.pattern = re.compile(rule.pattern if free else rf"(?:.*\.)?{re.escape(rule.host)}", re.S)
+        self.path = None if free else rule.path
+
+    def fits(self, address: str, host: str, path: str) -> bool:
+        if self.path is None:
+            return self.pattern.search(address) is not None
+        return path.startswith(self.path) and self.pattern.fullmatch(host) is not None
 
 
 def build_index(urls: DataFrame, url: str, rules: list) -> dict[str, list[int]]:
     """token -> numbers of the rules filed under it; rarity is counted over all URLs, by rule token only."""
     wanted = sorted({t for r in rules for t in _literal_tokens(r)})
-    token = F.explode(F.array_intersect(tokens_of(F.coalesce(F.col(url), F.lit(""))), F.array(*[F.lit(t) for t in wanted])))
-    counts = {r["token"]: r["count"] for r in urls.select(token.alias("token")).groupBy("token").count().collect()}  # at most one row for each rule token
+    known = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")  # at most the tokens of max_rules rules
+    seen = urls.select(F.explode(tokens_of(F.coalesce(F.col(url), F.lit("")))).alias("token")).join(F.broadcast(known), "token")
+    counts = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}  # at most one row for each rule token
     index: dict[str, list[int]] = {}
     for n, rule in enumerate(rules):
         own = _literal_tokens(rule)
@@ -103,7 +113,8 @@ def judge_urls(pages: DataFrame, url: str = "url", base_rules: list[PathRule] |
 
     The longest path rule that fits gives rule and verdict. Where none fits, rule is null and the first
     matching pattern of the method's own list gives the verdict, else allow. Null URLs and URLs without ://
-    have an empty host and path, fit no path rule and are allowed. Repeated rows are judged alike.
+    have an empty host and path, fit no path rule and are allowed. Repeated rows are judged alike; very long URLs
+    are read whole. Of path rules of equal length the first in order of (verdict, host, path) counts.
     The rule list is held by every task, so its length is checked against max_rules.
     """
     base = BASE_RULES if base_rules is None else base_rules
@@ -113,23 +124,18 @@ def judge_urls(pages: DataFrame, url: str = "url", base_rules: list[PathRule] |
         raise ValueError(f"{len(rules)} rules; raise max_rules or split the list")
     pages = pages.withColumns({"url_host": host_of(url), "url_path": path_of(url)})
     index = build_index(pages, url, rules) if rules else {}
-    last = len(base)
 
     @F.pandas_udf(_JUDGED)
     def verdicts(address: pd.Series, host: pd.Series, path: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        compiled: dict[int, re.Pattern] = {}
+        ready: dict[int, _Test] = {}
         out = []
         for a, h, p, own in zip(address, host, path, tokens, strict=True):
-            found = sorted(n for t in own if t in index for n in index[t])
-            lowered = a.lower() if a else ""
-            said = (None, "allow")
-            for n in found:
-                pattern = compiled.get(n) or compiled.setdefault(n, _compiled(rules[n]))
-                if n < last and pattern.match(f"{h}\n{p}"):
-                    said = (rules[n].host + rules[n].path, rules[n].verdict)
-                    break
-                if n >= last and pattern.search(lowered):
-                    said = (None, rules[n].verdict)
+            lowered, said = a.lower() if a else "", (None, "allow")
+            # Rule numbers follow precedence: longest path rules first, then patterns in their order.
+            for n in sorted(n for t in own if t in index for n in index[t]):
+                test = ready.get(n) or ready.setdefault(n, _Test(rules[n]))
+                if test.fits(lowered, h, p):
+                    said = test.said
                     break
             out.append(said)
         return pd.DataFrame(out, columns=["rule", "verdict"])

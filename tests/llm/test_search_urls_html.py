@@ -58,6 +58,41 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(frame.filter("1 = 0")).count() == 0
 
 
+def test_host_and_path_are_apart(spark):
+    urls = [(1, "http://foo.net/x.org\n/"), (2, "http://a\n.org/es/"), (3, "http://foo.net\n.com/de/x"), (4, "http://x.example.org/\nes/")]
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urlrules.judge_urls(frame).collect()} == {1: None, 2: "org/", 3: "com/de/", 4: "org/"}
+
+
+def test_many_rules_equal_plain_loop(spark):
+    rng = random.Random(5)
+    hosts = [f"{rng.choice(['shop', 'news', 'img', 'my-site'])}{k % 700}.{rng.choice(['com', 'net', 'org', 'co.uk'])}" for k in range(50_000)]
+    rules = list({(h, p): urlrules.PathRule(rng.choice(["allow", "block"]), h, p) for h in hosts for p in [rng.choice(["/", "/a/", "/a/b", "/a/b/c", f"/{rng.randrange(30)}/", "/%C3/"])]}.values())
+    rules += [urlrules.PathRule("block", f"h{k}.example", f"/p{k}/") for k in range(50_000 - len(rules))]
+    free = [urlrules.PatternRule("block", "w", r"[/.-]win-now[/.-]", "win-now"), urlrules.PatternRule("allow", "i", r"//img\d", "img"), urlrules.PatternRule("block", "z", r"\?.*zz", "zz")]
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice([rng.choice(hosts), f'h{rng.randrange(60_000)}.example', 'else.where'])}{rng.choice(['', '/', '/a/b/c/d', '/a/x', f'/{rng.randrange(30)}/y', f'/p{rng.randrange(60_000)}/', '/x-win-now/', '?zz', '/%C3/x'])}" for _ in range(3000)]
+    urls.append("http://h1.example/p1/" + "x/" * 200_000)
+    by_host = {}
+    for r in rules:
+        by_host.setdefault(r.host, []).append(r)
+
+    def plain(url):
+        rest = url.split("://", 1)[1]
+        host = rest.split("/")[0].split("?")[0]
+        path = rest[len(host):].split("?")[0]
+        labels = host.split(".")
+        fit = [r for k in range(len(labels)) for r in by_host.get(".".join(labels[k:]), []) if path.startswith(r.path)]
+        if fit:
+            best = min(fit, key=lambda r: (-len(r.host) - len(r.path), r))
+            return best.host + best.path, best.verdict
+        return None, "block" if any(x + "win-now" + y in url for x in "/.-" for y in "/.-") else "block" if "zz" in url.partition("?")[2] else "allow"
+
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judge_urls(frame, base_rules=rules, pattern_rules=[free[0], free[2]]).collect()}
+    assert got == {k: plain(u) for k, u in enumerate(urls)}
+    assert len({v for v, _ in got.values()}) > 100
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body><header><p>Site head, with, many, commas, in it and a rather long line of words</p></header>
 <nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><div class="cookie-notice"><p>We use cookies, really, many, of, them, and tell you so at length</p></div><div id=wrap>{body}</div>
 <aside><p>Side, side, side, side, side, side, side text that is long enough to score well</p></aside><div class="comments"><p>First, comment, here, with, commas, and some more words to be long</p></div>
