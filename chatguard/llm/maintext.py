@@ -15,95 +15,196 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# The rest of a tag: a > inside a quoted value does not end it; a quote elsewhere is a sign like any other.
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_RESUME = re.compile(r"<(?:p|div|article|section|main|h[1-6]|ul|ol|table|nav|footer|header|aside|body|/body|/head)\b", re.I)
 
 # Element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe object svg math canvas audio video xmp".split())
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+_HIDDEN = frozenset("noscript template svg canvas audio video".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_CUT = frozenset("nav header footer aside form menu dialog button select fieldset head label".split())
+_CUT = frozenset("nav header footer aside form menu dialog button select datalist fieldset head label".split())
 _PARAGRAPH = frozenset("p pre blockquote td dd li".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BETTER = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0}
+_GROUPS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-_UNWANTED = re.compile(r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsored|sponsor|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|discussion|sidebar|side|rail|widget|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|skip|meta-nav|copyright|legal)(?:$|[\s_-])", re.I)
+# Our own lists: names of page furniture, names that may also head a part of the article, and words that say nothing.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "comment comments commentlist disqus replies respond sidebar sidebars rail widget widgets menu navbar navigation nav breadcrumb breadcrumbs pagination pager footer header masthead topbar "
+    "toolbar newsletter subscribe signup copyright".split()
+)
+_WEAK_NAMES = frozenset("share sharing social related recommended search skip side discussion login legal".split())
+_PLAIN_WORDS = frozenset("box list area container wrapper wrap slot unit block bar links link buttons button items item inner outer left right top bottom content text form section main".split())
+_LAYOUT = frozenset("no has with without not is show hide".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "named", "score", "size", "linked")
+    """An element: cut says it is left out, named that only its class or id says so, weak that its text has a say too."""
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
-        self.tag, self.parent, self.parts, self.cut, self.named = tag, parent, [], cut or named, named and not cut
-        self.score, self.size, self.linked = None, 0, 0
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "weak", "score", "size", "commas", "linked")
 
+    def __init__(self, tag: str, parent: Node | None, unwanted: str = ""):
+        self.tag, self.parent, self.parts = tag, parent, []
+        self.cut, self.named, self.weak = unwanted in ("kind", "name"), unwanted == "name", unwanted == "weak"
+        self.score, self.size, self.commas, self.linked = None, 0, 0, 0
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is unwanted by its kind, role or hiding, and whether only by its class or id."""
+
+def _name_kind(value: str) -> str:
+    """name or weak if a class or id value names page furniture, else nothing.
+
+    Of a compound the last telling part counts: cookie-notice and ad-slot do, legal-analysis and has-sidebar do not.
+    """
+    kind = ""
+    for token in value.split():
+        parts = [x for x in re.split(r"[-_0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+        if not parts or parts[0] in _LAYOUT:
+            continue
+        while len(parts) > 1 and parts[-1] in _PLAIN_WORDS:
+            parts.pop()
+        if parts[-1] in _NAMES:
+            return "name"
+        if parts[-1] in _WEAK_NAMES:
+            kind = "weak"
+    return kind
+
+
+def _unwanted(tag: str, attributes: str) -> str:
+    """kind if an element is unwanted by its kind, role or hiding; name or weak if by its class or id."""
     if tag in _CUT:
-        return True, False
-    named = False
+        return "kind"
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False, False
+        return ""
+    said = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "role" and value.lower() in _UNWANTED_ROLES:
-            return True, False
-        named = named or name in ("class", "id") and _UNWANTED.search(value) is not None
-    return False, named
+            return "kind"
+        if name in ("class", "id") and said != "name":
+            said = _name_kind(value) or said
+    return said
+
+
+class _Page:
+    """The open element while a page is read, with the number of open elements of each tag."""
+
+    def __init__(self):
+        self.root = self.now = Node("html", None)
+        self.open = {"html": 1}
+
+    def enter(self, node: Node) -> None:
+        self.now = node
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def leave(self, node: Node) -> None:
+        """Close everything down to node's parent."""
+        while self.now is not node.parent:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+
+    def end(self, tag: str) -> None:
+        if not self.open.get(tag):
+            if tag == "p":
+                self.now.parts.append(Node("br", self.now))
+            return
+        node = self.now
+        while node.tag != tag:
+            if tag not in _BLOCK and node.tag in _BLOCK:
+                return
+            node = node.parent
+        if node.parent is not None:
+            self.leave(node)
+
+    def supply_ends(self, tag: str) -> None:
+        """Close an open paragraph before a block, and the last item of a list or cell before the next one."""
+        if self.open.get("p"):
+            node = self.now
+            while node.tag not in _BLOCK:
+                node = node.parent
+            if node.tag == "p":
+                self.leave(node)
+        group = _GROUPS.get(tag, ())
+        if any(self.open.get(t) for t in group):
+            stop, node, found = _STOPS.get(tag, ("table",)), self.now, None
+            while node is not None and node.tag not in stop:
+                found = node if node.tag in group else found
+                node = node.parent
+            if found is not None:
+                self.leave(found)
+
+
+def _closing(page: str, tag: str, at: int, ends: dict[str, int]) -> tuple[int, int]:
+    """(start, end) of the next end tag, (-1, -1) if there is none; ends remembers tags that have none left."""
+    if ends.get(tag, len(page)) < at:
+        return -1, -1
+    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+    if close is None:
+        ends[tag] = at - 1
+        return -1, -1
+    return close.start(), close.end()
 
 
 def parse(page: str) -> Node:
-    """A tree of nodes and texts; missing end tags are supplied where a block begins or an outer element ends."""
-    root = Node("html", None)
-    now, at = root, 0
+    """A tree of nodes and texts; missing end tags are supplied where a block begins or an outer element ends.
+
+    A script or the like without an end tag ends at the next block; the tag of any other hidden element without one
+    is passed over. Every step goes forward in the page, so the time taken grows with its length.
+    """
+    tree, at, whole, ends = _Page(), 0, True, {}
     while at < len(page):
-        m = _MARKUP.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            now.parts.append(html.unescape(page[at:end]))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = len(page)
+        if page.startswith("<!--", begin):
+            stop = page.find("-->", begin + 4)
+            stop = len(page) if stop < 0 else stop + 3
+            tag = None
+        elif page.startswith(("<!", "<?"), begin):
+            stop = page.find(">", begin) + 1 or len(page)
+            tag = None
+        else:
+            m = _OPENING.match(page, begin)
+            rest = _REST.match(page, m.end()) if m and whole else None
+            stop = rest.end() if rest else page.find(">", begin) + 1 if m else 0
+            if m and whole and not rest:
+                whole = False  # quotes are out of step from here on: read plain tags
+            if not stop:  # a sign, not a tag
+                begin = page.find("<", begin + 1) if begin < len(page) else begin
+                begin = len(page) if begin < 0 else begin
+                tree.now.parts.append(html.unescape(page[at:begin]))
+                at = begin
+                continue
+            tag = m[2].lower()
+        if begin > at:
+            tree.now.parts.append(html.unescape(page[at:begin]))
+        at = stop
+        if tag is None:
             continue
-        tag = m[2].lower()
         if m[1]:
-            node = now
-            while node is not None and node.tag != tag:
-                if tag not in _BLOCK and node.tag in _BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                now = node.parent
-            elif tag == "p":
-                now.parts.append(Node("br", now))
+            tree.end(tag)
             continue
-        if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        attributes = page[m.end() : stop - 1]
+        closed = attributes.endswith("/")
+        if tag in _RAW or tag in _HIDDEN and not closed:
+            low, high = _closing(page, tag, at, ends)
+            if high < 0 and tag in _RAW:
+                again = _RESUME.search(page, at)
+                at = again.start() if again else len(page)
+            elif high >= 0 and (tag in _RAW or re.compile(rf"<{tag}\b", re.I).search(page, at, low) is None):
+                at = high
             continue
         if tag in _BLOCK:
-            node = now
-            while node is not None and node.tag not in _BLOCK:
-                node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                now = node.parent
-            if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                group = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[tag]
-                stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}.get(tag, ("table",))
-                node, found = now, None
-                while node is not None and node.tag not in stop:
-                    found = node if node.tag in group else found
-                    node = node.parent
-                if found is not None and found.parent is not None:
-                    now = found.parent
-        child = Node(tag, now, *_unwanted(tag, m[3] or ""))
-        now.parts.append(child)
-        if tag not in _VOID and not (m[3] or "").rstrip().endswith("/") or tag in ("p", "div", "a"):
-            now = child
-    return root
+            tree.supply_ends(tag)
+        child = Node(tag, tree.now, _unwanted(tag, attributes))
+        tree.now.parts.append(child)
+        if tag not in _VOID and (not closed or tag in ("p", "div", "a")):
+            tree.enter(child)
+    return tree.root
 
 
 def _walk(node: Node) -> list[Node]:
@@ -144,6 +245,20 @@ def _open_wrappers(root: Node) -> None:
             node.cut = node.named = False
 
 
+def _measure(nodes: list[Node]) -> None:
+    """Text length, commas and text in links of every node, from the inside out."""
+    for node in reversed(nodes):
+        node.size = node.commas = node.linked = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                node.size += len(part.strip())
+                node.commas += part.count(",")
+            elif not part.cut:
+                node.size += part.size
+                node.commas += part.commas
+                node.linked += part.size if part.tag == "a" else part.linked
+
+
 def _text(node: Node, out: list[str]) -> None:
     left: list = [node]
     while left:
@@ -162,62 +277,64 @@ def main_text(page: str | None) -> str:
     root = parse(page or "")
     _open_wrappers(root)
     nodes = _walk(root)
-    for node in reversed(nodes):
-        for part in node.parts:
-            if isinstance(part, str):
-                node.size += len(part.strip())
-            elif not part.cut:
-                node.size += part.size
-                node.linked += part.size if part.tag == "a" else part.linked
+    _measure(nodes)
     for node in nodes:
-        if node.tag in ("ul", "ol") and sum(isinstance(p, Node) for p in node.parts) >= 3 and node.linked >= 0.9 * node.size > 0:
+        links = node.tag in ("ul", "ol") and sum(isinstance(p, Node) for p in node.parts) >= 3 and node.linked >= 0.9 * node.size > 0
+        # A part named share, related and so on belongs to the article if it has prose and few links.
+        if links or node.weak and (node.size < 60 or node.linked > 0.25 * node.size):
             node.cut = True
+    nodes = _walk(root)
+    _measure(nodes)
     for node in nodes:
-        own = "".join(p for p in node.parts if isinstance(p, str)).strip() if node.tag in ("div", "section", "article", "main", "body", "html") else ""
-        if node.tag in _PARAGRAPH or own:
-            out: list[str] = []
-            _text(node, out)
-            said = "".join(out).strip() if node.tag in _PARAGRAPH else own
-            if not said:
-                continue
-            points = 1 + said.count(",") + min(len(said) / 100, 3)
-            for share, up in ((1.0, node if own else node.parent), (0.5, node.parent if own else node.parent and node.parent.parent)):
-                if up is not None:
-                    up.score = (_BETTER.get(up.tag, 0.0) if up.score is None else up.score) + share * points
+        own = [p for p in node.parts if isinstance(p, str) and p.strip()] if node.tag in ("div", "section", "article", "main", "body", "html") else []
+        size, commas = (sum(len(p.strip()) for p in own), sum(p.count(",") for p in own)) if own else (node.size, node.commas)
+        if not size or not own and node.tag not in _PARAGRAPH:
+            continue
+        points = 1 + commas + min(size / 100, 3)
+        for share, up in ((1.0, node if own else node.parent), (0.5, node.parent if own else node.parent and node.parent.parent)):
+            if up is not None:
+                up.score = (_BETTER.get(up.tag, 0.0) if up.score is None else up.score) + share * points
     fair = lambda n: n.score * (1 - n.linked / n.size if n.size else 0)
-    scored = [n for n in nodes if n.score is not None and not n.cut and n.tag not in ("a", "p")]
-    if not scored:
-        kept = [root]
-    else:
-        best = max(scored, key=fair)
-        up = best
-        while up is not None:
-            if up.tag in ("article", "main"):
-                best = up
-            up = up.parent
-        bar = max(10.0, 0.2 * fair(best)) if best.score is not None else 10.0
-        kept, beside = [], best.parent.parts if best.parent is not None else [best]
-        for part in best.parent.parts if best.parent is not None else [best]:
-            if part is best:
-                kept.append(part)
-            elif isinstance(part, Node) and not part.cut:
-                loose = part.linked < 0.25 * part.size and part.tag == "p" and part.size > 80
-                if part.score is not None and fair(part) >= bar and part.tag != "a" or loose:
-                    kept.append(part)
-        # Between kept siblings, and as headings before the first, all that is not mostly links stays.
-        held = {id(one) for one in kept}
-        chosen = [k for k, part in enumerate(beside) if id(part) in held]
-        first, picked = chosen[0], set(chosen)
-        while first and (isinstance(beside[first - 1], str) and not beside[first - 1].strip() or isinstance(beside[first - 1], Node) and not beside[first - 1].cut and beside[first - 1].tag in _HEADINGS):
-            first -= 1
-        kept = [part for k, part in enumerate(beside) if k in picked or first <= k < chosen[-1] and (isinstance(part, str) or not part.cut and part.linked <= 0.25 * part.size)]
-    out = []
-    for node in kept:
-        _text(node, out)
+    scored = [n for n in nodes if n.score is not None and n.tag not in ("a", "p")]
+    kept = _kept(max(scored, key=fair), fair) if scored else [root]
+    out: list[str] = []
+    for part in kept:
+        if isinstance(part, str):
+            out.append(part)
+        else:
+            _text(part, out)
         out.append(" ")
     return " ".join("".join(out).split())
 
 
+def _kept(best: Node, fair) -> list[Node | str]:
+    """The best container, or the article or main around it, with those siblings that belong to it, in page order."""
+    up: Node | None = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            best = up
+        up = up.parent
+    if best.parent is None:
+        return [best]
+    bar = max(10.0, 0.2 * fair(best)) if best.score is not None else 10.0
+    beside, chosen = best.parent.parts, []
+    for k, part in enumerate(beside):
+        if part is best:
+            chosen.append(k)
+        elif isinstance(part, Node) and not part.cut and part.tag != "a":
+            scores = part.score is not None and fair(part) >= bar
+            if scores or part.tag == "p" and part.size > 80 and part.linked < 0.25 * part.size:
+                chosen.append(k)
+    # Between kept siblings, and as headings before the first, all that is not mostly links stays.
+    first, picked = chosen[0], set(chosen)
+    while first:
+        before = beside[first - 1]
+        if isinstance(before, str) and before.strip() or isinstance(before, Node) and (before.cut or before.tag not in _HEADINGS):
+            break
+        first -= 1
+    return [part for k, part in enumerate(beside) if k in picked or first <= k < chosen[-1] and (isinstance(part, str) or not part.cut and part.linked <= 0.25 * part.size)]
+
+
 def _extracted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([main_text(p) for p in part], dtype="object")
@@ -226,6 +343,7 @@ def _extracted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def extract_main_text(pages: DataFrame, html_column: str = "html", to: str = "main_text") -> DataFrame:
     """pages with the main text of every row in the column `to` (replaced if it exists); nothing is capped.
 
-    Null and empty pages give an empty text. Pages are read one by one: repeated rows come out alike.
+    Null and empty pages give an empty text. Pages are read one by one and whole, in time that grows with their
+    length: repeated rows come out alike. Of containers that score alike the first of the page is taken.
     """
     return pages.withColumn(to, F.pandas_udf(_extracted, "string")(F.col(html_column)))

@@ -142,3 +142,85 @@ def test_pages_of_the_table(spark):
     rows = Q.op9_main_text(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id")
     rows = rows.filter(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1) != "").select("text", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("head"), "html").collect()
     assert rows and all(r["text"].startswith(r["head"].strip().split("&")[0][:20]) for r in rows)
+
+
+_A, _B = "First part, with some, commas and words.", "Second part, with more, commas and words."
+
+# What stands between the two parts of the article, and what of it belongs to the text.
+GOLDEN = [
+    *[(f"<{t}>Menu, one, two, three</{t}>", "") for t in ("nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset")],
+    *[(f"<div class='{c}'>Page, furniture, of a kind.</div>", "") for c in ("ad", "ads", "ad-slot", "google-ads", "adsBox", "sidebar", "left-sidebar", "cookie-notice", "notice", "comments", "comment-list", "user-comments", "nav-menu", "breadcrumbs", "newsletter", "siteFooter", "promo", "share")],
+    *[(f"<div class='{c}'>Part, of the article.</div>", "Part, of the article.") for c in ("legal-analysis", "has-sidebar", "no-comments", "text", "lead-in", "header-image-caption-text-x", "download", "adventure", "shadow")],
+    *[(f"<section id='{c}'><p>{'Prose of the article, ' * 4}ends here.</p></section>", f"{'Prose of the article, ' * 4}ends here.") for c in ("social-policy", "related", "search", "share-of-income", "discussion", "legal")],
+    ("<div class=related><a href=1>One more story</a> <a href=2>And another story to read</a></div>", ""),
+    ("<div role=navigation>a, b</div>", ""), ("<div hidden>a, b</div>", ""), ("<div role=note>a, b</div>", "a, b"),
+    ("<script>var a='<p>no</p>'</script>", ""), ("<style>p{}</style>", ""), ("<noscript><p>Turn it on</p></noscript>", ""), ("<svg><title>icon</title><text>x</text></svg>", ""), ("<template><p>t</p></template>", ""),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<object>Fallback, text</object>", "Fallback, text"), ("<canvas>no</canvas>", ""),
+    ("<table><tr><th>Head<td>1, 2<tr><td>3</table>", "Head 1, 2 3"), ("<dl><dt>Term<dd>Meaning</dl>", "Term Meaning"), ("<ol><li>one<li>two<ol><li>deep</ol></ol>", "one two deep"), ("<pre>a  b\n  c</pre>", "a b c"),
+    ("<h2>Sub &amp; title</h2>", "Sub & title"), ("<figure><img src=x><figcaption>Caption</figcaption></figure>", "Caption"), ("<p>a<br>b</p>", "a b"), ("<p>x<sub>2</sub>y</p>", "x2y"), ("<p>&eacute;&#x41;&#66;&nbsp;c</p>", "éAB c"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+    ("<!-- <p>no</p> -->", ""), ("<?php x ?>", ""), ("<![CDATA[x]]>", ""), ("<p title='a > b'>quoted</p>", "quoted"), ("<p it's>odd sign</p>", "odd sign"), ('<p class="never closed>lost</p><p>also "here">kept</p>', "kept"),
+    ("<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>", ""), ("<ul><li>with, words <a href=1>a</a><li>more<li>most</ul>", "with, words a more most"),
+    ("<textarea>typed</textarea>", ""), ("<iframe>old</iframe>", ""), ("<p>open <b>bold <i>both</p>", "open bold both"), ("</span></em>", ""), ("<p>a</p></p><p>b</p>", "a b"),
+]
+
+
+@pytest.mark.parametrize("inner,text", GOLDEN)
+def test_golden_pages(inner, text):
+    want = " ".join(x for x in (_A, text.strip(), _B) if x)
+    assert maintext.main_text(PAGE.format(body=f"<article><p>{_A}</p>{inner}<p>{_B}</p></article>")) == want
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "canvas", "audio", "video", "script", "style", "iframe", "textarea"])
+def test_unclosed_elements_lose_no_paragraph(tag):
+    assert maintext.main_text(f"<body><article><p>{_A}</p><{tag}><p>{_B}</p></article></body>") == f"{_A} {_B}"
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for page in (lambda n: "<blockquote>" * n + "<p>Deep, text</p>", lambda n: "<a x='y\">" * n + "text", lambda n: "<div>" * n + "</x>" * n, lambda n: "<svg>" * n, lambda n: '<a x=">' * n + "<" * n, lambda n: "<script>" * n, lambda n: "word, " * (20 * n)):
+        began = time.perf_counter()
+        maintext.main_text(page(8000))
+        assert time.perf_counter() - began < 1.5
+
+
+def _plain_points(root):
+    """Scores by the definition: every paragraph's whole text is read again and given to its ancestors."""
+    points = {}
+    for node in maintext._walk(root):
+        texts = []
+        left = [node]
+        while left:
+            one = left.pop()
+            if isinstance(one, str):
+                texts.append(one)
+            elif not one.cut:
+                left += one.parts
+        own = [p for p in node.parts if isinstance(p, str) and p.strip()] if node.tag in ("div", "section", "article", "main", "body", "html") else []
+        said = own or texts
+        size = sum(len(t.strip()) for t in said)
+        if size and (own or node.tag in maintext._PARAGRAPH):
+            score = 1 + sum(t.count(",") for t in said) + min(size / 100, 3)
+            line = [node if own else node.parent, node.parent if own else node.parent and node.parent.parent]
+            for share, up in zip((1.0, 0.5), line, strict=True):
+                if up is not None:
+                    points[up] = points.get(up, maintext._BETTER.get(up.tag, 0.0)) + share * score
+    return points
+
+
+def test_tree_scores_equal_plain_definition():
+    rng = random.Random(3)
+    for _ in range(100):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<blockquote>", "</blockquote>", "<section>", "</section>", "word, word ", "a sentence of text. ", "<b>bold</b>"]) for _ in range(60))
+        root = maintext.parse(page)
+        want, seen = _plain_points(root), {}
+        nodes = maintext._walk(root)
+        maintext._measure(nodes)
+        keep = maintext._kept
+        try:
+            maintext._kept = lambda best, fair, seen=seen: seen.update(score=fair(best)) or [best]
+            maintext.main_text(page)
+        finally:
+            maintext._kept = keep
+        fair = [want[n] * (1 - n.linked / n.size if n.size else 0) for n in nodes if n in want and n.tag not in ("a", "p")]
+        assert seen.get("score") == (pytest.approx(max(fair)) if fair else None)
