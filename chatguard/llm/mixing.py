@@ -104,7 +104,8 @@ def mix_to_targets(docs: DataFrame, size: str = "size", source: str = "source",
     last in order). A document of size 0 is kept once. Repeated rows are documents of their own; reruns give
     the same copies for the same set of rows. An empty table gives an empty result. The tokens taken of a
     source differ from its target by at most about half its largest document, and by far less where the source
-    has many. Columns named mix_* are replaced; others pass through. The number of sources is checked.
+    has many. Columns named mix_* are replaced; others pass through whatever their names, but for names that begin
+    with two underscores. The number of sources is checked.
     """
     docs = docs.drop("mix_source_size", "mix_target", "mix_copies")
     whole = F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")
@@ -134,27 +135,35 @@ def mix_to_targets(docs: DataFrame, size: str = "size", source: str = "source",
     for r in tried:
         offset[r["sno"]] = min(range(_OFFSETS), key=lambda k: (abs(r[f"u{k}"] - targets[r["sno"]]), abs(k - _OFFSETS // 2))) / _OFFSETS
     copies = F.greatest(F.lit(0), F.least(whole_copies(_of(offset)), (F.col("n") * int(max_rate))))
-    groups = run.withColumn("copies", copies).select("sno", "size", F.floor(F.col("copies") / F.col("n")).cast("int").alias("base"), (F.col("copies") % F.col("n")).alias("extra"), F.col("n").alias("of"))
+    groups = run.withColumn("copies", copies).select(
+        F.col("sno").alias("__sno"), F.col("size").alias("__size"), F.floor(F.col("copies") / F.col("n")).cast("int").alias("__base"), (F.col("copies") % F.col("n")).alias("__extra"), F.col("n").alias("__of")
+    )
 
     marked = docs.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
     mine = [c for c in docs.columns if c not in (size, source)]
-    mark = F.xxhash64(*[F.col(c) for c in [*mine, "__size"] if not dict(docs.dtypes).get(c, "").startswith(("map", "variant"))])
-    marked = marked.withColumn("__mark", mark).join(F.broadcast(numbered) if len(rows) <= 10_000 else numbered, F.col(source).eqNullSafe(F.col("__source"))).drop("__source").withColumnRenamed("sno", "__sno")
+    mark = F.xxhash64(*[_named(c) for c in [*mine, "__size"] if not dict(docs.dtypes).get(c, "").startswith(("map", "variant"))])
+    known = numbered.withColumnRenamed("sno", "__sno")
+    marked = marked.withColumn("__mark", mark).join(F.broadcast(known) if len(rows) <= 10_000 else known, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     marked = marked.withColumn("__salt", F.pmod(F.col("__mark"), F.lit(_SALTS)).cast("int"))
     # The copies of a (source, size) group go to salted parts of it, in proportion; the rows of a part are then ranked.
-    parts = marked.groupBy("__sno", "__size", "__salt").agg(F.count("*").alias("part"))
-    parts = parts.join(groups, (parts["__sno"] == groups["sno"]) & (parts["__size"] == groups["size"])).drop("sno", "size")
+    parts = marked.groupBy("__sno", "__size", "__salt").agg(F.count("*").alias("__part"))
+    parts = parts.join(groups, ["__sno", "__size"])
     in_group = Window.partitionBy("__sno", "__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("upto", F.sum("part").over(in_group))
-    share = lambda upto: F.floor(F.col("extra") * upto / F.col("of"))
-    parts = parts.select("__sno", "__size", "__salt", "base", (share(F.col("upto")) - share(F.col("upto") - F.col("part"))).alias("more"))
+    parts = parts.withColumn("__upto", F.sum("__part").over(in_group))
+    share = lambda upto: F.floor(F.col("__extra") * upto / F.col("__of"))
+    parts = parts.select("__sno", "__size", "__salt", "__base", (share(F.col("__upto")) - share(F.col("__upto") - F.col("__part"))).alias("__more"))
     place = Window.partitionBy("__sno", "__size", "__salt").orderBy("__mark")
     ranked = marked.withColumn("__place", F.row_number().over(place)).join(parts, ["__sno", "__size", "__salt"])
     ranked = ranked.withColumns(
         {
             "mix_source_size": F.element_at(F.from_json(F.lit(json.dumps([r["total"] for r in rows])), "array<bigint>"), F.col("__sno") + 1),
             "mix_target": _of(targets, "__sno"),
-            "mix_copies": (F.col("base") + F.when(F.col("__place") <= F.col("more"), 1).otherwise(0)).cast("int"),
+            "mix_copies": (F.col("__base") + F.when(F.col("__place") <= F.col("__more"), 1).otherwise(0)).cast("int"),
         }
     )
-    return ranked.select(*docs.columns, "mix_source_size", "mix_target", "mix_copies")
+    return ranked.select(*[_named(c) for c in docs.columns], "mix_source_size", "mix_target", "mix_copies")
+
+
+def _named(column: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")

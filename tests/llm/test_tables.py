@@ -70,6 +70,15 @@ def test_awkward_mix(spark, awkward, nothing):
     assert _mixed(spark, [(1, "a", 0), (2, "a", None)])["mix_copies"].tolist() == [1, 1]
 
 
+def test_mix_takes_any_column_names(spark):
+    names = ("base", "more", "sno", "n", "part", "upto", "extra", "of", "total", "want", "from", "to", "copies", "x.y", "mix_target")
+    rows = spark.createDataFrame([(k, "ab"[k % 2], k % 7, *names) for k in range(40)], ", ".join(["doc_id long", "source string", "size long", *(f"`{n}` string" for n in names)]))
+    got = mix_to_targets(rows).toPandas()
+    assert all((got[n] == n).all() for n in names if n != "mix_target") and len(got) == 40
+    plain = mix_to_targets(rows.select("doc_id", "source", "size")).groupBy("source").agg(F.sum(F.col("size") * F.col("mix_copies")).alias("t")).collect()
+    assert {r["source"]: r["t"] for r in plain} == got.assign(t=got["size"] * got["mix_copies"]).groupby("source")["t"].sum().to_dict()
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(0)
     for _ in range(30):
