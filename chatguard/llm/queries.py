@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, pii, reshard, toxicity, urlrules, vafile
-from chatguard.llm.store import keep
+from chatguard.llm.store import keep, new_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -47,8 +47,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.pmod(F.xxhash64("source"), F.lit(16))
-    rows = reshard.reshard(_table(spark, sf_dir, "documents"), old, old_shards=16, new_shards=24)
+    docs, old = _table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    slim, plan = reshard.plan_reshard(docs, old, old_shards=16, new_shards=24)
+    path = new_folder(spark, "resharded")
+    shard, slot = reshard.rewrite_affected(docs, old, plan, path)
+    # Rows of rewritten shards are read from their files, the others stand where the plan says they stay.
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    written = spark.read.parquet(path).select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.col(shard).cast("int").alias("shard"), F.col(slot).alias("slot"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard"))
+    stays = reshard.assigned(slim, plan).filter(~F.col("shard").isin(plan.changed)).select(*written.columns)
+    rows = written.unionByName(stays)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -1,14 +1,16 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, move the fewest bytes.
 
-Documents are grouped into blocks (old shard x hash of the id); only block totals reach the driver, and their
+Documents are grouped into blocks (old shard x hash of id and text); only block totals reach the driver, and their
 number is bounded by the parameters. A min-cost flow over old and new shards says how many bytes each old shard
 sends where (staying is free); blocks then follow the flow, largest first, and slots come from block offsets.
+The files of every shard that gains or loses rows are then rewritten, all others are left alone.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,14 +62,18 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int
     return flow
 
 
-def place_blocks(blocks: list[tuple[int, int, int]], old_shards: int, new_shards: int) -> dict[tuple[int, int], int]:
-    """(old, block) -> new shard for blocks (old, block, bytes): the flow's transfers, then a few moves that even out."""
+def place_blocks(blocks: list[tuple[int, int, int]], old_shards: int, new_shards: int) -> tuple[dict[tuple[int, int], int], int]:
+    """(old, block) -> new shard for blocks (old, block, bytes), and the bytes that the flow moves at least.
+
+    Blocks follow the flow's transfers; whole blocks do not fit them to the byte, so a few moves then even out.
+    """
     supply = [0] * old_shards
     for old, _, size in blocks:
         supply[old] += size
     even, rest = divmod(sum(supply), new_shards)
     capacity = [even + (j < rest) for j in range(new_shards)]
     flow = min_cost_flow(supply, capacity, lambda i, j: 0 if i == j else 1)
+    least = sum(n for i, row in enumerate(flow) for j, n in enumerate(row) if i != j)
     place: dict[tuple[int, int], int] = {}
     load = [0] * new_shards
     held: list[dict[tuple[int, int], int]] = [{} for _ in range(new_shards)]
@@ -91,54 +97,106 @@ def place_blocks(blocks: list[tuple[int, int, int]], old_shards: int, new_shards
         held[small][key] = size
         place[key] = small
         load[big], load[small] = load[big] - size, load[small] + size
-    return place
+    return place, least
 
 
 def _long_array(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
+@dataclass
+class Plan:
+    """Where every block goes: shard and first slot by old shard * blocks_per_shard + block."""
+
+    blocks_per_shard: int
+    new_shards: int
+    shard: list[int]
+    offset: list[int]
+    shard_bytes: list[int]
+    moved_bytes: int  # bytes that change their shard
+    least_bytes: int  # what the flow, which may part blocks, moves
+    changed: list[int]  # shards that gain or lose rows
+
+
+def _keys(docs: DataFrame, old_shard: Column, doc_id: str, text: str, blocks_per_shard: int) -> DataFrame:
+    """docs with __size, __crc, __old and __block."""
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    keyed = docs.withColumns({"__size": (F.octet_length(raw) + 8).cast("long"), "__crc": F.crc32(raw).cast("long"), "__old": F.coalesce(old_shard, F.lit(0)).cast("int")})
+    spread = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col("__crc"), F.col("__size")), 20)
+    return keyed.withColumn("__block", F.pmod(spread, F.lit(blocks_per_shard)).cast("int"))
+
+
+def plan_reshard(docs: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str = "text", old_shards: int = 16, new_shards: int = 24, blocks_per_shard: int = 1024) -> tuple[DataFrame, Plan]:
+    """(doc_id, size, text_crc32, old_shard, block of every row, the plan); see reshard."""
+    slim = _keys(docs, old_shard, doc_id, text, blocks_per_shard).select(F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), F.col("__block").alias("block"))
+    slim = keep(slim, "reshard-slim")
+    totals = slim.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # at most old_shards * blocks_per_shard rows
+    place, least = place_blocks([(r["old_shard"], r["block"], r["size"]) for r in totals], old_shards, new_shards)
+    shard, offset, used = [0] * (old_shards * blocks_per_shard), [0] * (old_shards * blocks_per_shard), [0] * new_shards
+    held, moved, changed = [0] * new_shards, 0, set()
+    for r in sorted(totals, key=lambda r: (r["old_shard"], r["block"])):
+        at, to = r["old_shard"] * blocks_per_shard + r["block"], place[r["old_shard"], r["block"]]
+        shard[at], offset[at] = to, used[to]
+        used[to] += r["n"]
+        held[to] += r["size"]
+        if to != r["old_shard"]:
+            moved += r["size"]
+            changed |= {to, r["old_shard"]}
+    return slim, Plan(blocks_per_shard, new_shards, shard, offset, held, moved, least, sorted(changed))
+
+
+def _placed(rows: DataFrame, plan: Plan, old: str, block: str) -> tuple[Column, Column]:
+    """(new shard, first slot) of a row's block."""
+    at = F.col(old) * plan.blocks_per_shard + F.col(block) + 1
+    return F.element_at(_long_array(plan.shard), at).cast("int"), F.element_at(_long_array(plan.offset), at)
+
+
 def reshard(docs: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str = "text", old_shards: int = 16, new_shards: int = 24, blocks_per_shard: int = 1024) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in a shard).
 
     size is the UTF-8 length plus 8 (null text: 8). old_shard gives 0 to old_shards - 1, null counts as 0.
     Shard sizes come out near equal; the flow keeps as many bytes as it can in the shard of the same number.
-    Repeated rows get slots of their own. At most old_shards * blocks_per_shard block totals reach the driver.
+    Repeated rows get slots of their own; ties in a block go by id, size and checksum. Rows with a null id are
+    placed by their text. Rows equal in id and text stay in one block. Empty tables give an empty result. At most
+    old_shards * blocks_per_shard block totals reach the driver.
     """
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    slim = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(raw) + 8).cast("long").alias("size"),
-        F.crc32(raw).cast("long").alias("text_crc32"),
-        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-        F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 20), F.lit(blocks_per_shard)).cast("int").alias("block"),
-    )
-    slim = keep(slim, "reshard-slim")
-    totals = slim.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    place = place_blocks([(r["old_shard"], r["block"], r["size"]) for r in totals], old_shards, new_shards)
-    shard, offset, used = [0] * (old_shards * blocks_per_shard), [0] * (old_shards * blocks_per_shard), [0] * new_shards
-    for r in sorted(totals, key=lambda r: (r["old_shard"], r["block"])):
-        at = r["old_shard"] * blocks_per_shard + r["block"]
-        shard[at] = place[r["old_shard"], r["block"]]
-        offset[at] = used[shard[at]]
-        used[shard[at]] += r["n"]
-    at = F.col("old_shard") * blocks_per_shard + F.col("block") + 1
+    slim, plan = plan_reshard(docs, old_shard, doc_id, text, old_shards, new_shards, blocks_per_shard)
+    return assigned(slim, plan)
+
+
+def assigned(slim: DataFrame, plan: Plan) -> DataFrame:
+    """The assignment of reshard from its two halves."""
+    shard, first = _placed(slim, plan, "old_shard", "block")
     in_block = Window.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
-    return slim.select(
-        "doc_id", "size", "text_crc32", "old_shard",
-        F.element_at(_long_array(shard), at).cast("int").alias("shard"),
-        (F.element_at(_long_array(offset), at) + F.row_number().over(in_block) - 1).alias("slot"),
-    )
+    return slim.select("doc_id", "size", "text_crc32", "old_shard", shard.alias("shard"), (first + F.row_number().over(in_block) - 1).alias("slot"))
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id", files_per_shard: int = 8) -> list[int]:
-    """Write the documents of every shard that gains or loses any, under path/shard=N; returns those shards.
+def rewrite_affected(docs: DataFrame, old_shard: Column, plan: Plan, path: str, doc_id: str = "doc_id", text: str = "text", file_bytes: int = 128 << 20, least_files: int = 8) -> tuple[str, str]:
+    """Write the rows of every shard in plan.changed under path/new_shard=N; returns the names of the two columns added.
 
-    Shards whose documents all stay are left as they are. doc_id must be unique and not null.
+    docs and old_shard are those of the plan. Rows carry all their columns and new_slot; where docs has a column
+    new_shard or new_slot of its own, the added one gets underscores at its end. One shuffle, by shard and file:
+    a shard of b bytes is dealt over max(least_files, b / file_bytes) files by block. Folders of other shards are
+    not touched, a changed shard's folder is replaced as a whole when all its rows are written, and a shard left
+    without rows becomes empty. Null and repeated ids are rows like any other.
     """
-    moved = assigned.filter(F.col("old_shard") != F.col("shard"))
-    changed = sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect())
-    rows = docs.drop("shard", "slot").join(assigned.filter(F.col("shard").isin(changed)).select(F.col("doc_id").alias("__id"), "shard", "slot"), F.col(doc_id) == F.col("__id")).drop("__id")
-    salted = rows.repartition("shard", F.pmod(F.col("slot"), F.lit(files_per_shard)))
-    salted.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return changed
+    shard_name, slot_name = _free("new_shard", docs.columns), _free("new_slot", docs.columns)
+    keyed = _keys(docs, old_shard, doc_id, text, plan.blocks_per_shard)
+    shard, first = _placed(keyed, plan, "__old", "__block")
+    files = [max(least_files, -(-b // file_bytes)) for b in plan.shard_bytes]
+    keyed = keyed.withColumns({shard_name: shard, "__first": first}).filter(F.element_at(F.from_json(F.lit(json.dumps([k in plan.changed for k in range(plan.new_shards)])), "array<boolean>"), F.col(shard_name) + 1))
+    keyed = keyed.withColumn("__file", F.pmod(F.xxhash64("__old", "__block"), F.element_at(_long_array(files), F.col(shard_name) + 1)).cast("int"))
+    dealt = keyed.repartition(max(1, sum(files[k] for k in plan.changed if k < plan.new_shards)), shard_name, "__file")
+    in_block = Window.partitionBy(shard_name, "__file", "__old", "__block").orderBy(doc_id, "__size", "__crc")
+    rows = dealt.withColumn(slot_name, F.col("__first") + F.row_number().over(in_block) - 1).drop("__size", "__crc", "__old", "__block", "__first", "__file")
+    rows.sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    for left in plan.changed:
+        if left >= plan.new_shards or not plan.shard_bytes[left]:
+            rows.drop(shard_name).filter(F.lit(False)).write.mode("overwrite").parquet(f"{path}/{shard_name}={left}")
+    return shard_name, slot_name

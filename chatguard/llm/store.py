@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from chatguard.sources import shared_folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/chatguard/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later steps start from the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chatguard/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

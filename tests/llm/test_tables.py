@@ -110,14 +110,53 @@ def test_awkward_reshard(awkward, nothing):
     assert reshard.reshard(nothing, F.lit(0)).count() == 0
 
 
-def test_rewrite_only_affected(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assigned = reshard.reshard(docs, F.pmod("doc_id", F.lit(16))).cache()
-    changed = reshard.rewrite_affected(docs, assigned, str(tmp_path / "out"))
-    written = spark.read.parquet(str(tmp_path / "out"))
-    assert written.count() == assigned.filter(F.col("shard").isin(changed)).count()
-    stays = assigned.filter(~F.col("shard").isin(changed))
-    assert stays.filter("shard <> old_shard").count() == 0
+def _plan(docs, old, **sizes):
+    slim, plan = reshard.plan_reshard(docs, old, **sizes)
+    return reshard.assigned(slim, plan).toPandas(), plan
+
+
+def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
+    rows = [(k, f"text {k} " + "x" * (k % 40), k % 4, k) for k in range(400)] + [(None, "no id", 1, -1), (None, "no id", 1, -2), (7, "text 7 " + "x" * 7, 3, -3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, new_slot int, shard int")
+    old = F.when(F.col("doc_id") < 60, 0).when(F.col("doc_id") < 160, 1).otherwise(2)
+    path = str(tmp_path / "store")
+    plan = reshard.Plan(8, 3, [0] * 8 + [1] * 8 + [2] * 8, [0] * 24, [1, 1, 1], 0, 0, [0, 1, 2])
+    reshard.rewrite_affected(docs, old, plan, path)  # the old layout
+    spark.range(1000).withColumn("new_shard", F.lit(99)).write.partitionBy("new_shard").mode("append").parquet(path)
+    want, plan = _plan(docs, old, old_shards=3, new_shards=3, blocks_per_shard=8)
+    names = reshard.rewrite_affected(docs, old, plan, path)
+    assert names == ("new_shard", "new_slot_")
+    stored = spark.read.option("mergeSchema", True).parquet(path).toPandas()
+    assert (stored["new_shard"] == 99).sum() == 1000
+    stored = stored[stored["new_shard"] != 99]
+    assert sorted(stored["shard"]) == sorted(r[3] for r in rows)
+    assert dict(zip(stored["shard"], stored["new_slot"], strict=True)) == {r[3]: r[2] for r in rows}
+    key = lambda f, shard, slot: sorted((str(a), int(b), int(c)) for a, b, c in zip(f["doc_id"].astype("Int64"), f[shard], f[slot], strict=True))
+    assert key(stored, "new_shard", "new_slot_") == key(want, "shard", "slot")
+    assert plan.moved_bytes >= 0.9 * plan.least_bytes and sum(plan.shard_bytes) == want["size"].sum()
+
+
+def test_rewrite_empties_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "t" * 50) for k in range(100)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    for new in (4, 2):
+        _, plan = _plan(docs, F.pmod("doc_id", F.lit(4)).cast("int"), old_shards=4, new_shards=new, blocks_per_shard=16)
+        if new == 4:
+            plan.changed = [0, 1, 2, 3]
+        reshard.rewrite_affected(docs, F.pmod("doc_id", F.lit(4)).cast("int"), plan, path)
+    assert {2, 3} <= set(plan.changed)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(path).collect()) == list(range(100))
+
+
+def test_reshard_query_reads_its_files(spark):
+    from chatguard.llm import queries as Q
+
+    rows = Q.op6_flow_reshard(spark, DATA).toPandas()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert sorted(rows["doc_id"]) == sorted(docs) and all(c == zlib.crc32(docs[i].encode()) for i, c in zip(rows["doc_id"], rows["text_crc32"], strict=True))
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in rows.groupby("shard"))
+    moved = rows.loc[rows["shard"] != rows["old_shard"], "size"].sum() / rows["size"].sum()
+    assert 0.3 < moved < 0.6
 
 
 def test_pipeline_stages(spark):
