@@ -8,12 +8,15 @@ cumulative segment lengths and position numbers that start again at every segmen
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed value: the published pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,6 +33,8 @@ def load_vocabulary(path: str, pattern: str = PATTERN):
     if (path, pattern) not in _LOADED:
         import tiktoken
 
+        if not os.path.isfile(path):
+            raise FileNotFoundError(f"no vocabulary at {path}: every worker needs the rank file; name it by the vocabulary parameter")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _LOADED[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -106,7 +111,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     cu_seqlens bounds it, with 0 first and n_tokens last. input_ids and position_ids hold `length` little-endian
     numbers, uint16 if the vocabulary and the length allow it, else uint32; ids after n_tokens are pad_id.
     Positions start at 0 in every segment. Nothing is dropped: the pieces of a document in order are its tokens.
-    Null and empty texts have no tokens and so no segment; a null id stays null; repeated rows are packed each.
+    Null and empty texts have no tokens and so no segment; a null id stays null; repeated rows are packed each;
+    other columns are not read, whatever their names; doc_id must cast to long. Texts are tokenised in stretches
+    of at most 131,072 characters that part at a space; only where that many characters hold no space a word is
+    parted, and may then take other tokens than alone, which spell the same text.
     Rows and their order depend on how the input is split over tasks; seq_id is unique.
     """
 
@@ -150,6 +158,49 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
             done = pack(held, first, kind)
             yield from (done.slice(k, 256) for k in range(0, done.num_rows, 256))
 
-    from pyspark.sql import functions as F
-
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+
+
+FILES = "part string, rows long, segments long, tokens long, row_bytes long"
+
+
+def write_binary(rows: DataFrame, path: str) -> DataFrame:
+    """Write packed rows as flat binary files under path, a folder or URI that all executors share; returns their list.
+
+    Each task writes part-N.ids and part-N.positions (little-endian ids and positions, row_bytes for each
+    row), part-N.cu (rows x (segments + 1) int32 bounds, row after row) and part-N.docs (doc_id int64, -1 for
+    null, and piece int32 of each segment). A task that runs again writes files of its own attempt; the list, one
+    row for each part with rows, is written last as path/files.parquet and names the parts that count.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        task = TaskContext.get()
+        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+        part = f"part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        width, outs, count = 0, {}, {"rows": 0, "segments": 0, "tokens": 0}
+        for frame in frames:
+            if not len(frame):
+                continue
+            if not outs:
+                store.create_dir(folder, recursive=True)
+                outs = {kind: store.open_output_stream(f"{folder}/{part}.{kind}") for kind in ("ids", "positions", "cu", "docs")}
+            for ids, at, cut, docs, pieces in zip(frame["input_ids"], frame["position_ids"], frame["cu_seqlens"], frame["doc_ids"], frame["pieces"], strict=True):
+                width = len(ids)
+                outs["ids"].write(ids)
+                outs["positions"].write(at)
+                outs["cu"].write(np.asarray(cut, "<i4").tobytes())
+                named = np.array([(-1 if d is None or d != d else int(d), p) for d, p in zip(docs, pieces, strict=True)], dtype=[("doc", "<i8"), ("piece", "<i4")])
+                outs["docs"].write(named.tobytes())
+                count["rows"] += 1
+                count["segments"] += len(cut) - 1
+                count["tokens"] += int(cut[-1])
+        for out in outs.values():
+            out.close()
+        if outs:
+            yield pd.DataFrame([{"part": part, **count, "row_bytes": width}])
+
+    listed = rows.select("input_ids", "position_ids", "cu_seqlens", "doc_ids", "pieces").mapInPandas(run, FILES)
+    listed.write.mode("overwrite").parquet(f"{path}/files.parquet")
+    return rows.sparkSession.read.schema(FILES).parquet(f"{path}/files.parquet")

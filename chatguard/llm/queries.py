@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, pii, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep, new_folder
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# A public rank file that every worker holds; CHATGUARD_VOCABULARY names another.
+VOCABULARY = os.environ.get("CHATGUARD_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
-    return rows.select("seq_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", F.crc32("position_ids").alias("positions_crc32"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,28 @@ def test_packing_round_trip(spark, awkward, nothing):
     assert packing.pack_documents(nothing, Q.VOCABULARY).count() == 0
 
 
+def test_binary_files(spark, tmp_path):
+    rows = packing.pack_documents(_docs(spark).select("doc_id", "text").union(spark.createDataFrame([(None, "no id")], "doc_id long, text string")).repartition(3), Q.VOCABULARY, length=128).cache()
+    path = str(tmp_path / "packed")
+    files = packing.write_binary(rows, path).collect()
+    got = []
+    for f in files:
+        read = lambda kind, dtype, f=f: np.fromfile(f"{path}/{f['part']}.{kind}", dtype)
+        ids, at, cut, docs = read("ids", "<u2"), read("positions", "<u2"), read("cu", "<i4"), read("docs", [("doc", "<i8"), ("piece", "<i4")])
+        assert f["row_bytes"] == 256 and len(ids) == len(at) == f["rows"] * 128 and len(docs) == f["segments"] and len(cut) == f["segments"] + f["rows"]
+        starts = [*np.flatnonzero(cut == 0).tolist(), len(cut)]
+        done = 0
+        for r, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+            mine = docs[done : done + b - a - 1]
+            done += b - a - 1
+            got.append((ids[r * 128 : (r + 1) * 128].tobytes(), at[r * 128 : (r + 1) * 128].tobytes(), cut[a:b].tolist(), mine["doc"].tolist(), mine["piece"].tolist()))
+    want = [(bytes(r["input_ids"]), bytes(r["position_ids"]), r["cu_seqlens"], [-1 if d is None else d for d in r["doc_ids"]], r["pieces"]) for r in rows.collect()]
+    assert sorted(got) == sorted(want) and sum(f["tokens"] for f in files) == sum(r["n_tokens"] for r in rows.collect())
+    assert packing.write_binary(rows.filter("1 = 0"), str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        packing.load_vocabulary("/nowhere/ranks")
+
+
 def test_long_stretches_part_where_tokens_part():
     encoding = packing.load_vocabulary(Q.VOCABULARY)
     text = "some words, in  a row\n" * 9000
