@@ -1,10 +1,11 @@
 """Personal data by a character-level bidirectional LSTM with a CRF on top, beside exact base patterns.
 
 The network is trained in numpy from labelled spans: base matches in a bounded sample of documents, and planted
-values in several spellings set into stretches of the same documents. At scan time every whole text is cut into
-overlapping windows; their scores are blended, weighted towards window centres, and one Viterbi pass over the
-text settles all spans. Model spans must still hold a value of their kind (digits, checksum, number ranges) and
-never replace a base span; texts that cannot hold one (no digit, no spelling of @) are not decoded.
+values in several spellings set into stretches of the same documents. At scan time texts are cut into overlapping
+windows; their scores are blended, weighted towards window centres, and one Viterbi pass over each stretch settles
+all its spans. Model spans must still hold a value of their kind (digits, checksum, number ranges) and never replace
+a base span. Every value holds a digit or a spelling of @, so no window is run that lies farther than a whole window
+from the next of these: a span could reach it only across WINDOW characters of prose, which is no value.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 _DIGITS = re.compile(r"[0-9]+")
 _OPEN, _SHUT = r"[\[({<] ?", r" ?[\])}>]"
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
@@ -36,13 +36,16 @@ _DOT = rf"(?: ?(?:\.|{_OPEN}(?:(?i:dot)|\.){_SHUT}) ?| (?i:dot) )"
 _SAID = rf"(?: ?{_OPEN}(?i:dot){_SHUT} ?| (?i:dot) )"
 # A bare "at" is an @ only where a dot is spelled out as well.
 _ADDRESS = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| (?i:at) {_LABEL}(?:{_DOT}{_LABEL})*{_SAID}{_LABEL}(?:{_DOT}{_LABEL})*)")
-_POSSIBLE = re.compile(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]|\s(?i:at)\s")
+_POSSIBLE = re.compile(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]|\s(?i:at)(?=\s)")
+_BARE_DOT = re.compile(r"\s(?i:dot)\s|[\[({<] ?(?i:dot) ?[\])}>]")
 
 _MARKS = " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = 6 + len(_MARKS)
 _TABLE = np.full(256, 5, dtype=np.int16)
 _TABLE[[*range(97, 123)]], _TABLE[[*range(65, 91)]], _TABLE[[*range(48, 58)]] = 1, 2, 3
 _TABLE[[ord(c) for c in _MARKS]] = np.arange(6, _CLASSES)
+_TABLE[0xA0] = 6
+_DASHES, _SPACES = [*range(0x2010, 0x2016)], [*range(0x2000, 0x200B), 0x202F]
 
 WINDOW, STRIDE, MARGIN = 96, 64, 24
 
@@ -112,8 +115,10 @@ def settled(text: str, span: tuple[int, int, int], taken: list[tuple[int, int]])
                 if kind:
                     m = re.search(r"[0-9+](?:.*[0-9])?", text[start:end], re.S)
                     start, end = (start + m.start(), start + m.end()) if m else (start, start)
-                if start < end and holds_value(kind, text[start:end]):
-                    out.append((start, end, kind))
+                # What the digits are is settled by their value: 00 49 ... tagged as a card is a telephone number.
+                real = next((k for k in (kind, *((3, 2, 1) if kind else ())) if start < end and holds_value(k, text[start:end])), None)
+                if real is not None:
+                    out.append((start, end, real))
                     first = last
                     break
             first += 1
@@ -138,10 +143,14 @@ def grown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def encode(text: str) -> np.ndarray:
-    """Character classes: letters by case, digits, each ASCII mark, other letters and all else."""
+    """Character classes: letters by case, digits, each ASCII mark with dashes and spaces like it, other letters and all else."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    ids = _TABLE[np.minimum(codes, 255)]
-    return np.where(codes > 191, 4, ids).astype(np.int16)
+    ids = np.where(codes > 191, np.int16(4), _TABLE[np.minimum(codes, 255)])
+    wide = (codes >= 0x2000) & (codes < 0x2213)
+    if wide.any():
+        ids[wide & np.isin(codes, _SPACES)] = _TABLE[32]
+        ids[wide & (np.isin(codes, _DASHES) | (codes == 0x2212))] = _TABLE[45]
+    return ids
 
 
 class Network:
@@ -202,33 +211,36 @@ class Network:
             grad["h"] += np.swapaxes(old, 1, 2) @ dz
             d_state, d_cell = dz @ np.swapaxes(p["h"], 1, 2), d_cell * f
         for k in range(2):
-            np.add.at(grad["x"][k], both[k].ravel(), d_inputs[k].reshape(-1, 4 * h))
+            one = np.zeros((n * steps, _CLASSES), np.float32)
+            one[np.arange(n * steps), both[k].ravel()] = 1
+            grad["x"][k] = one.T @ d_inputs[k].reshape(-1, 4 * h)
         return loss / n, grad
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 def crf_gradient(scores: np.ndarray, trans: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(summed negative log-likelihood, its gradient by scores, by transitions) of a linear-chain CRF."""
+    """(summed negative log-likelihood, its gradient by scores, by transitions) of a linear-chain CRF.
+
+    Forward and backward passes run on probabilities that are scaled to sum to 1 at every step.
+    """
     n, steps, k = scores.shape
-    forward, backward = np.empty_like(scores), np.zeros_like(scores)
-    forward[:, 0] = scores[:, 0]
-    for t in range(1, steps):
-        forward[:, t] = _lse(forward[:, t - 1, :, None] + trans, 1) + scores[:, t]
+    top = scores.max(axis=2, keepdims=True)
+    seen, step = np.exp(scores - top), np.exp(trans)
+    forward, backward, scale = np.empty_like(scores), np.ones_like(scores), np.empty((n, steps, 1))
+    now = seen[:, 0]
+    for t in range(steps):
+        now = (forward[:, t - 1] @ step) * seen[:, t] if t else now
+        scale[:, t] = now.sum(axis=1, keepdims=True)
+        forward[:, t] = now / scale[:, t]
     for t in range(steps - 2, -1, -1):
-        backward[:, t] = _lse(trans + (scores[:, t + 1] + backward[:, t + 1])[:, None], 2)
-    whole = _lse(forward[:, -1], 1)
-    d_scores = np.exp(forward + backward - whole[:, None, None])
-    pair = np.exp(forward[:, :-1, :, None] + trans + (scores[:, 1:] + backward[:, 1:])[:, :, None] - whole[:, None, None, None])
-    d_trans = pair.sum((0, 1))
+        backward[:, t] = ((seen[:, t + 1] * backward[:, t + 1]) @ step.T) / scale[:, t + 1]
+    d_scores = forward * backward
+    after = seen[:, 1:] * backward[:, 1:] / scale[:, 1:]
+    d_trans = step * (forward[:, :-1].reshape(-1, k).T @ after.reshape(-1, k))
     rows, cols = np.arange(n)[:, None], np.arange(steps)[None]
     d_scores[rows, cols, gold] -= 1
     np.add.at(d_trans, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), -1)
     right = scores[rows, cols, gold].sum() + trans[gold[:, :-1], gold[:, 1:]].sum()
-    return float(whole.sum() - right), d_scores, d_trans
+    return float((np.log(scale) + top).sum() - right), d_scores, d_trans
 
 
 def viterbi(scores: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
@@ -264,21 +276,40 @@ def viterbi(scores: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def stretches(text: str, margin: int = MARGIN) -> list[tuple[int, int]]:
-    """Parts of a text around digits and @ or (at): where training pieces are taken."""
+def stretches(text: str, margin: int) -> list[tuple[int, int]]:
+    """Parts of a text within margin characters of a digit, an @ or a spelling of it, out to whole words.
+
+    A bare at counts only if a bare or bracketed dot follows it: no address can come of it otherwise.
+    """
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
+    said = -1 if _BARE_DOT.search(text) is None else 0
+    for m in _POSSIBLE.finditer(text):
+        if m[0][0].isspace() and said >= 0 and said <= m.start():
+            dot = _BARE_DOT.search(text, m.end() - 1)
+            said = dot.start() if dot else -1
+        if m[0][0].isspace() and said < 0:
+            continue
         low, high = max(0, m.start() - margin), min(len(text), m.end() + margin)
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
             out.append((low, high))
-    return out
+    whole: list[tuple[int, int]] = []
+    for low, high in out:
+        while low and not text[low - 1].isspace() and (not whole or low > whole[-1][1]):
+            low -= 1
+        while high < len(text) and not text[high].isspace():
+            high += 1
+        if whole and low <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(high, whole[-1][1]))
+        else:
+            whole.append((low, high))
+    return whole
 
 
 def model_spans(texts: list[str], network: Network) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network for each text: window scores blended over the text, decoded as a whole."""
-    where = sorted(((k, 0, len(text)) for k, text in enumerate(texts) if _POSSIBLE.search(text)), key=lambda x: x[2])
+    """Spans of the network for each text: window scores blended over a stretch, which is decoded as a whole."""
+    where = sorted(((k, low, high) for k, text in enumerate(texts) if _POSSIBLE.search(text) for low, high in stretches(text, WINDOW)), key=lambda x: x[2] - x[1])
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     bell = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
     at = 0
@@ -342,21 +373,29 @@ def planted(rng: np.random.Generator, kind: int, said: bool = False) -> str:
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     num = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     if kind == 0:
-        local = pick(word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{num(1)}", f"{word()}+{word()}")
+        local = pick(word(), word(), word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{num(1)}", f"{word()}+{word()}")
         if not rng.integers(4):
             local = f"{word()}.{word()}_{word()}{num(2)}"
-        host, end = word() + pick("", num(1), "-" + word()), pick("com", "net", "org", "de", "example.com")
+        host, end = word() + pick("", num(1), "-" + word()), pick("com", "net", "org", "de", "io", "co", "info", "example.com")
         if said or not rng.integers(5):
-            return local + pick(" at ", " at ", " AT ") + host + pick(" dot ", " dot ", " DOT ", "[dot]") + end
+            return local + pick(" at ", " at ", " AT ") + host + pick(" dot ", " dot ", " dot ", " DOT ", "[dot]", "(dot)") + end
         at = pick("@", "@", "@", " @ ", " [at] ", "(at)", " (AT) ", "[AT]", "{at}", " {at} ", "<at>", " <AT> ", " (at) ")
         return local + at + host + pick(".", ".", ".", " . ", "[.]", "(dot)", " [DOT] ", "{dot}", "<dot>") + end
     if kind == 1:
-        return pick(".", ".", ".", "[.]", " . ", "(.)").join(str(rng.integers(0, 256)) for _ in range(4))
+        return pick(".", ".", ".", "[.]", " . ", "(.)", "[dot]", "(dot)", " dot ", ",", "{.}").join(str(rng.integers(0, 256)) for _ in range(4))
     if kind == 2:
-        digits, gap = _luhn_number(rng, int(pick(13, 15, 16, 16, 16, 19))), pick("", "", " ", "-", ".", "/", "  ")
-        return gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    start, gap = pick("+", "+", "+", "00"), pick(" ", "-", ".", "/", " - ")
-    return start + pick(num(1), num(2)) + gap + pick(f"({num(3)})", num(3), num(2)) + gap + num(3) + pick(gap, "") + num(4)
+        digits, gap = _luhn_number(rng, int(pick(13, 15, 16, 16, 16, 19))), pick("", "", " ", "-", ".", "/", "  ", "_", "\u2013", " - ", "\u00a0", ",")
+        sizes = pick((4, 4, 4, 4, 4), (4, 6, 5, 4), (4, 4, 4, 4, 4), (8, 8, 8))
+        cut = np.cumsum([0, *sizes])
+        return gap.join(x for a, b in zip(cut, cut[1:], strict=False) if (x := digits[a:b]))
+    # A country prefix, then two to five groups with one kind of gap; the first group may stand in brackets.
+    head = pick("+", "+", "+", "00", "00 ", "+ ", "(+", "(00") + num(int(pick(1, 2, 2, 3)))
+    head += ")" if head[0] == "(" else ""
+    gap = pick(" ", " ", "-", ".", "/", " - ", " / ", "\u2013", "\u00a0", "  ", "_", "", "")
+    groups = [num(int(n)) for n in pick((3, 3, 4), (2, 3, 4), (2, 4, 4), (3, 7), (2, 8), (1, 2, 2, 2, 2), (3, 4, 3), (2, 3, 2, 2), (4, 6))]
+    if not rng.integers(3):
+        groups[0] = pick(f"({groups[0]})", f"(0){groups[0]}", f"(0{groups[0]})")
+    return head + (pick(gap, gap, " ") if gap else pick("", " ")) + gap.join(groups)
 
 
 def _sampled(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -366,7 +405,7 @@ def _sampled(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFram
         for text in frame.iloc[:, 0]:
             text = text or ""
             spans = base_spans(text)
-            for low, high in stretches(text)[:8] or [(0, min(len(text), width))]:
+            for low, high in stretches(text, MARGIN) or [(0, min(len(text), width))]:
                 mid = max(0, (low + high - width) // 2)
                 piece = text[mid : mid + width]
                 inside = [(a - mid, b - mid, k) for a, b, k in spans if a >= mid and b <= mid + width]
@@ -383,12 +422,15 @@ def tagged(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
     return tags
 
 
-def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 5, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 300) -> Network:
-    """A network from labelled pieces plus planted values set into them; deterministic for the same pieces."""
+def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 8, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 300) -> Network:
+    """A network from labelled pieces plus planted values set into them; deterministic for the same pieces.
+
+    A training row is `width` characters long: what a piece holds beyond them serves as no label and no context.
+    """
     rng = np.random.default_rng(seed)
     contexts = [p for p, spans in pieces if not spans] or ["the order of and in"]
     rows = list(pieces)
-    for kind, said in [*((k, False) for k in range(len(KINDS))), *[(0, True)] * 3]:
+    for kind, said in [*((k, False) for k in range(len(KINDS))), *[(0, True)] * 6, *[(3, False)] * 3, (2, False), (1, False)]:
         for _ in range(planted_each):
             value, around = planted(rng, kind, said), contexts[rng.integers(len(contexts))]
             cut = int(rng.integers(0, max(1, min(len(around), width - len(value) - 2))))
