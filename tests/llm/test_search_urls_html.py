@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import DATA, canonical, tables
 
@@ -26,8 +27,9 @@ def _brute(rows, asked, k):
     return out
 
 
-@pytest.mark.parametrize("block,cells", [(3, 2), (50, 16), (10_000, 64)])
-def test_exact_search(spark, block, cells):
+@pytest.mark.parametrize("block,cells", [(3, 2), (50, 16), (10_000, 256)])
+def test_exact_search(spark, block, cells, monkeypatch):
+    monkeypatch.setattr(vafile, "_SLICE", 1500 if block == 3 else 1 << 25)
     rng = random.Random(block)
     rows = {i: [rng.randint(-9, 9) for _ in range(6)] for i in range(120)} | {i: [1, 2, 3, 4, 5, 6] for i in range(120, 140)} | {200: [5], 201: [7], 202: [0]}
     frame = spark.createDataFrame(list(rows.items()), "vec_id long, vec array<long>")
@@ -37,6 +39,35 @@ def test_exact_search(spark, block, cells):
     assert {tuple(r) for r in got} == _brute(rows, {i: v for i, v in rows.items() if i % 7 == 0 or i > 118}, 5)
 
 
+def test_bounds_hold_every_product():
+    rng = np.random.default_rng(8)
+    for high in (3, 300, 1 << 20, 1 << 28):
+        rows, asked = rng.integers(-high, high, (200, 24)), rng.integers(-high, high, (30, 24))
+        (block,) = vafile._blocks(iter([pd.DataFrame({"ids": [[k] for k in range(200)], "vec": list(rows)})]), 500, 256)
+        cells = vafile.Cells(24, *(block[c][0] for c in ("codes", "low", "width")))
+        base, under, over = cells.bounds(asked.astype(float))
+        products = asked @ rows.T
+        assert (base + under[:, None] <= products).all() and (products <= base + over[:, None]).all()
+        assert high < 100 or (over - under).mean() < 0.1 * np.ptp(products)
+
+
+def test_search_reads_few_exact_vectors():
+    rng = np.random.default_rng(9)
+    rows, asked = rng.integers(-256, 256, (4000, 16)), rng.integers(-256, 256, (20, 16))
+    frames = list(vafile._blocks(iter([pd.DataFrame({"ids": [[k] for k in range(4000)], "vec": list(rows)})]), 1000, 256))
+    some = vafile.Asked(list(range(10_000, 10_020)), list(asked))
+    bounds = pd.concat(list(vafile._scan_bounds(iter(frames), some, 6)))
+    some.raise_floors(bounds.groupby("query_id")["bound"].nsmallest(1).reset_index().rename(columns={"bound": "floor"}))
+    read = []
+    add = vafile.Best.add
+    try:
+        vafile.Best.add = lambda self, q, s, i: read.append(len(q)) or add(self, q, s, i)
+        got = pd.concat(list(vafile._scan_exact(iter(frames), some, 5)))
+    finally:
+        vafile.Best.add = add
+    assert sum(read) < 20 * 4000 * 0.05 and len(got) == 100
+
+
 def test_search_skips_unusable_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [0.5, 0.25]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (None, [1.0, 1.0]), (7, [-0.001, 1.0])]
