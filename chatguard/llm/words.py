@@ -1,15 +1,20 @@
 """Words and word n-grams of whole texts as 64-bit hashes, computed over numpy arrays.
 
-A word is a maximal run of ASCII letters and digits and non-ASCII characters of the lower-cased text.
+A word is a maximal run of letters and digits of the lower-cased text; every character of a script that is written
+without spaces is a word of its own. Signs of other languages part words as ASCII signs do: Latin-1 signs, general
+and CJK punctuation, spaces, currency signs, arrows, symbols, full-width signs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 _PIECE = 1 << 19
+_SIGNS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u303f\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("([\u0e00-\u0e7f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u31ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff])")
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +56,14 @@ def _hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
+def _plain(text: str) -> bytes:
+    """Lower-cased UTF-8 with a space for every sign and around every character of an unspaced script."""
+    low = text.lower()
+    if not low.isascii():
+        low = _UNSPACED.sub(r" \1 ", _SIGNS.sub(" ", low))
+    return low.encode("utf-8", "replace")
+
+
 def _pieces(text: str) -> Iterator[str]:
     """The text in pieces of bounded length, cut where a separator stands (a longer word is cut at the bound)."""
     at = 0
@@ -80,12 +93,12 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         if len(text) > _PIECE:
             if held:
                 yield flush(k)
-            parts = [_hash_bytes(x.lower().encode("utf-8", "replace"))[0] for x in _pieces(text)]
+            parts = [_hash_bytes(_plain(x))[0] for x in _pieces(text)]
             hashes = np.concatenate(parts)
             yield k, k + 1, hashes, np.array([len(hashes)])
             first, held, size = k + 1, [], 0
             continue
-        data = text.lower().encode("utf-8", "replace")
+        data = _plain(text)
         held.append(data)
         size += len(data)
         if size > _PIECE:

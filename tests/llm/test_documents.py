@@ -88,6 +88,55 @@ def test_near_duplicates_equal_brute_force(spark):
     assert small == got
 
 
+def test_large_mixed_buckets_are_dealt_again(spark, monkeypatch):
+    """Blocks of four texts make nearly every bucket large; classes must still equal brute force."""
+    monkeypatch.setattr(D, "_BLOCK_TEXTS", 4)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, texts = [word() for _ in range(80)], {}
+    for k in range(90):  # many texts share most of a passage: alike in some bands, similar only within their family
+        family = random.Random(k // 6)
+        own = ["".join(family.choice("abcdefgh") for _ in range(4)) for _ in range(50)]
+        if k % 6:
+            own[rng.randrange(50)] = word()
+        texts[k] = " ".join(passage + own)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["class_id"] for r in D.near_duplicate_classes(frame).collect()}
+    assert got == _classes(texts) and 10 < len(set(got.values())) < 60
+
+
+@pytest.mark.parametrize("share,least", [(0.01, 0.95), (0.02, 0.9), (0.03, 0.9)])
+def test_near_copy_recall(spark, share, least):
+    """Copies with a share of their words replaced: all that reach the similarity are found; at 1 % nearly all do, at 2 % two thirds, at 3 % few."""
+    rng = random.Random(int(1000 * share))
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    texts = {}
+    for k in range(120):
+        base = [word() for _ in range(300)]
+        texts[2 * k] = " ".join(base)
+        texts[2 * k + 1] = " ".join(word() if rng.random() < share else w for w in base)
+    want = _classes(texts)
+    got = {r["id"]: r["class_id"] for r in D.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    reach = [k for k in range(120) if want[2 * k + 1] == 2 * k]
+    assert sum(got[2 * k + 1] == 2 * k for k in reach) >= least * len(reach) and len(reach) >= {0.01: 110, 0.02: 60, 0.03: 5}[share]
+
+
+def test_signs_part_words():
+    def words(text):
+        return sum(int(c.sum()) for _, _, _, c in word_hashes([text]))
+
+    assert words("“one”—two…three\u00a0four’s") == 5 and words("ñandú größe été") == 3 and words("价格很高 ok") == 5 and words("« un »") == 1 and words("ａ、ｂ。") == 2
+
+
+def test_components_with_hot_keys(spark):
+    edges = spark.createDataFrame([(k, 0) for k in range(1, 60)] + [(k, k - 1) for k in range(100, 130)], "a long, b long")
+    values = spark.createDataFrame([(0, 59, "x"), (1, 1, "y")], "a long, n long, v string")
+    rows = spark.createDataFrame([(0, k) for k in range(59)] + [(1, 7)], "a long, k long")
+    assert sorted((r["k"], r["v"]) for r in D._by_key(rows, values, ["a"], hot=10).collect()) == sorted([(k, "x") for k in range(59)] + [(7, "y")])
+    got = {r["id"]: r["root"] for r in D.components(edges).collect()}
+    assert all(got[k] == 0 for k in range(1, 60)) and all(got[k] == 99 for k in range(100, 130))
+
+
 def test_links_within_blocks():
     sets = [(np.array(x, dtype=np.uint64), np.array(w, dtype=float)) for x, w in (([1, 2, 3, 4, 5], [1, 1, 1, 1, 4]), ([1, 2, 3, 4, 5], [1, 1, 1, 1, 4]), ([1, 2, 3, 4, 5], [1, 1, 1, 1, 1]), ([9], [1]))]
     assert D.links_within(sets, [0, 1, 2, 3], 0.8) == [(0, 1)]
