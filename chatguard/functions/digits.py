@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatguard.functions.folding import SHORTCODES
+
 # Context words and key prefixes.
 CARD_CONTEXT = r"(?i)\b(card|cc|visa|master ?card|amex|credit|debit|digits|number|num|exp|cvv|cvc|payment)\b"
 SIN_CONTEXT = r"(?i)\b(sin|social insurance|t4|payroll|digits|number)\b"
@@ -138,9 +140,7 @@ def fingerprint(text: Column | str, key: str) -> Column:
 def fold_shortcodes(text: Column | str) -> Column:
     """Emoji shortcodes of digits as digits."""
     out = _col(text)
-    # Shortcode names.
-    names = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "keycap_ten": "10", "100": "100", "1234": "1234"}
-    for name, digit in names.items():
+    for name, digit in SHORTCODES.items():
         out = F.regexp_replace(out, rf":{name}(?:::skin-tone-[0-9])?:", digit)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatguard.functions import digits as D
 from chatguard.functions.folding import REPEATS, TEENS, TENS, UNITS, fold_text
-from chatguard.functions.spans import Part, all_spans, decode_codebook, encoded_look, part_of, split_hit
+from chatguard.functions.spans import Part, all_spans, custom_scans, decode_codebook, encoded_look, part_of, split_hit
 from chatguard.schemas import CODEBOOK, FINDING, FINDINGS
 
 _WORDS = sorted({*UNITS, *TEENS, *TENS, *REPEATS}, key=lambda w: (-len(w), w))
@@ -24,32 +24,39 @@ def may_hold_digits(text: Column) -> Column:
     return text.rlike(GATE) | key
 
 
-def _scanned(text: str | None) -> dict | None:
-    if text is None:
-        return None
+SHORT_TEXT = 400  # characters up to which it pays to count repeated words before Python does
+
+
+def _scanned(text: str, holds: bool, scans) -> tuple:
+    if not holds:
+        return [], None, [], 0, encoded_look(text, text)
     folded = fold_text(text)
     part = part_of(text, folded)
-    return {"findings": [s._asdict() for s in all_spans(text, folded)], "folded": folded, "groups": part.groups, "disguised": part.disguised, "encoded": encoded_look(text, folded)}
+    return [s._asdict() for s in all_spans(text, folded, scans)], folded, part.groups, part.disguised, encoded_look(text, folded)
 
 
-def scan_messages(messages: DataFrame, text: str = "text", gate: bool = True) -> DataFrame:
+def scan_messages(messages: DataFrame, text: str = "text", gate: bool = True, rules: list[tuple[str, str, str | None, float]] | None = None) -> DataFrame:
     """messages with findings, folded, groups, disguised and encoded of every text.
 
     Texts that the gate passes by go round Python: no findings, folded equals the text. Such a text can still
-    look encoded by few distinct words in a row; that takes 13 words with three repeats, or emoji codes, so texts
-    with either go through. Null texts count as empty.
+    look encoded by few distinct words in a row; that takes 13 words with three repeats, or emoji codes, so short
+    texts with either go through, and long texts all do (only that look is judged of them where nothing else can
+    be found). Null texts count as empty. rules: own (entity, regular expression, check name or empty, confidence)
+    rows, tried after the built-in ones; a pattern can match any text, so with rules every text goes through.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(F.lower(body), "[^a-z]+"), lambda w: w != "")
     repeats = (F.size(words) >= 13) & (F.size(words) - F.size(F.array_distinct(words)) >= 3)
-    through = (may_hold_digits(body) | repeats | (F.size(F.split(body, ":")) > 4)) if gate else F.lit(True)
+    scans = custom_scans(rules or [])
+    holds = may_hold_digits(body) if gate and not rules else F.lit(True)
+    through = F.when(holds | (F.length(body) > SHORT_TEXT), True).otherwise(repeats | (F.size(F.split(body, ":")) > 4)) if gate and not rules else F.lit(True)
 
     @F.pandas_udf(SCAN)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = [_scanned(t) or {"findings": [], "folded": None, "groups": [], "disguised": 0, "encoded": False} for t in texts]
+    def scan(texts: pd.Series, may: pd.Series) -> pd.DataFrame:
+        rows = [([], None, [], 0, False) if t is None else _scanned(t, bool(h), scans) for t, h in zip(texts, may, strict=True)]
         return pd.DataFrame(rows, columns=["findings", "folded", "groups", "disguised", "encoded"])
 
-    out = messages.withColumn("__scan", scan(F.when(through, body)))
+    out = messages.withColumn("__scan", scan(F.when(through, body), holds))
     return out.withColumns({
         "findings": F.coalesce("__scan.findings", F.array().cast(FINDINGS)),
         "folded": F.coalesce("__scan.folded", body),
@@ -110,8 +117,18 @@ def read_codebook(text: Column, pairs: Column) -> Column:
 
 
 def findings_table(messages: DataFrame) -> DataFrame:
-    """One row for each finding, with the message id and the finding's place."""
-    return messages.select("id", F.posexplode("findings").alias("place", "finding")).select("id", "place", "finding.*")
+    """One row for each finding, with the message id and the finding's place.
+
+    The outer form keeps Spark from testing the findings below the detector, which would run it a second time.
+    """
+    rows = messages.select("id", F.posexplode_outer("findings").alias("place", "finding"))
+    return rows.filter("place is not null").select("id", "place", "finding.*")
+
+
+def spread(messages: DataFrame) -> DataFrame:
+    """messages dealt over all cores where a small table comes in fewer splits; larger ones stay as they are read."""
+    cores = messages.sparkSession.sparkContext.defaultParallelism
+    return messages.repartition(cores) if messages.rdd.getNumPartitions() < cores else messages
 
 
 def valid_card_counts(messages: DataFrame, text: str = "text") -> DataFrame:

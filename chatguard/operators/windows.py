@@ -11,23 +11,41 @@ from pyspark.sql import functions as F
 from chatguard.functions.spans import Part, split_hit
 
 MAX_MESSAGES, MAX_AGE = 6, 180.0
+CHUNK = 3600.0  # seconds of an author's messages in one group
 
 
-def recent_chain(messages: DataFrame, carry: list[str], size: int = MAX_MESSAGES, age: float = MAX_AGE) -> DataFrame:
+def recent_chain(messages: DataFrame, carry: list[str], size: int = MAX_MESSAGES, age: float = MAX_AGE, chunk: float = CHUNK) -> DataFrame:
     """messages with chain: structs of id, at and the carried columns of the author's earlier messages, oldest first.
 
-    At most `size` rows back in the same channel, none older than `age` seconds, never the message itself.
+    At most `size` rows back in the same channel, none older than `age` seconds, never the message itself. Time is
+    cut into chunks of `chunk` seconds; rows of the last `age` seconds of one also go ahead of the next, so a busy
+    author is many groups and every chain is whole.
     """
-    back = Window.partitionBy("channel", "author").orderBy("at", "id").rowsBetween(-size, -1)
+    own, ahead = F.floor(F.col("at") / chunk), F.floor((F.col("at") + age) / chunk)
+    rows = messages.withColumns({"__own": own, "__chunk": F.explode(F.coalesce(F.sequence(own, F.least(ahead, own + 1)), F.array(F.lit(None).cast("long"))))})
+    back = Window.partitionBy("channel", "author", "__chunk").orderBy("at", "id").rowsBetween(-size, -1)
     chain = F.collect_list(F.struct("id", "at", *carry)).over(back)
-    return messages.withColumn("chain", F.filter(chain, lambda m: (F.col("at") - m["at"] <= age) & (m["id"] != F.col("id"))))
+    rows = rows.withColumn("chain", F.filter(chain, lambda m: (F.col("at") - m["at"] <= age) & (m["id"] != F.col("id"))))
+    return rows.filter(F.col("__own").eqNullSafe(F.col("__chunk"))).drop("__own", "__chunk")
 
 
-def author_session(messages: DataFrame, age: float = MAX_AGE) -> DataFrame:
-    """messages with session: counts up where an author pauses for more than `age` seconds."""
-    order = Window.partitionBy("channel", "author").orderBy("at", "id")
-    gap = (F.col("at") - F.lag("at").over(order) > age).cast("int")
-    return messages.withColumn("session", F.sum(F.coalesce(gap, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+def author_session(messages: DataFrame, age: float = MAX_AGE, chunk: float = CHUNK) -> DataFrame:
+    """messages with session: counts up where an author pauses for more than `age` seconds.
+
+    Pauses are counted inside chunks of time; one row a chunk then carries the counts and the pauses between chunks
+    on, so only as many rows as an author has chunks meet in one group.
+    """
+    rows = messages.withColumn("__chunk", F.floor(F.col("at") / chunk))
+    order = Window.partitionBy("channel", "author", "__chunk").orderBy("at", "id")
+    gap = F.coalesce((F.col("at") - F.lag("at").over(order) > age).cast("long"), F.lit(0))
+    rows = rows.withColumn("__gap", gap).withColumn("__inside", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy("channel", "author", "__chunk").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.sum("__gap").alias("gaps"))
+    later = Window.partitionBy("channel", "author").orderBy("__chunk")
+    between = F.coalesce((F.col("low") - F.lag("high").over(later) > age).cast("long"), F.lit(0))
+    edges = edges.withColumn("between", between).withColumn("before", F.sum(F.col("between") + F.col("gaps")).over(later.rowsBetween(Window.unboundedPreceding, 0)) - F.col("gaps"))
+    edges = edges.select(F.col("channel").alias("__c"), F.col("author").alias("__a"), F.col("__chunk").alias("__k"), F.col("before").alias("__before"))
+    same = F.col("channel").eqNullSafe(F.col("__c")) & F.col("author").eqNullSafe(F.col("__a")) & F.col("__chunk").eqNullSafe(F.col("__k"))
+    return rows.join(edges, same).withColumn("session", (F.col("__before") + F.col("__inside")).cast("long")).drop("__c", "__a", "__k", "__before", "__inside", "__gap", "__chunk")
 
 
 def worth_window_check(chain_groups: F.Column, own_groups: F.Column) -> F.Column:
@@ -98,8 +116,9 @@ def ordered_rules_lane(messages: DataFrame, split_removes: list[str], age: float
 
 def claimable_jobs(jobs: DataFrame, now: float) -> DataFrame:
     """The oldest queued job of each (topic, lane), where it is due; a head that waits blocks its lane."""
-    head = Window.partitionBy("topic", "lane").orderBy("id")
-    return jobs.filter("status = 'queued'").withColumn("__n", F.row_number().over(head)).filter((F.col("__n") == 1) & (F.col("available_at") <= now)).drop("__n")
+    row = F.struct(*[F.col(c) for c in jobs.columns])
+    head = jobs.filter("status = 'queued'").groupBy("topic", "lane").agg(F.min_by(row, "id").alias("__row"))
+    return head.select("__row.*").filter(F.col("available_at") <= now)
 
 
 def retry_plan(failures: DataFrame, now: float, most: int = 5, longest: float = 30.0) -> DataFrame:

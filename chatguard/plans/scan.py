@@ -28,7 +28,3 @@ def scan_archive(messages: DataFrame, policy: dict | None = None) -> DataFrame:
     """
     named = messages.withColumns({"channel_name": F.col("channel"), "guests": F.lit(False)})
     return decide.rules_decision(named, DEFAULT_POLICY if policy is None else policy)
-
-
-def audited(decided: DataFrame, key: str) -> DataFrame:
-    return decide.audit_rows(decided, key)

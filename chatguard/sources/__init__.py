@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatguard import schemas
 
@@ -15,12 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (local tests)."""
+    """The folder named by spark.checkpoint.dir. Only a session on this machine alone may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not folder:
-            folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="chatguard-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="chatguard-")
+        _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
@@ -60,7 +60,3 @@ def write_report(report: DataFrame, path: str, format: str = "parquet") -> None:
     """A summary as one small table."""
     report.coalesce(1).write.mode("overwrite").option("header", True).format(format).save(path)
 
-
-def audit_fingerprint_known(audit: DataFrame, fingerprints: list[str]) -> DataFrame:
-    """Audit rows of messages with one of the given fingerprints: looks a known text up without storing it."""
-    return audit.filter(F.col("text_hmac").isin(fingerprints))

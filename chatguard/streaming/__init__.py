@@ -13,6 +13,8 @@ from chatguard.functions.spans import Part
 from chatguard.operators import events as E
 from chatguard.operators.windows import LANE, MAX_AGE, Lane
 
+STREAM_LANE = f"{LANE}, late boolean"
+
 _STATE = "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>"
 
 
@@ -27,7 +29,9 @@ def stream_rules_lane(messages: DataFrame, split_removes: list[str]) -> DataFram
     """The ordered rules lane with the author's window as state, which ends after MAX_AGE of event time.
 
     messages: id, channel, author, at, event_time (with a watermark), folded, groups, disguised, removes. Rows of
-    a batch are put in order of time; a row older than the newest kept entry is judged against the state as it is.
+    a batch are put in order of time; a row older than the newest of an earlier batch is judged alone, by what the
+    rules say of it, and marked late, so that late rows can be counted. A trigger's slim rows of one author are held
+    together: bound a trigger at the source (maxFilesPerTrigger, maxBytesPerTrigger).
     """
     wanted = set(split_removes)
 
@@ -38,19 +42,21 @@ def stream_rules_lane(messages: DataFrame, split_removes: list[str]) -> DataFram
         lane = Lane()
         if state.exists:
             lane.entries = [(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*state.get, strict=True)]
+        newest = max((e[1] for e in lane.entries), default=float("-inf"))
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         out = []
         for r in rows.itertuples(index=False):
-            entity, ids, confidence = lane.step(r.id, r.at, Part(r.folded, list(r.groups), r.disguised), bool(r.removes), lambda e, _: e in wanted)
-            out.append((r.id, key[0], key[1], r.at, bool(r.removes) or entity is not None, entity, confidence if entity else None, ids))
+            late, known = r.at < newest, any(e[0] == r.id for e in lane.entries)
+            entity, ids, confidence = (None, [], 0.0) if late and not known else lane.step(r.id, r.at, Part(r.folded, list(r.groups), r.disguised), bool(r.removes), lambda e, _: e in wanted)
+            out.append((r.id, key[0], key[1], r.at, bool(r.removes) or entity is not None, entity, confidence if entity else None, ids, late))
         kept = lane.entries
         state.update(([e[0] for e in kept], [float(e[1]) for e in kept], [e[2].folded for e in kept], [list(e[2].groups) for e in kept], [int(e[2].disguised) for e in kept]))
         ends = int((rows["at"].max() + MAX_AGE) * 1000)
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LANE.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM_LANE.split(", ")])
 
     slim = messages.select("id", "channel", "author", "at", "event_time", "folded", "groups", "disguised", "removes")
-    return slim.groupBy("channel", "author").applyInPandasWithState(run, LANE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy("channel", "author").applyInPandasWithState(run, STREAM_LANE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def route_lanes(decided: DataFrame, removed_path: str, open_path: str):
