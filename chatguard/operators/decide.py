@@ -10,8 +10,8 @@ from chatguard.operators import detect, policy as P, windows as W
 from chatguard.schemas import FINDINGS, REMOVING, SINGLE, WINDOW
 
 
-def _parts(messages: DataFrame) -> DataFrame:
-    """messages with parts: what split detection needs of the recent chain and of the message itself."""
+def with_parts(messages: DataFrame) -> DataFrame:
+    """scanned messages with chain and with parts: what split detection needs of the chain and of the message itself."""
     chained = W.recent_chain(messages, ["folded", "groups", "disguised"])
     own = F.struct("folded", "groups", "disguised")
     return chained.withColumn("parts", F.concat(F.transform("chain", lambda m: F.struct(m["folded"], m["groups"], m["disguised"])), F.array(own)).cast(f"array<{detect.PART}>"))
@@ -25,7 +25,7 @@ def rules_decision(messages: DataFrame, policy: dict) -> DataFrame:
     messages: id, channel, author, at, text, channel_name, guests.
     """
     scanned = detect.scan_messages(messages)
-    decided = _parts(scanned).withColumn("__d", P.decision(F.col("findings"), F.col("channel_name"), F.col("guests"), policy))
+    decided = with_parts(scanned).withColumn("__d", P.decision(F.col("findings"), F.col("channel_name"), F.col("guests"), policy))
     stays = ~F.col("__d.action").isin(REMOVING)
     hit = detect.detect_split(F.when(stays, F.col("parts")))
     decided = decided.withColumn("__hit", hit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatguard.functions import digits as D
 from chatguard.functions.folding import REPEATS, TEENS, TENS, UNITS, fold_text
-from chatguard.functions.spans import Part, all_spans, custom_scans, decode_codebook, encoded_look, part_of, split_hit
+from chatguard.functions.spans import Part, all_spans, custom_scans, decode_codebook, digit_chains as span_chains, encoded_look, part_of, split_hit
 from chatguard.schemas import CODEBOOK, FINDING, FINDINGS
 
 _WORDS = sorted({*UNITS, *TEENS, *TENS, *REPEATS}, key=lambda w: (-len(w), w))
@@ -125,6 +125,17 @@ def findings_table(messages: DataFrame) -> DataFrame:
     return rows.filter("place is not null").select("id", "place", "finding.*")
 
 
+def digit_chain_table(messages: DataFrame) -> DataFrame:
+    """(id, start, end, groups) of every chain of two or more digit groups; texts with fewer groups go round Python."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,groups:int>>")
+    def chains(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"start": c[0][0], "end": c[-1][1], "groups": len(c)} for c in span_chains(t)])
+
+    rows = messages.select("id", chains(F.when(F.col("text").rlike(r"(?U)\d\D{1,8}\d"), F.col("text"))).alias("chains"))
+    return rows.select("id", F.explode_outer("chains").alias("c")).filter("c is not null").select("id", "c.*")
+
+
 def spread(messages: DataFrame) -> DataFrame:
     """messages dealt over all cores where a small table comes in fewer splits; larger ones stay as they are read."""
     cores = messages.sparkSession.sparkContext.defaultParallelism

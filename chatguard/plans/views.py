@@ -26,6 +26,15 @@ def _words(digits: str) -> str:
 MSGS_DOCS = f"SELECT concat('d.', CAST(doc_id AS STRING)) AS id, source AS channel, lang AS author, CAST({BASE} + doc_id AS DOUBLE) AS sent_at, text FROM documents"
 MSGS_CONV = f"SELECT concat(CAST(conv_id AS STRING), '.', CAST(turn AS STRING)) AS id, CAST(conv_id AS STRING) AS channel, role AS author, CAST({BASE} + turn * 30 AS DOUBLE) AS sent_at, text FROM conversations"
 
+# A number after every turn: a valid card, a card with its last digit off and no other sign of one, or one that is called a card.
+_number = "(conv_id * 64 + turn)"
+MSGS_CONV_CARDS = f"""
+SELECT id, channel, author, sent_at, n, concat(text, CASE n % 3 WHEN 0 THEN concat(' ', body, {_check_digit('body', 15)}) WHEN 1 THEN concat(' ', spoilt) ELSE concat(' card ', substr(spoilt, 1, 4), '-', substr(spoilt, 5, 4), '-', substr(spoilt, 9, 4), '-', substr(spoilt, 13)) END) AS text
+FROM (SELECT *, concat(body, CAST((CAST({_check_digit('body', 15)} AS INT) + 1) % 10 AS STRING)) AS spoilt
+      FROM (SELECT *, {_doubled('body')} FROM (
+            SELECT concat(CAST(conv_id AS STRING), '.', CAST(turn AS STRING)) AS id, CAST(conv_id AS STRING) AS channel, role AS author, CAST({BASE} + turn * 30 AS DOUBLE) AS sent_at, text,
+                   {_number} AS n, concat('4', lpad(CAST(({_number} * 7919) % 100000000000 AS STRING), 11, '0'), '731') AS body FROM conversations) c0) c1) c2"""
+
 _card = "concat(substr(card, 1, 4), {0}, substr(card, 5, 4), {0}, substr(card, 9, 4), {0}, substr(card, 13, 4))"
 _spoilt = "concat(substr(card, 1, 4), '-', substr(card, 5, 4), '-', substr(card, 9, 4), '-', substr(card, 13, 3), CAST((CAST(substr(card, 16, 1) AS INT) + 1) % 10 AS STRING))"
 

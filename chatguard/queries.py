@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard import schemas, streaming
+from chatguard import detection_sql as S, golden, schemas, sources, streaming
 from chatguard.functions import digits as D
 from chatguard.operators import decide, detect, events as E, policy as P, report as R, windows as W
 from chatguard.plans import scan, views as V
@@ -294,12 +294,92 @@ def archive_scan(spark, d):
 
 
 def document_scan(spark, d):
-    return detect.findings_table(detect.scan_messages(scan.view(spark, d, V.MSGS_DOCS))).select("id", "place", "entity", "start", "end", "confidence", "note")
+    rows = detect.spread(scan.view(spark, d, V.MSGS_DOCS))
+    return detect.findings_table(detect.scan_messages(rows)).select("id", "place", "entity", "start", "end", "confidence", "note")
+
+
+def digit_chains(spark, d):
+    return detect.digit_chain_table(detect.spread(scan.view(spark, d, V.MSGS_DOCS)))
 
 
 def conversation_scan(spark, d):
-    found = detect.scan_messages(scan.view(spark, d, V.MSGS_CONV))
-    return found.groupBy("author").agg(F.count("*").alias("messages"), F.sum(F.size("findings")).alias("findings"))
+    found = detect.scan_messages(scan.view(spark, d, V.MSGS_CONV_CARDS))
+    count = lambda e: F.sum(F.size(F.filter("findings", lambda f: f["entity"] == e)))
+    return found.groupBy("author").agg(F.count("*").alias("messages"), count("CREDIT_CARD").alias("cards"), count("CARD_LIKE").alias("shapes"))
+
+
+def custom_rules(spark, d):
+    rules = [("PHONE", r"\b555-0\d{3}\b", "", 0.9), ("ORDER", r"(?i)\border \d+\b", None, 0.8), ("EVEN", r"\b\d{2} of\b", "luhn", 0.5)]
+    found = detect.scan_messages(_msgs(spark, d), rules=rules)
+    return found.select("id", F.array_join(F.transform("findings", lambda f: f["entity"]), ",").alias("entities"), F.get("findings", F.lit(0))["confidence"].alias("confidence"))
+
+
+def disguises(spark, d):
+    return detect.scan_messages(_msgs(spark, d)).select("id", F.array_join("groups", ",").alias("groups"), "disguised", "encoded")
+
+
+def splits(spark, d):
+    """Split values of every message and its chain, whatever the message alone holds."""
+    rows = decide.with_parts(detect.scan_messages(_msgs(spark, d).select("id", "channel", "author", "at", "text")))
+    ids = F.concat(F.transform("chain", lambda m: m["id"]), F.array("id"))
+    hit = rows.withColumn("hit", detect.detect_split(F.col("parts"))).filter("hit is not null")
+    return hit.select("id", "hit.entity", F.array_join(F.transform("hit.indexes", lambda i: F.get(ids, i)), ",").alias("related"))
+
+
+def codebooks(spark, d):
+    """Card numbers written in ten words, read back by a codebook that a model might have returned."""
+    words = "ba ce di fo gu ha je ki lo mu".split()
+    m = _msgs(spark, d)
+    number = F.when(F.col("event_id") % 3 == 0, D.break_luhn("card")).otherwise(F.col("card"))
+    text = F.array_join(F.transform(F.filter(F.split(number, ""), lambda c: c != ""), lambda c: F.element_at(F.array(*[F.lit(w) for w in words]), c.cast("int") + 1)), " ")
+    book = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(str(n)).alias("digit")) for n, w in enumerate(words)])
+    read = detect.read_codebook(text, book)
+    return m.select("id", read["entity"].alias("entity"), read["confidence"].alias("confidence"))
+
+
+def case_rows(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.col("event_id")
+    cases = e.select(
+        F.concat(F.lit("C"), n.cast("string")).alias("id"), F.when(n % 3 == 0, F.concat(F.lit("only "), n.cast("string"))).alias("text"),
+        F.when(n % 3 != 0, F.array(F.lit("first"), F.concat(F.lit("then "), n.cast("string")))).alias("messages"), F.when(n % 4 == 0, F.col("event_type")).alias("channel"), F.when(n % 5 == 0, True).alias("different_authors"),
+    )
+    return R.case_messages(cases).select("id", "case_id", "place", "channel", "author", "at", "text")
+
+
+def golden_cases(spark, d):
+    """A golden case for every event, by its number, through the rules to the outcome."""
+    n = F.col("event_id") % len(golden.CASES)
+    table = spark.createDataFrame([(k, c.category, None if len(c.messages) > 1 else c.messages[0], c.messages if len(c.messages) > 1 else None, c.apart, c.expect, c.gap) for k, c in enumerate(golden.CASES)], "k long, category string, text string, messages array<string>, different_authors boolean, expect string, known_gap boolean")
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("G"), F.col("event_id").cast("string")).alias("id"), n.alias("k"))
+    cases = events.join(F.broadcast(table), "k").withColumn("channel", F.col("id")).drop("k")
+    decided = decide.rules_decision(R.case_messages(cases), P.DEFAULT_POLICY)
+    return R.case_outcomes(cases, decided.select("case_id", "place", "action"))
+
+
+def audit_files(spark, d):
+    """Audit lines written to files and read back, counted by action."""
+    path = f"{shared_folder(spark)}/chatguard/audit-{uuid.uuid4().hex}"
+    sources.write_audit(decide.audit_rows(_acted(spark, d), KEY), path)
+    lines = sources.read_audit(spark, path)
+    return lines.groupBy("action").agg(F.count("*").alias("lines"), F.sum(F.size("entities")).alias("entities"), F.sum("related").cast("long").alias("related"), F.countDistinct("text_hmac").alias("texts"))
+
+
+def event_files(spark, d):
+    """Raw events written as JSON lines and read back: human messages as the library sees them."""
+    path = f"{shared_folder(spark)}/chatguard/events-{uuid.uuid4().hex}"
+    _raw_events(spark, d).filter("delivery = 0").drop("delivery", "event_id").write.json(path)
+    rows = E.to_messages(E.unwrap_edits(E.human_messages(sources.read_events(spark, path))))
+    return rows.select("id", "event_key", "author", "at", "text")
+
+
+def label_split(spark, d):
+    """Counts by kind of the synthetic messages before and in the hold-out."""
+    rows = _synth(spark, d)
+    size = spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] + 1
+    train, held = synth.holdout_split(rows, size)
+    both = train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("held")))
+    return both.groupBy("part", "kind").agg(F.count("*").alias("n"))
 
 
 def _scanned(spark, d) -> DataFrame:
@@ -320,7 +400,7 @@ def model_checks(spark, d):
 
 def model_decisions(spark, d):
     rows = scan.scan_archive(_msgs(spark, d).select("id", "event_id", "channel", "author", "at", "text")).withColumn("trigger", F.lit("always"))
-    planned = decide.model_plan(rows).persist()  # read twice: for the replies and for the decisions
+    planned = sources.kept(decide.model_plan(rows), "planned")  # read for the replies and for the decisions
     body = F.concat(F.lit('{"findings":[{"entity":"EMAIL","text":"'), F.left("text", F.lit(3)), F.lit('","subject":"third_party","confidence":0.9}]}'))
     replies = planned.filter("ask_single and event_id % 3 = 0").select("id", F.lit("single").alias("kind"), body.alias("body"), F.lit("m1").alias("model"), F.create_map(F.lit("total_tokens"), F.lit(9)).alias("usage"))
     done = decide.final_decision(decide.attach_model_responses(planned, replies), P.DEFAULT_POLICY)
@@ -332,18 +412,18 @@ def folded_texts(spark, d):
 
 
 def _synth(spark, d) -> DataFrame:
-    return synth.synth_messages(spark, spark.read.parquet(f"{d}/events.parquet").count())
+    return synth.synth_messages(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n")))
 
 
 def synth_labels(spark, d):
-    return _synth(spark, d).drop("subject")
+    return _synth(spark, d)
 
 
 def precision(spark, d):
-    rows = _synth(spark, d).select(F.col("ts").alias("id"), F.lit("c").alias("channel"), F.col("text"), "entity")
+    rows = _synth(spark, d).select(F.col("ts").alias("id"), F.lit("c").alias("channel"), "text", "entity", "subject")
     found = detect.scan_messages(rows)
     sets = found.select("id", F.transform(F.filter("findings", lambda f: f["subject"] != "self"), lambda f: f["entity"]).alias("entities"))
-    return R.precision_recall(sets, rows.select("id", "entity"))
+    return R.precision_recall(sets, rows.select("id", F.when(F.coalesce("subject", F.lit("")) != "self", F.col("entity")).alias("entity")))
 
 
 def _streamed(spark, d, build, mode: str, schema=None) -> DataFrame:
@@ -397,21 +477,42 @@ def stream_last(spark, d):
     return E.channel_cursors(rows.withColumnRenamed("last_ts", "ts"))
 
 
+def stream_routes(spark, d):
+    """Removed messages and messages for the model in two tables, written batch by batch; counts by channel of both."""
+    place = f"{shared_folder(spark)}/chatguard/routes-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    rows = events.select(F.concat(F.lit("e."), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("channel"), E.removed_flag(F.when(F.col("event_id") % 11 == 0, "mask").when(F.col("event_id") % 13 == 0, "warn")).alias("removed"))
+    streaming.route_lanes(rows, f"{place}/removed", f"{place}/open").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    tables = [spark.read.schema("id string, channel string, removed boolean").parquet(f"{place}/{t}").withColumn("lane", F.lit(t)) for t in ("removed", "open")]
+    return tables[0].unionByName(tables[1]).groupBy("lane", "channel").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def stream_restored(spark, d):
+    """Restore requests within the time of their ticket, as a stream joined with a stream."""
+    place = f"{shared_folder(spark)}/chatguard/restores-{uuid.uuid4().hex}"
+    table = spark.read.parquet(f"{d}/events.parquet")
+    events = lambda: spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")
+    n = F.col("event_id")
+    tickets = events().select(n.cast("string").alias("id"), F.timestamp_seconds(F.lit(V.BASE) + n).alias("created"))
+    asked = events().filter("user_id % 4 = 0").select(n.cast("string").alias("ticket_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor_id"), F.timestamp_seconds(F.lit(V.BASE) + n + n * 37 % 1800).alias("asked"))
+    out = streaming.stream_restores(tickets, asked, late="2 hours")
+    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out").select("ticket_id", "actor_id", F.unix_timestamp("asked").alias("asked_at"), "created_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         card_counts, digit_checks, text_checks, masked_fingerprints, plain_texts, intake, cursors, missed, seeds, named_messages, restores, chains, sessions,
         rule_join, rule_decisions, triggers, rule_checks, located, rebuilt, usage, removals, outgoing, notices, releases, audit_lines, routing, top_counts, latency,
         job_lanes, dead_jobs, health, claims, retries, pruned, coverage, model_ranking, archive_scan, document_scan, conversation_scan, rules_lane, model_checks,
-        model_decisions, folded_texts, synth_labels, precision, stream_rollup, stream_once, stream_lane, stream_last,
+        model_decisions, folded_texts, synth_labels, precision, stream_rollup, stream_once, stream_lane, stream_last, digit_chains, custom_rules, disguises, splits, codebooks,
+        case_rows, golden_cases, audit_files, event_files, label_split, stream_routes, stream_restored,
     )
 }
 
-_LUHN = "list_sum(list_transform(string_split(reverse({0}), ''), lambda c, i: CASE WHEN i % 2 = 0 THEN CAST(c AS INT) * 2 - (CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END) ELSE CAST(c AS INT) END)) % 10 = 0"
-
-
-def _luhn(x: str) -> str:
-    return f"({_LUHN.format(x)})"
+_luhn = S.luhn
 
 
 def _roll(salt: int, below: int) -> str:
@@ -422,17 +523,25 @@ def _pad(salt: int, below: int, width: int) -> str:
     return f"lpad(CAST({_roll(salt, below)} AS VARCHAR), {width}, '0')"
 
 
-_SYNTH = f"""g AS (SELECT CAST(range AS BIGINT) AS n FROM range((SELECT count(*) FROM events))),
-    k AS (SELECT n, CASE WHEN {_roll(1, 100)} < 8 THEN 'card' WHEN {_roll(1, 100)} < 14 THEN 'sin' WHEN {_roll(1, 100)} < 19 THEN 'ssn' WHEN {_roll(1, 100)} < 25 THEN 'key' WHEN {_roll(1, 100)} < 30 THEN 'iban' WHEN {_roll(1, 100)} < 35 THEN 'shape' ELSE 'clean' END AS kind,
-        concat('4', {_pad(2, 10000000, 7)}, {_pad(3, 10000000, 7)}) AS cb, concat(CAST({_roll(4, 7)} + 1 AS VARCHAR), {_pad(5, 10000000, 7)}) AS sb,
-        concat(lpad(CAST({_roll(6, 600)} + 1 AS VARCHAR), 3, '0'), '-', {_pad(7, 100, 2)}, '-', {_pad(8, 10000, 4)}) AS ssn, concat('AKIA', {_pad(9, 100000000, 8)}, {_pad(10, 100000000, 8)}) AS key,
-        concat('AT', {_pad(11, 100, 2)}, {_pad(12, 100000000, 8)}, {_pad(13, 100000000, 8)}) AS iban FROM g),
+def _pick(salt: int, items: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + f"][{_roll(salt, len(items))} + 1]"
+
+
+def _kind_case(what: int) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {_pick(14, [x[what] for x in forms])}" for k, forms in synth.LEADS.items()) + " END"
+
+
+_GROUPED = "concat(substr(card, 1, 4), {0}, substr(card, 5, 4), {0}, substr(card, 9, 4), {0}, substr(card, 13))"
+_SYNTH = f"""g AS (SELECT CAST(event_id AS BIGINT) AS n FROM events),
+    k AS (SELECT n, CASE {" ".join(f"WHEN {_roll(1, 100)} < {sum(w for _, w in synth.KINDS[: i + 1])} THEN '{name}'" for i, (name, _) in enumerate(synth.KINDS))} END AS kind,
+        concat('4', {_pad(2, 10000000, 7)}, {_pad(3, 10000000, 7)}) AS cb, concat(CAST({_roll(4, 7)} + 1 AS VARCHAR), {_pad(5, 10000000, 7)}) AS sb FROM g),
     d AS (SELECT *, {V._doubled('cb')}, {V._doubled('sb')} FROM k),
     c AS (SELECT *, concat(cb, {V._check_digit('cb', 15)}) AS card, concat(sb, {V._check_digit('sb', 8)}) AS sin FROM d),
-    s AS (SELECT *, CASE kind WHEN 'card' THEN concat(substr(card, 1, 4), ' ', substr(card, 5, 4), ' ', substr(card, 9, 4), ' ', substr(card, 13)) WHEN 'sin' THEN concat(substr(sin, 1, 3), ' ', substr(sin, 4, 3), ' ', substr(sin, 7))
-        WHEN 'ssn' THEN ssn WHEN 'key' THEN key WHEN 'iban' THEN iban ELSE concat(substr(card, 1, 4), '-', substr(card, 5, 4), '-', substr(card, 9, 4), '-', substr(card, 13, 3), CAST((CAST(right(card, 1) AS INT) + 1) % 10 AS VARCHAR)) END AS value,
-        CASE kind WHEN 'shape' THEN 'my card number is ' WHEN 'clean' THEN 'tracking code ' ELSE ['please use ', 'here you go: ', 'note '][{_roll(14, 3)} + 1] END AS lead,
-        CASE kind WHEN 'card' THEN 'CREDIT_CARD' WHEN 'sin' THEN 'CA_SIN' WHEN 'ssn' THEN 'US_SSN' WHEN 'key' THEN 'API_KEY' WHEN 'iban' THEN 'IBAN' WHEN 'shape' THEN 'CARD_LIKE' END AS entity FROM c)"""
+    v AS (SELECT *, CASE kind WHEN 'card' THEN [{_GROUPED.format("' '")}, {_GROUPED.format("'-'")}, card][{_roll(12, 3)} + 1] WHEN 'sin' THEN concat(substr(sin, 1, 3), ' ', substr(sin, 4, 3), ' ', substr(sin, 7))
+        WHEN 'key' THEN concat('AKIA', {_pad(9, 100000000, 8)}, {_pad(10, 100000000, 8)}) WHEN 'phone' THEN concat('416-555-', {_pad(8, 10000, 4)}) WHEN 'address' THEN concat({_roll(6, 900)} + 1, ' ', {_pick(7, ['Elm', 'Lake', 'Mill'])}, ' Road, Northfield')
+        WHEN 'own_email' THEN concat('user', {_roll(11, 5000)}, '@mail.example') ELSE CASE WHEN {_roll(13, 2)} = 0 THEN concat(left(card, 15), CAST((CAST(right(card, 1) AS INT) + 1) % 10 AS VARCHAR)) ELSE '' END END AS value FROM c),
+    s AS (SELECT *, CASE WHEN value = '' THEN {_pick(17, synth.PROSE)} ELSE {_kind_case(0)} END AS lead, CASE WHEN value = '' THEN '' ELSE {_kind_case(1)} END AS tail,
+        CASE kind {" ".join(f"WHEN '{k}' THEN '{e}'" for k, e in synth.ENTITY.items())} END AS entity FROM v)"""
 
 
 def _hex(pad: int) -> str:
@@ -451,7 +560,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS ({V.MSGS_DOCS}),
         r AS (SELECT channel, list_transform(regexp_extract_all(text, '\\b((?:[0-9][ -]?){{13,19}})\\b', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS runs FROM d)
         SELECT channel, count(*) AS messages, CAST(sum(len(runs)) AS BIGINT) AS runs,
-               CAST(sum(len(list_filter(runs, lambda x: len(x) BETWEEN 13 AND 19 AND x[1] IN ('3', '4', '5', '6') AND {_LUHN.format('x').replace('lambda c, i', 'lambda c, i')}))) AS BIGINT) AS cards
+               CAST(sum(len(list_filter(runs, lambda x: len(x) BETWEEN 13 AND 19 AND x[1] IN ('3', '4', '5', '6') AND {_luhn('x')}))) AS BIGINT) AS cards
         FROM r GROUP BY channel""",
     "digit_checks": f"""
         WITH {_M}, k AS (SELECT *, substr(card, 5, 9) AS s, concat(left(card, 15), CAST((CAST(right(card, 1) AS INT) + 1) % 10 AS VARCHAR)) AS b FROM m)
@@ -553,13 +662,35 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_A}, s AS (SELECT *, CASE WHEN ms < 25 THEN entity END AS said FROM a WHERE model IS NOT NULL)
         SELECT model, CAST(sum(CASE WHEN entity IS NOT DISTINCT FROM said THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS cases, quantile_cont(ms, 0.5) AS median_ms, max(ms) AS max_ms FROM s GROUP BY model""",
     "synth_labels": f"""
-        WITH {_SYNTH} SELECT n, CAST(1725000000 + n AS VARCHAR) AS ts, concat('u', {_roll(15, 40)}) AS user, ['general', 'support', 'billing', 'hiring', 'eng', 'random'][{_roll(16, 6)} + 1] AS channel,
-               concat(lead, value, ' thanks') AS text, kind, entity, CASE WHEN kind <> 'clean' THEN CAST(length(lead) AS INT) END AS start, CASE WHEN kind <> 'clean' THEN CAST(length(lead) + length(value) AS INT) END AS "end" FROM s""",
-    "precision": f"WITH {_SYNTH} SELECT entity, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM s WHERE entity IS NOT NULL GROUP BY entity",
+        WITH {_SYNTH} SELECT n, CAST(1725000000 + n AS VARCHAR) AS ts, concat('u', {_roll(15, 40)}) AS user, {_pick(16, synth.CHANNELS)} AS channel,
+               concat(lead, value, tail) AS text, kind, entity, CASE WHEN kind <> 'clean' THEN CAST(length(lead) AS INT) END AS start, CASE WHEN kind <> 'clean' THEN CAST(length(lead) + length(value) AS INT) END AS "end",
+               CASE WHEN kind = 'own_email' THEN 'self' WHEN kind <> 'clean' THEN 'third_party' END AS subject FROM s""",
+    # The rules know three of the labelled kinds; telephone numbers and addresses of others are missed, own addresses do not count.
+    "precision": f"""
+        WITH {_SYNTH}, r AS (SELECT entity, kind IN ('card', 'sin', 'key') AS known FROM s WHERE kind NOT IN ('clean', 'own_email'))
+        SELECT entity, CAST(sum(CAST(known AS INT)) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(sum(CAST(NOT known AS INT)) AS BIGINT) AS fn, CASE WHEN bool_and(known) THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN bool_and(known) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall FROM r GROUP BY entity""",
+    "label_split": f"WITH {_SYNTH} SELECT CASE WHEN n < (SELECT max(event_id) + 1 - 100 FROM events) THEN 'train' ELSE 'held' END AS part, kind, count(*) AS n FROM s GROUP BY ALL",
     "stream_rollup": f"""
         SELECT CAST(floor(({V.BASE} + event_id) / 3600) * 3600 AS BIGINT) AS window_start, event_type AS channel, CASE WHEN event_id % 11 = 0 THEN 'mask' ELSE 'allow' END AS action, count(*) AS n,
                CAST(sum(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS model_calls FROM events GROUP BY ALL""",
     "stream_once": f"SELECT DISTINCT concat(event_type, '.', {V.BASE} + event_id - event_id % 5 % 2) AS event_key, event_type AS channel FROM events",
     "stream_last": f"SELECT event_type AS channel, CAST(max({V.BASE} + event_id * 3) AS VARCHAR) AS last_ts FROM events GROUP BY event_type",
-    "conversation_scan": f"WITH c AS ({V.MSGS_CONV}) SELECT author, count(*) AS messages, CAST(0 AS BIGINT) AS findings FROM c GROUP BY author",
+    "conversation_scan": f"WITH c AS ({V.MSGS_CONV_CARDS}) SELECT author, count(*) AS messages, count(*) FILTER (WHERE n % 3 = 0) AS cards, count(*) FILTER (WHERE n % 3 = 2) AS shapes FROM c GROUP BY author",
+    "custom_rules": f"""
+        WITH {_M}, e AS (SELECT id, CASE rn % 16 WHEN 0 THEN 'CREDIT_CARD' WHEN 2 THEN 'CARD_LIKE' WHEN 3 THEN 'CREDIT_CARD' WHEN 4 THEN 'CA_SIN' WHEN 6 THEN 'US_SSN' WHEN 7 THEN 'API_KEY' WHEN 8 THEN 'IBAN' WHEN 9 THEN 'CREDIT_CARD' WHEN 14 THEN 'ORDER' WHEN 15 THEN 'PHONE' END AS one FROM m)
+        SELECT id, coalesce(one, '') AS entities, CASE one WHEN 'CREDIT_CARD' THEN CASE WHEN rn % 16 = 0 THEN 0.97 ELSE 0.9 END WHEN 'CARD_LIKE' THEN 0.75 WHEN 'CA_SIN' THEN 0.9 WHEN 'US_SSN' THEN 0.95 WHEN 'API_KEY' THEN 0.99 WHEN 'IBAN' THEN 0.85 WHEN 'ORDER' THEN 0.8 WHEN 'PHONE' THEN 0.9 END::DOUBLE AS confidence FROM e JOIN m USING (id)""",
+    "codebooks": f"WITH {_M} SELECT id, CASE WHEN event_id % 3 <> 0 THEN 'CREDIT_CARD' END AS entity, CASE WHEN event_id % 3 <> 0 THEN 0.85 END::DOUBLE AS confidence FROM m",
+    "case_rows": f"""
+        WITH c AS (SELECT *, unnest(CASE WHEN event_id % 3 = 0 THEN [0] ELSE [0, 1] END) AS place FROM events)
+        SELECT concat('C', event_id, '.', place) AS id, concat('C', event_id) AS case_id, place, CASE WHEN event_id % 4 = 0 THEN event_type ELSE 'eng' END AS channel, CASE WHEN event_id % 5 = 0 THEN concat('U', place) ELSE 'U1' END AS author,
+               CAST({V.BASE} + place AS DOUBLE) AS "at", CASE WHEN event_id % 3 = 0 THEN concat('only ', event_id) WHEN place = 0 THEN 'first' ELSE concat('then ', event_id) END AS text FROM c""",
+    "golden_cases": f"""
+        WITH g AS (SELECT unnest({golden.sql_rows()}) AS r)
+        SELECT concat('G', event_id) AS id, r.category, r.expect, r.got, CASE WHEN r.got = r.expect AND r.gap THEN 'fixed gap' WHEN r.got = r.expect THEN 'pass' WHEN r.gap THEN 'known gap' ELSE 'fail' END AS status
+        FROM events JOIN g ON event_id % {len(golden.CASES)} = r.n""",
+    "audit_files": f"WITH {_A}, {_ACTED} SELECT action, count(*) AS lines, CAST(2 * count(*) AS BIGINT) AS entities, CAST(sum(CASE WHEN n % 22 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS related, count(DISTINCT text) AS texts FROM acted GROUP BY action",
+    "event_files": f"WITH {_M}, {_RAW} SELECT event_key AS id, event_key, author, CAST(ts AS DOUBLE) AS \"at\", text FROM stored",
+    "stream_routes": "SELECT CASE WHEN event_id % 11 = 0 THEN 'removed' ELSE 'open' END AS lane, event_type AS channel, count(*) AS n, count(*) AS ids FROM events GROUP BY ALL",
+    "stream_restored": f"SELECT CAST(event_id AS VARCHAR) AS ticket_id, concat('u', user_id) AS actor_id, {V.BASE} + event_id + event_id * 37 % 1800 AS asked_at, {V.BASE} + event_id AS created_at FROM events WHERE user_id % 4 = 0 AND event_id * 37 % 1800 <= 900",
+    **S.SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for a result that is used more than once."""
+    path = f"{shared_folder(df.sparkSession)}/chatguard/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Raw chat events from JSON lines; fields that are missing are null."""
     reader = spark.readStream if stream else spark.read
