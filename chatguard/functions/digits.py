@@ -109,10 +109,6 @@ def card_runs(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\b((?:[0-9][ -]?){13,19})\b"))
 
 
-def valid_cards(text: Column | str) -> Column:
-    return F.filter(card_runs(text), is_card)
-
-
 def mask_text(text: Column | str, findings: Column | str, mark: str = "█") -> Column:
     """Every character of every span replaced by the mark; length stays, overlaps and ends past the text do no harm."""
 

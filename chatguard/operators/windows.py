@@ -22,7 +22,7 @@ def recent_chain(messages: DataFrame, carry: list[str], size: int = MAX_MESSAGES
     author is many groups and every chain is whole.
     """
     own, ahead = F.floor(F.col("at") / chunk), F.floor((F.col("at") + age) / chunk)
-    rows = messages.withColumns({"__own": own, "__chunk": F.explode(F.coalesce(F.sequence(own, F.least(ahead, own + 1)), F.array(F.lit(None).cast("long"))))})
+    rows = messages.withColumns({"__own": own, "__chunk": F.explode(F.coalesce(F.sequence(own, ahead), F.array(F.lit(None).cast("long"))))})
     back = Window.partitionBy("channel", "author", "__chunk").orderBy("at", "id").rowsBetween(-size, -1)
     chain = F.collect_list(F.struct("id", "at", *carry)).over(back)
     rows = rows.withColumn("chain", F.filter(chain, lambda m: (F.col("at") - m["at"] <= age) & (m["id"] != F.col("id"))))

@@ -2,13 +2,12 @@
 
 import json
 
+import plain
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
 from chatguard import queries as Q
-from chatguard.functions.folding import fold_text
-from chatguard.functions.spans import all_spans, encoded_look, part_of, split_hit
 from chatguard.operators import decide, policy as P
 from chatguard.plans import scan
 
@@ -26,20 +25,24 @@ def _decide(entities):
     return best
 
 
+CONFIDENCE = {"CREDIT_CARD": 0.9, "CARD_LIKE": 0.75, "CA_SIN": 0.9, "US_SSN": 0.95, "API_KEY": 0.99, "IBAN": 0.85}
+
+
 def _plain(rows):
     out, held = {}, {}
     for r in sorted(rows, key=lambda r: (r["channel"], r["author"], r["at"], r["id"])):
         mine = held.setdefault((r["channel"], r["author"]), [])
         chain = [m for m in mine[-6:] if r["at"] - m["at"] <= 180]
-        action, rule, ids = *_decide([(s.entity, s.confidence) for s in all_spans(r["text"])]), []
+        texts = [m["text"] for m in [*chain, r]]
+        action, rule, ids = *_decide([(e, CONFIDENCE[e]) for e, _, _ in plain.find(r["text"])]), []
         if action not in ("mask", "block", "quarantine"):
-            hit = split_hit([part_of(m["text"]) for m in [*chain, r]])
+            hit = plain.split(texts)
             if hit:
-                action, rule = _decide([(hit[0], hit[2])])
+                action, rule = _decide([(hit[0], 0.9)])
                 ids = [[*chain, r][i]["id"] for i in hit[1]]
-        groups = [part_of(m["text"]).groups for m in [*chain, r]]
-        window = action == "allow" and bool(groups[-1]) and sum(map(bool, groups)) > 1 and sum(len(g) for x in groups for g in x) >= 9
-        out[r["id"]] = (action, rule, ",".join(ids), action == "allow", window, action == "allow" and encoded_look(r["text"], fold_text(r["text"])))
+        digits = [sum(b - a for a, b in plain.groups(plain.fold(t))) for t in texts]
+        window = action == "allow" and digits[-1] > 0 and sum(n > 0 for n in digits) > 1 and sum(digits) >= 9
+        out[r["id"]] = (action, rule, ",".join(ids), action == "allow", window, action == "allow" and plain.coded(r["text"]))
         mine.append(r)
     return out
 
@@ -55,11 +58,16 @@ def test_scan_equals_plain_loop(spark):
 def test_documents_equal_plain_detection(spark):
     got = {}
     for r in Q.document_scan(spark, DATA).collect():
-        got.setdefault(r["id"], []).append((r["place"], r["entity"], r["start"], r["end"], r["confidence"], r["note"]))
-    want = {f"d.{r['doc_id']}": [(k, s.entity, s.start, s.end, s.confidence, s.note) for k, s in enumerate(all_spans(r["text"]))] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+        got.setdefault(r["id"], []).append((r["place"], r["entity"], r["start"], r["end"]))
+    want = {f"d.{r['doc_id']}": [(k, *x) for k, x in enumerate(plain.find(r["text"]))] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v} and got
 
 
+def test_document_scan_runs_python_once(spark):
+    plan = Q.document_scan(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.fixture()
 def planned(spark):
     words = "aa bb cc dd ee ff gg hh ii jj".split()

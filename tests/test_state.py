@@ -2,12 +2,13 @@
 
 import random
 
+import plain
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
 from chatguard import queries, sources, streaming
-from chatguard.functions.spans import part_of, split_hit
+from chatguard.functions.spans import part_of
 from chatguard.operators import decide, policy as P, report as R, windows as W
 
 WORDS = ["4539 5787", "6362 1486", "hello there", "the card above", "number 12", "4539", "5787 6362 1486"]
@@ -30,7 +31,7 @@ def _naive(rows: list[tuple]) -> dict[tuple, tuple]:
         hit, ids = None, []
         if not removes:
             earlier = [e for e in mine if e[0] != key]
-            hit = split_hit([part_of(e[2]) for e in earlier] + [part_of(text)]) if earlier else None
+            hit = plain.split([e[2] for e in earlier] + [text]) if earlier else None
             if hit:
                 ids = [([e[0] for e in earlier] + [key])[i] for i in hit[1]]
                 mine = [e for e in mine if e[0] not in ids]
@@ -62,6 +63,79 @@ def test_chain_is_bounded(spark):
     assert got["m20"] == [f"m{k}" for k in range(14, 20)] and got["late"] == [] and got["m0"] == []
 
 
+@pytest.mark.parametrize("chunk", [50.0, 400.0, 1e9])
+def test_chunks_change_no_chain_and_no_session(spark, chunk):
+    rng = random.Random(int(chunk) % 97)
+    rows, at = [], 1725000000.0
+    for k in range(400):
+        at += rng.choice([0.0, 1.0, 30.0, 60.0, 179.0, 180.0, 181.0, 700.0])
+        rows.append((f"m{k:03d}", rng.choice("AB"), rng.choice("xy"), at, "t", False))
+    frame = _frame(spark, rows).repartition(3)
+    chains = {r["id"]: [c["id"] for c in r["chain"]] for r in W.recent_chain(frame, [], chunk=chunk).collect()}
+    sessions = {r["id"]: r["session"] for r in W.author_session(frame, chunk=chunk).collect()}
+    for channel in "AB":
+        for author in "xy":
+            mine, n = sorted((r for r in rows if r[1:3] == (channel, author)), key=lambda r: (r[3], r[0])), 0
+            for k, r in enumerate(mine):
+                n += k > 0 and r[3] - mine[k - 1][3] > 180
+                assert sessions[r[0]] == n
+                assert chains[r[0]] == [e[0] for e in mine[max(0, k - 6) : k] if r[3] - e[3] <= 180]
+    assert len(chains) == len(sessions) == 400
+
+
+def test_a_hot_author_is_many_groups(spark):
+    """90 % of the rows are one author's: no task of the chain's window holds more than twice the median."""
+    rows = spark.range(40_000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("id"), F.lit("A").alias("channel"), F.when(F.col("id") % 10 > 0, "bot").otherwise(F.concat(F.lit("u"), (F.col("id") % 997).cast("string"))).alias("author"), (F.lit(1725000000.0) + F.col("id") * 20).alias("at"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in W.recent_chain(rows, []).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 40_000 and len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_quantiles_of_real_values(spark):
+    rng = random.Random(3)
+    for values in ([rng.gauss(100, 30) for _ in range(501)], [5.0] * 40, [1.0, 1e9, 1e-9, -4.0], [7.0], [None, 3.0]):
+        row = R.latency_quantiles(spark.createDataFrame([(v,) for v in values], "ms double")).first()
+        ranked = sorted(v for v in values if v is not None)
+        assert (row["p50"], row["p95"]) == (ranked[len(ranked) // 2], ranked[int(len(ranked) * 0.95)])
+    assert tuple(R.latency_quantiles(spark.createDataFrame([], "ms double")).first()) == (None, None)
+
+
+def test_late_rows_are_marked(spark, tmp_path):
+    place = tmp_path / "late"
+    for n, rows in enumerate(([("a", 100.0, "4539 5787")], [("b", 50.0, "6362 1486"), ("c", 120.0, "6362 1486")])):
+        _frame(spark, [(k, "A", "x", 1725000000.0 + t, text, False) for k, t, text in rows]).coalesce(1).write.mode("append").parquet(str(place / "in"))
+        source = spark.readStream.schema(_frame(spark, [("a", "A", "x", 0.0, "t", False)]).schema).parquet(str(place / "in")).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", "1 hour")
+        lane = streaming.stream_rules_lane(source, ["CREDIT_CARD"])
+        lane.writeStream.format("parquet").option("path", str(place / "out")).option("checkpointLocation", str(place / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["id"]: (r["late"], r["split_entity"]) for r in spark.read.parquet(str(place / "out")).collect()}
+    assert got == {"a": (False, None), "b": (True, None), "c": (False, "CREDIT_CARD")}
+
+
+def test_shared_folder_is_asked_for(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "yarn", "applicationId": "x"})
+
+    with pytest.raises(ValueError):
+        sources.shared_folder(Cluster())
+
+
+def test_report_file(spark, tmp_path):
+    sources.write_report(spark.createDataFrame([("mask", 3)], "action string, n long"), str(tmp_path / "r"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).collect()[0].asDict() == {"action": "mask", "n": "3"}
+
+
+def test_missed_messages_cap(spark):
+    from chatguard.operators import events as E
+
+    history = spark.createDataFrame([("c", f"{k}.5", f"c.{k}.5") for k in range(1, 9)], "channel string, ts string, event_key string")
+    cursors, stored = spark.createDataFrame([("c", "2.5")], "channel string, last_ts string"), history.filter("ts = '4.5'")
+    assert [r["ts"] for r in E.missed_messages(history, cursors, stored, most=3).collect()] == ["3.5", "5.5", "6.5"]
+
+
 def test_stream_lane_equals_batch(spark, tmp_path):
     rows = [r for r in _messages(5, 60)]
     rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
