@@ -82,11 +82,19 @@ def _stems(words: set[str]) -> set[str]:
     return {f"{w[:k]}*" for w in words for k in range(SHORT, min(len(w), LONG) + 1)}
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(frames: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
     """(term, beside, toxic, clean): document counts of words and stems; beside is null for the plain count, else the
-    word before a word or the word that a stem began, for toxic rows only."""
+    word before a word or the word that a stem began, for toxic rows only. A task holds about `most` counts at once."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def done() -> pd.DataFrame:
+        keys = list(counts[0].keys() | counts[1].keys())
+        out = pd.DataFrame({"term": [k[0] for k in keys], "beside": [k[1] for k in keys], "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
+        counts[0].clear()
+        counts[1].clear()
+        return out
+
     for frame in frames:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
             words = _words(fold(text))
             own = {w for w in words if len(w) >= LEAST}
@@ -94,8 +102,10 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if toxic:
                 counts[1].update({(w, v) for v, w in zip(["", *words], words, strict=False) if w in own})
                 counts[1].update((t, w) for w in own for t in _stems({w}))
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": [k[0] for k in keys], "beside": [k[1] for k in keys], "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
+            if len(counts[0]) + len(counts[1]) > most:
+                yield done()
+    if counts[0] or counts[1]:
+        yield done()
 
 
 def _apart(terms: dict[str, float]) -> set[str]:
