@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 _SIGNS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u303f\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 _UNSPACED = re.compile("([\u0e00-\u0e7f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u31ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff])")
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -79,7 +79,7 @@ def _pieces(text: str) -> Iterator[str]:
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks (first, last + 1, hashes, counts) of a list of texts: the words of texts[first:last + 1] in a row.
 
-    Null texts count as empty. Memory is bounded by the longest text; texts are joined up to about half a megabyte.
+    Null texts count as empty. Memory is bounded by the longest text; texts are joined up to about a quarter of a megabyte.
     """
     first, held, size = 0, [], 0
 
