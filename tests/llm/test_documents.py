@@ -132,7 +132,7 @@ def test_components_with_hot_keys(spark):
     edges = spark.createDataFrame([(k, 0) for k in range(1, 60)] + [(k, k - 1) for k in range(100, 130)], "a long, b long")
     values = spark.createDataFrame([(0, 59, "x"), (1, 1, "y")], "a long, n long, v string")
     rows = spark.createDataFrame([(0, k) for k in range(59)] + [(1, 7)], "a long, k long")
-    assert sorted((r["k"], r["v"]) for r in D._by_key(rows, values, ["a"], hot=10).collect()) == sorted([(k, "x") for k in range(59)] + [(7, "y")])
+    assert sorted((r["k"], r["v"]) for r in D._by_key(rows, values, ["a"], 60, hot=10).collect()) == sorted([(k, "x") for k in range(59)] + [(7, "y")])
     got = {r["id"]: r["root"] for r in D.components(edges).collect()}
     assert all(got[k] == 0 for k in range(1, 60)) and all(got[k] == 99 for k in range(100, 130))
 
