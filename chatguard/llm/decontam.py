@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatguard.llm.store import keep
+from chatguard.llm.store import keep, released
 from chatguard.llm.words import mix, word_hashes
 
 SEED = 4
@@ -194,13 +194,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     the best score. Empty tables give an empty result. No document, seed or partner is capped.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    items = keep(items.mapInPandas(lambda x: _items(x, n), "item_id long, words array<long>").distinct(), "bench-items")
+    items = keep(items.mapInPandas(released(lambda x: _items(x, n)), "item_id long, words array<long>").distinct(), "bench-items")
     schema = "doc_id long, item_id long, score double, start_word int, end_word int"
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     found = docs.sparkSession.createDataFrame([], schema)
     for index in _indexes(items, least):
         held = docs.sparkSession.sparkContext.broadcast(index)
-        found = found.union(source.mapInPandas(lambda x, held=held: _aligned(x, held.value, least), schema))
+        found = found.union(source.mapInPandas(released(lambda x, held=held: _aligned(x, held.value, least)), schema))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct(F.col("score"), -F.col("start_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatguard.llm.store import released
+
 # Fixed value: the published pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -158,7 +160,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
             done = pack(held, first, kind)
             yield from (done.slice(k, 256) for k in range(0, done.num_rows, 256))
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(released(run), SCHEMA)
 
 
 FILES = "part string, rows long, segments long, tokens long, row_bytes long"

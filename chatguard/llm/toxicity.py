@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatguard.llm.store import keep
+from chatguard.llm.store import keep, released
 
 # Letters of other scripts by the Latin letter they look like.
 _LOOKALIKES = {
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
     if not bad or not good:
         share = min(0.99, max(0.01, bad / max(1, bad + good))) if bad + good else 0.01
         return Model({}, [math.log(share / (1 - share)), 0.0, 0.0])
-    pairs = sample.mapInPandas(_counted, "term string, beside string, toxic long, clean long").groupBy("term", "beside").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    pairs = sample.mapInPandas(released(_counted), "term string, beside string, toxic long, clean long").groupBy("term", "beside").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     whole, beside = F.col("beside").isNull(), F.col("beside").isNotNull()
     counts = pairs.groupBy("term").agg(F.sum(F.when(whole, F.col("toxic"))).alias("toxic"), F.sum(F.when(whole, F.col("clean"))).alias("clean"), F.sum(beside.cast("long")).alias("kinds"), F.max(F.when(beside, F.col("toxic"))).alias("most"))
     varied = F.when(F.endswith("term", F.lit("*")), (F.col("kinds") >= VARIETY) & (2 * F.col("most") <= F.col("toxic"))).otherwise(2 * F.col("kinds") >= F.col("toxic"))
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
     picked = counts.select("term", ratio.alias("ratio"), odds.alias("odds")).filter((F.col("ratio") >= 2 * math.log(terms) + 8) & (F.col("odds") >= 2)).orderBy("term").collect()  # words of max_rows texts
     kept = _apart({r["term"]: r["ratio"] for r in picked})
     weights = {r["term"]: r["odds"] for r in picked if r["term"] in kept}
-    rows = sample.mapInPandas(lambda x: _measured(x, weights), "toxic int, total double, words long").toPandas()  # max_rows rows of numbers
+    rows = sample.mapInPandas(released(lambda x: _measured(x, weights)), "toxic int, total double, words long").toPandas()  # max_rows rows of numbers
     rows = rows.sort_values(["toxic", "total", "words"])
     b = fit_logistic(features(rows["total"].to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy(float))
     return Model(weights, b.tolist())
@@ -248,8 +248,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     """
     weights, b = model.weights, np.array(model.coefficients)
 
-    @F.pandas_udf("toxic_score double, toxic_hits int")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(weights)
         for texts in parts:
             got = [lexicon.measure(t) for t in texts]
@@ -257,5 +256,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
             x = features(np.array([g[0] for g in got], dtype=float).reshape(-1), words.reshape(-1))
             yield pd.DataFrame({"toxic_score": 1 / (1 + np.exp(-np.clip(x @ b, -30, 30))), "toxic_hits": np.array([g[1] for g in got], dtype=np.int32)})
 
+    @F.pandas_udf("toxic_score double, toxic_hits int")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(scores)(parts)
+
     scored = docs.drop("toxic_score", "toxic_hits").withColumn("__said", judge(F.col(text)))
     return scored.select(*[c for c in docs.columns if c not in ("toxic_score", "toxic_hits")], "__said.toxic_score", "__said.toxic_hits")
