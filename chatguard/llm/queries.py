@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import dartminhash, decontam, maintext, mixing, packing, pii, reshard, toxicity, urlrules, vafile
+from chatguard.llm import dartminhash, decontam, maintext, mixing, orchard, packing, pii, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep, new_folder
 
 # A public rank file that every worker holds; CHATGUARD_VOCABULARY names another.
@@ -81,6 +81,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = orchard.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    components = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(components, 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_decontaminate": op2_decontaminate,
@@ -92,8 +98,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_mix_sources": op10_mix_sources,
+    "op13_orchard_clusters": op13_orchard_clusters,
 }
 
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd rounds as one chain of tables: c0, then a<i> (assignment to c<i>) and c<i + 1> (its means)."""
+    parts = ["""WITH v AS (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY h, vec) - 1 AS c, vec FROM (
+            SELECT sha256('2:' || vec_id) AS h, vec FROM v WHERE vec_id IS NOT NULL ORDER BY h, vec LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT n, c, CAST(list_sum(list_transform(list_zip(v.vec, c{i}.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{i}),
+        a{i} AS (SELECT n, c, d FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, c) AS r FROM d{i}) WHERE r = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT a{i}.c, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM a{i} JOIN v USING (n)) GROUP BY c, i),
+        c{i + 1} AS (SELECT c, coalesce(m.vec, c{i}.vec) AS vec FROM c{i} LEFT JOIN (SELECT c, list(x ORDER BY i) AS vec FROM s{i} GROUP BY c) m USING (c))""")
+    parts.append(f"""t AS (SELECT c, CAST(sum(d) AS BIGINT) AS spread FROM a{rounds} GROUP BY c)""")
+    return ",\n        ".join(parts) + f"""
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, spread AS cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia,
+               sha256(array_to_string(center, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (n) JOIN t USING (c) JOIN (SELECT c, vec AS center FROM c{rounds}) m USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": """
         WITH v AS (
@@ -127,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
             WHEN regexp_matches(whole, '[/.-]cheap-pills[.-]|[/.-]casino[/.-]|[/.-]torrents[/.-]|[/.-]porn[/.-]|://ads\.|/login([/?#.]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
         FROM f""",
+    "op13_orchard_clusters": _clusters_sql(),
 }
