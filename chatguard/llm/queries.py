@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import dartminhash, decontam, maintext, mixing, orchard, packing, pii, reshard, toxicity, urlrules, vafile
+from chatguard.llm import dartminhash, decontam, maintext, mixing, orchard, packing, pii, prefixtrie, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep, new_folder
 
 # A public rank file that every worker holds; CHATGUARD_VOCABULARY names another.
@@ -81,6 +81,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = orchard.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
     components = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_mix_sources": op10_mix_sources,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_orchard_clusters": op13_orchard_clusters,
 }
 
@@ -155,5 +160,37 @@ ORACLE_SQL: dict[str, str] = {
             WHEN regexp_matches(whole, '[/.-]cheap-pills[.-]|[/.-]casino[/.-]|[/.-]torrents[/.-]|[/.-]porn[/.-]|://ads\.|/login([/?#.]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
         FROM f""",
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, h) AS r FROM t),
+        ids AS (
+            SELECT c, c - c % 20 AS base, (4294967295 - list_reduce(
+                [4294967295] || list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+                lambda x, b: list_reduce([xor(x, b)] || [CAST(0 AS BIGINT) for z in range(8)], lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS take
+            FROM (SELECT DISTINCT c FROM t)),
+        s AS (
+            SELECT ids.c, o.r AS d, o.h, o.words FROM ids JOIN o ON o.c = ids.base AND o.r <= take
+            UNION ALL
+            SELECT ids.c, least(take, coalesce(b.n, 0)) + o.r - take, o.h, o.words
+            FROM ids JOIN o ON o.c = ids.c AND o.r > take LEFT JOIN (SELECT c, count(*) AS n FROM o GROUP BY c) b ON b.c = ids.base),
+        p AS (
+            SELECT c, d, words, md5(string_agg(h, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM s
+            UNION ALL SELECT c, 0, 0, 'root' FROM ids),
+        n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, k),
+        up AS (SELECT DISTINCT p.d, p.k, q.k AS pk FROM p JOIN p q ON q.c = p.c AND q.d = p.d - 1),
+        kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM up GROUP BY ALL),
+        facts AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)),
+        below AS (
+            SELECT p.d, p.k, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved
+            FROM facts f JOIN p ON p.c = f.conv_id AND p.d <= f.d GROUP BY ALL),
+        ends AS (
+            SELECT d, k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha
+            FROM (SELECT c, arg_max(k, d) AS k, max(d) AS d FROM p GROUP BY c) GROUP BY d, k)
+        SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+        FROM facts f JOIN below USING (d, k) LEFT JOIN up USING (d, k) LEFT JOIN n a ON a.d = f.d - 1 AND a.k = up.pk LEFT JOIN ends USING (d, k)""",
     "op13_orchard_clusters": _clusters_sql(),
 }
