@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatguard.llm import dartminhash, decontam, maintext, mixing, orchard, packing, pii, prefixtrie, reshard, toxicity, urlrules, vafile
+from chatguard.llm import anchors, dartminhash, decontam, maintext, mixing, orchard, packing, pii, prefixtrie, reshard, toxicity, urlrules, vafile
 from chatguard.llm.store import keep, new_folder
 
 # A public rank file that every worker holds; CHATGUARD_VOCABULARY names another.
@@ -81,6 +81,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
+def op11_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = anchors.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_mix_sources": op10_mix_sources,
+    "op11_block_anchors": op11_block_anchors,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_orchard_clusters": op13_orchard_clusters,
 }

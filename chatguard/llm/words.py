@@ -43,11 +43,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, start offset of each word) of lower-cased UTF-8 bytes."""
+def hash_words(data: bytes, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, start offset of each word) of UTF-8 bytes; is_word says which of the 256 bytes words hold."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = _IS_WORD[raw]
+    inside[1:-1] = is_word[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(raw) + 1)
@@ -85,7 +85,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
 
     def flush(last: int):
         marks = np.cumsum([0, *(len(x) + 1 for x in held)])
-        hashes, start = _hash_bytes(b"\n".join(held))
+        hashes, start = hash_words(b"\n".join(held))
         return first, last, hashes, np.diff(np.searchsorted(start, marks))
 
     for k, text in enumerate(texts):
@@ -93,7 +93,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         if len(text) > _PIECE:
             if held:
                 yield flush(k)
-            parts = [_hash_bytes(_plain(x))[0] for x in _pieces(text)]
+            parts = [hash_words(_plain(x))[0] for x in _pieces(text)]
             hashes = np.concatenate(parts)
             yield k, k + 1, hashes, np.array([len(hashes)])
             first, held, size = k + 1, [], 0
