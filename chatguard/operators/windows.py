@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatguard.functions.spans import Part, split_hit
+from chatguard.sources import kept
 
 MAX_MESSAGES, MAX_AGE = 6, 180.0
 CHUNK = 3600.0  # seconds of an author's messages in one group
@@ -86,32 +89,87 @@ class Lane:
 
 
 LANE = "id string, channel string, author string, at double, removed boolean, split_entity string, split_confidence double, related array<string>"
+_HELD = "array<struct<id:string,at:double,folded:string,groups:array<string>,disguised:int>>"
+_REPLAYED = f"{LANE}, chunk long, first double, start {_HELD}, finish {_HELD}"
+_KEY = ["channel", "author", "chunk"]
 
 
-def ordered_rules_lane(messages: DataFrame, split_removes: list[str], age: float = MAX_AGE) -> DataFrame:
+def _held(entries: list[tuple[str, float, Part]]) -> list[dict]:
+    return [{"id": i, "at": float(a), "folded": p.folded, "groups": list(p.groups), "disguised": int(p.disguised)} for i, a, p in entries]
+
+
+def _lane_of(held) -> Lane:
+    return Lane([(e["id"], e["at"], Part(e["folded"], list(e["groups"]), e["disguised"])) for e in held])
+
+
+def _replay(frames: Iterator[pd.DataFrame], wanted: set[str], age: float) -> Iterator[pd.DataFrame]:
+    """Chunks in order of time from their start states: a row for each message of a chunk, then one with its two ends.
+
+    Rows of a chunk before are stepped through for the state they leave and give no row.
+    """
+    now, lane, ends = None, Lane(), None
+    columns = [c.split()[0] for c in LANE.split(", ")] + ["chunk", "first", "start", "finish"]
+
+    def closing() -> list[tuple]:
+        return [] if ends is None else [(None, now[0], now[1], None, None, None, None, None, now[2], ends[0], ends[1], _held(lane.entries))]
+
+    for frame in frames:
+        out = []
+        for channel, author, chunk, own, at, key, folded, groups, disguised, removes, start in frame.itertuples(index=False):
+            if (channel, author, chunk) != now:
+                out += closing()
+                now, lane, ends = (channel, author, chunk), _lane_of(start if start is not None else ()), None
+            if own and ends is None:
+                ends = (at, _held([e for e in lane.entries if at - e[1] <= age]))
+            entity, ids, confidence = lane.step(key, at, Part(folded, list(groups), disguised), bool(removes), lambda e, _: e in wanted)
+            if own:
+                out.append((key, channel, author, at, bool(removes) or entity is not None, entity, confidence if entity else None, ids, chunk, None, None, None))
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(closing(), columns=columns)
+
+
+def ordered_rules_lane(messages: DataFrame, split_removes: list[str], age: float = MAX_AGE, chunk: float = CHUNK, warm: float = 2 * MAX_AGE) -> DataFrame:
     """The exact replay: removed messages never enter the window, split hits forget their parts, edits keep their slot.
 
     messages: id, channel, author, at, folded, groups, disguised, removes (the rules alone remove it). An edit
-    repeats the id with a later at. split_removes: entities whose split hits the policy removes. Authors are dealt
-    by (channel, author, session): a pause empties the window, so a busy author splits at pauses. Rows stream
-    through in order; a task holds six entries.
+    repeats the id with a later at. split_removes: entities whose split hits the policy removes.
+
+    An author's time is cut into chunks of `chunk` seconds that are replayed at once, each from the state that its
+    last `warm` seconds before leave. A chunk whose state at its beginning is not what the chunk before really left
+    is replayed again from that, until all ends meet; so an author who never pauses is many tasks, and the
+    result is that of one pass whatever `chunk` and `warm` are. Usually the first pass is right: entries older than
+    `age` count no more. In the worst case an author takes as many passes as chunks.
     """
-    rows = author_session(messages, age).select("channel", "author", "session", "at", "id", "folded", "groups", "disguised", "removes")
-    dealt = rows.repartition("channel", "author", "session").sortWithinPartitions("channel", "author", "session", "at", "id")
     wanted = set(split_removes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lane = None, Lane()
-        for frame in frames:
-            out = []
-            for channel, author, session, at, key, folded, groups, disguised, removes in frame.itertuples(index=False):
-                if (channel, author, session) != now:
-                    now, lane = (channel, author, session), Lane()
-                entity, ids, confidence = lane.step(key, at, Part(folded, list(groups), disguised), bool(removes), lambda e, _: e in wanted)
-                out.append((key, channel, author, at, bool(removes) or entity is not None, entity, confidence if entity else None, ids))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LANE.split(", ")])
-
-    return dealt.mapInPandas(run, LANE)
+    slim = kept(messages.select("channel", "author", "at", "id", "folded", "groups", "disguised", "removes"), "lane-rows")
+    own, ahead = F.floor(F.col("at") / chunk), F.floor((F.col("at") + warm) / chunk)
+    order = [*_KEY, "at", "id"]
+
+    def passed(rows: DataFrame, start: F.Column) -> DataFrame:
+        dealt = rows.select(*_KEY, (F.col("chunk").eqNullSafe(own)).alias("own"), "at", "id", "folded", "groups", "disguised", "removes", start.alias("start"))
+        return kept(dealt.repartition(*_KEY).sortWithinPartitions(*order).mapInPandas(lambda x: _replay(x, wanted, age), _REPLAYED), "lane-pass")
+
+    chunks = F.explode(F.coalesce(F.sequence(own, ahead), F.array(F.lit(None).cast("long"))))
+    passes = [passed(slim.withColumn("chunk", chunks), F.lit(None).cast(_HELD))]
+    ends = passes[0].filter("finish is not null").select(*_KEY, "first", "start", "finish", F.lit(0).alias("last"))
+    # One row a chunk: what the chunk before left, as far as it is young enough for the chunk's first message.
+    before = F.coalesce(F.lag("finish").over(Window.partitionBy("channel", "author").orderBy("chunk")), F.array().cast(_HELD))
+    left = F.filter(before, lambda e: F.col("first") - e["at"] <= age)
+    same = lambda a, b: reduce(and_, (a[c].eqNullSafe(b[c]) for c in _KEY))
+    while True:
+        wrong = kept(ends.withColumn("left", left).filter("start <> left").select(*_KEY, "left"), "lane-wrong")
+        if wrong.isEmpty():
+            break
+        rows = slim.withColumn("chunk", own)
+        again = rows.join(wrong, same(rows, wrong)).select(*(rows[c] for c in rows.columns), "left")
+        passes.append(passed(again, F.col("left")))
+        new = passes[-1].filter("finish is not null").select(*_KEY, "first", "start", "finish", F.lit(len(passes) - 1).alias("last"))
+        ends = kept(ends.join(wrong, same(ends, wrong), "left_anti").unionByName(new), "lane-ends")
+    columns = [c.split()[0] for c in LANE.split(", ")]
+    if len(passes) == 1:
+        return passes[0].filter("finish is null").select(*columns)
+    rows = reduce(DataFrame.unionByName, [p.filter("finish is null").withColumn("last", F.lit(n)) for n, p in enumerate(passes)])
+    return rows.join(ends, same(rows, ends) & (rows["last"] == ends["last"]), "left_semi").select(*columns)
 
 
 def claimable_jobs(jobs: DataFrame, now: float) -> DataFrame:

@@ -7,15 +7,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chatguard.functions.spans import Part
 from chatguard.operators import events as E
 from chatguard.operators.windows import LANE, MAX_AGE, Lane
 
-STREAM_LANE = f"{LANE}, late boolean"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-_STATE = "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>"
+
+def timed_state(rows: DataFrame) -> DataFrame:
+    """rows, in a session whose streams keep state in RocksDB: state with timers needs it, and state may exceed memory."""
+    if rows.sparkSession.conf.get(_PROVIDER) != _ROCKS:
+        rows.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    return rows
 
 
 def stream_intake(events: DataFrame, memory: str = "1 day") -> DataFrame:
@@ -25,38 +31,66 @@ def stream_intake(events: DataFrame, memory: str = "1 day") -> DataFrame:
     return timed.withWatermark("event_time", memory).dropDuplicatesWithinWatermark(["event_key"])
 
 
-def stream_rules_lane(messages: DataFrame, split_removes: list[str]) -> DataFrame:
-    """The ordered rules lane with the author's window as state, which ends after MAX_AGE of event time.
+class OrderedLane(StatefulProcessor):
+    """One author's lane: rows wait in state until the watermark has passed them and are then stepped through in order.
 
-    messages: id, channel, author, at, event_time (with a watermark), folded, groups, disguised, removes. Rows of
-    a batch are put in order of time; a row older than the newest of an earlier batch is judged alone, by what the
-    rules say of it, and marked late, so that late rows can be counted. A trigger's slim rows of one author are held
-    together: bound a trigger at the source (maxFilesPerTrigger, maxBytesPerTrigger).
+    State: the lane's entries, and the waiting rows by second. Every second with rows has a timer; timers fire in order
+    of time. Python holds one batch of arriving rows or one author's rows of one second, whatever a trigger brings.
     """
-    wanted = set(split_removes)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        lane = Lane()
-        if state.exists:
-            lane.entries = [(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*state.get, strict=True)]
-        newest = max((e[1] for e in lane.entries), default=float("-inf"))
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+
+    def __init__(self, wanted: set[str], age: float = MAX_AGE):
+        self.wanted, self.age = wanted, age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>")
+        self.waiting = handle.getMapState("waiting", "second long", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>, removes array<boolean>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for second, some in frame[frame["id"].notna()].groupby(frame["at"] // 1):
+                slot = (int(second),)
+                new = (some["id"].tolist(), some["at"].astype(float).tolist(), some["folded"].tolist(), [list(g) for g in some["groups"]], [int(d) for d in some["disguised"]], [bool(r) for r in some["removes"]])
+                if self.waiting.containsKey(slot):
+                    new = tuple([*old, *more] for old, more in zip(self.waiting.getValue(slot), new, strict=True))
+                else:
+                    self.handle.registerTimer((slot[0] + 1) * 1000)
+                self.waiting.updateValue(slot, new)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
+        lane = Lane([(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*self.held.get(), strict=True)] if self.held.exists() else [])
         out = []
-        for r in rows.itertuples(index=False):
-            late, known = r.at < newest, any(e[0] == r.id for e in lane.entries)
-            entity, ids, confidence = (None, [], 0.0) if late and not known else lane.step(r.id, r.at, Part(r.folded, list(r.groups), r.disguised), bool(r.removes), lambda e, _: e in wanted)
-            out.append((r.id, key[0], key[1], r.at, bool(r.removes) or entity is not None, entity, confidence if entity else None, ids, late))
-        kept = lane.entries
-        state.update(([e[0] for e in kept], [float(e[1]) for e in kept], [e[2].folded for e in kept], [list(e[2].groups) for e in kept], [int(e[2].disguised) for e in kept]))
-        ends = int((rows["at"].max() + MAX_AGE) * 1000)
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM_LANE.split(", ")])
+        if self.waiting.containsKey(slot):
+            rows = sorted(zip(*self.waiting.getValue(slot), strict=True), key=lambda r: (r[1], r[0]))
+            self.waiting.removeKey(slot)
+            for i, at, folded, groups, disguised, removes in rows:
+                entity, ids, confidence = lane.step(i, at, Part(folded, list(groups), disguised), removes, lambda e, _: e in self.wanted)
+                out.append((i, key[0], key[1], at, removes or entity is not None, entity, confidence if entity else None, ids))
+        # A later timer finds the entries too old unless newer ones came.
+        lane.entries = [e for e in lane.entries if slot[0] - e[1] <= self.age]
+        if lane.entries:
+            kept = lane.entries
+            self.held.update(([e[0] for e in kept], [float(e[1]) for e in kept], [e[2].folded for e in kept], [list(e[2].groups) for e in kept], [int(e[2].disguised) for e in kept]))
+            self.handle.registerTimer((int(kept[-1][1] + self.age) + 3) * 1000)
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LANE.split(", ")])
+
+
+def stream_rules_lane(messages: DataFrame, split_removes: list[str]) -> DataFrame:
+    """The ordered rules lane: for rows that keep within the watermark the result is that of the batch, in whatever order they come.
 
+    messages: id, channel, author, at, event_time (of at, with a watermark), folded, groups, disguised, removes. A row
+    leaves when the watermark has passed its second. A row with a null id yields nothing; it moves the watermark on
+    where messages pause. Rows older than the watermark take no part and Spark counts them (numRowsDroppedByWatermark);
+    what the rules alone say of them stands in `removes` before the lane.
+    """
     slim = messages.select("id", "channel", "author", "at", "event_time", "folded", "groups", "disguised", "removes")
-    return slim.groupBy("channel", "author").applyInPandasWithState(run, STREAM_LANE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = timed_state(slim).groupBy("channel", "author")
+    return grouped.transformWithStateInPandas(OrderedLane(set(split_removes)), LANE, "append", "eventTime")
 
 
 def route_lanes(decided: DataFrame, removed_path: str, open_path: str):
@@ -88,12 +122,64 @@ def stream_cursors(done: DataFrame) -> DataFrame:
     return E.channel_cursors(done)
 
 
+class FirstRequest(StatefulProcessor):
+    """The earliest request of one ticket, held as a running minimum until the ticket's time is over.
+
+    Requests that come ahead of their ticket wait until it comes or, by the watermark, cannot come any more.
+    """
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.created = handle.getValueState("created", "created long")
+        self.best = handle.getValueState("best", "asked long, actor string")
+        self.ahead = handle.getListState("ahead", "asked long, actor string")
+
+    def _offer(self, created: int, request: tuple[int, str]) -> None:
+        if created <= request[0] <= created + self.ttl and (not self.best.exists() or request < tuple(self.best.get())):
+            self.best.update(request)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for opened, at, actor in zip(frame["opened"].tolist(), frame["micros"].tolist(), frame["actor_id"].tolist(), strict=True):
+                if key[0] is None:
+                    continue
+                if opened and not self.created.exists():
+                    self.created.update((at,))
+                    self.handle.registerTimer((at + self.ttl) // 1000 + 1)
+                    for request in self.ahead.get() if self.ahead.exists() else ():
+                        self._offer(at, (request[0], request[1]))
+                    self.ahead.clear()
+                elif not opened and self.created.exists():
+                    self._offer(self.created.get()[0], (at, actor))
+                elif not opened:
+                    self.ahead.appendValue((at, actor))
+                    self.handle.registerTimer(at // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.created.exists():
+            left = [r for r in self.ahead.get() if r[0] // 1000 + 1 > now] if self.ahead.exists() else []
+            self.ahead.put([tuple(r) for r in left]) if left else self.ahead.clear()
+        elif now >= (self.created.get()[0] + self.ttl) // 1000 + 1:
+            if self.best.exists():
+                asked, actor = self.best.get()
+                yield pd.DataFrame({"ticket_id": [key[0]], "actor_id": [actor], "asked": pd.to_datetime([asked], unit="us", utc=True), "created_at": [self.created.get()[0] // 1_000_000]})
+            self.created.clear()
+            self.best.clear()
+
+
 def stream_restores(tickets: DataFrame, requests: DataFrame, ttl: int = 900, late: str = "1 minute") -> DataFrame:
-    """Requests of managers within ttl seconds of their ticket, the first of each ticket.
+    """The earliest request of each ticket within ttl seconds of it; equal times go by actor.
 
-    tickets: id, created timestamp. requests: ticket_id, actor_id, asked timestamp (managers only).
+    tickets: id, created timestamp. requests: ticket_id, actor_id, asked timestamp (managers only). Rows may come in
+    any order within `late`; a ticket's row leaves when the watermark has passed its ttl. A request with a null
+    ticket_id yields nothing; it moves the watermark on.
     """
-    t = tickets.select(F.col("id").alias("t_id"), "created").withWatermark("created", late)
-    r = requests.withWatermark("asked", late)
-    joined = r.join(t, F.expr(f"ticket_id = t_id AND asked >= created AND asked <= created + INTERVAL {ttl} SECONDS"))
-    return joined.select("ticket_id", "actor_id", "asked", F.unix_timestamp("created").alias("created_at")).dropDuplicatesWithinWatermark(["ticket_id"])
+    t = tickets.select(F.col("id").cast("string").alias("ticket_id"), F.lit(None).cast("string").alias("actor_id"), F.col("created").alias("event_time"), F.lit(True).alias("opened"))
+    r = requests.select(F.col("ticket_id").cast("string").alias("ticket_id"), "actor_id", F.col("asked").alias("event_time"), F.lit(False).alias("opened"))
+    both = t.unionByName(r).withColumn("micros", F.unix_micros("event_time")).withWatermark("event_time", late)
+    return timed_state(both).groupBy("ticket_id").transformWithStateInPandas(FirstRequest(ttl), "ticket_id string, actor_id string, asked timestamp, created_at long", "append", "eventTime")

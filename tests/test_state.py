@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatguard import queries, sources, streaming
 from chatguard.functions.spans import part_of
 from chatguard.operators import decide, policy as P, report as R, windows as W
+from chatguard.operators.windows import LANE
 
 WORDS = ["4539 5787", "6362 1486", "hello there", "the card above", "number 12", "4539", "5787 6362 1486"]
 
@@ -103,15 +104,85 @@ def test_quantiles_of_real_values(spark):
     assert tuple(R.latency_quantiles(spark.createDataFrame([], "ms double")).first()) == (None, None)
 
 
-def test_late_rows_are_marked(spark, tmp_path):
-    place = tmp_path / "late"
-    for n, rows in enumerate(([("a", 100.0, "4539 5787")], [("b", 50.0, "6362 1486"), ("c", 120.0, "6362 1486")])):
-        _frame(spark, [(k, "A", "x", 1725000000.0 + t, text, False) for k, t, text in rows]).coalesce(1).write.mode("append").parquet(str(place / "in"))
-        source = spark.readStream.schema(_frame(spark, [("a", "A", "x", 0.0, "t", False)]).schema).parquet(str(place / "in")).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", "1 hour")
-        lane = streaming.stream_rules_lane(source, ["CREDIT_CARD"])
-        lane.writeStream.format("parquet").option("path", str(place / "out")).option("checkpointLocation", str(place / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r["id"]: (r["late"], r["split_entity"]) for r in spark.read.parquet(str(place / "out")).collect()}
-    assert got == {"a": (False, None), "b": (True, None), "c": (False, "CREDIT_CARD")}
+@pytest.mark.parametrize("chunk,warm", [(100.0, 0.0), (37.0, 20.0), (700.0, 360.0), (1e9, 0.0)])
+def test_lane_of_an_author_who_never_pauses(spark, monkeypatch, chunk, warm):
+    """Chunks that begin with a wrong state are replayed until all ends meet."""
+    rng, at, rows = random.Random(int(chunk)), 1725000000.0, []
+    for k in range(260):
+        at += rng.choice([1.0, 5.0, 20.0, 60.0])
+        rows.append((f"m{k}" if k < 5 or rng.random() > 0.1 else f"m{k - 2}", "A", rng.choice("xxxxy"), at, rng.choice(WORDS), rng.random() < 0.05))
+    passes = []
+    real = W.kept
+    monkeypatch.setattr(W, "kept", lambda df, name: (passes.append(name), real(df, name))[1])
+    got = W.ordered_rules_lane(_frame(spark, rows).repartition(3), ["CREDIT_CARD", "CA_SIN"], chunk=chunk, warm=warm).collect()
+    assert len(got) == len(rows)
+    assert {(r["id"], r["channel"], r["author"], r["at"]): (r["removed"], tuple(r["related"])) for r in got} == _naive(rows)
+    assert passes.count("lane-pass") > 1 if warm == 0.0 and chunk < 1e9 else passes.count("lane-pass") >= 1
+
+
+def test_a_hot_author_is_many_tasks_of_the_lane(spark):
+    """90 % of 40,000 rows are one author's, without a pause: no task replays more than twice the median."""
+    n = F.col("id")
+    rows = spark.range(40_000).select(F.concat(F.lit("m"), n.cast("string")).alias("id"), F.lit("A").alias("channel"), F.when(n % 10 > 0, "bot").otherwise(F.concat(F.lit("u"), (n % 997).cast("string"))).alias("author"), (F.lit(1725000000.0) + n * 20).alias("at"), F.lit("word").alias("folded"), F.array().cast("array<string>").alias("groups"), F.lit(0).alias("disguised"), F.lit(False).alias("removes"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lane = W.ordered_rules_lane(rows, ["CREDIT_CARD"])
+        files = [r["n"] for r in lane.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(files) == 40_000 and len(files) == 4 and max(files) <= 2 * sorted(files)[len(files) // 2]
+
+
+def _lane_stream(spark, place, schema, delay="1 hour"):
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place / "in")).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", delay)
+    lane = streaming.stream_rules_lane(source, ["CREDIT_CARD", "CA_SIN"])
+    query = lane.writeStream.format("parquet").option("path", str(place / "out")).option("checkpointLocation", str(place / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None
+    return query
+
+
+def _beat(at):
+    return (None, None, None, at, "", False)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stream_lane_equals_batch(spark, tmp_path, shuffled):
+    """Rows that come in any order within the watermark, over several triggers."""
+    rows = list({(r[0], r[1], r[2]): r for r in _messages(5, 60)}.values())
+    frame = _frame(spark, rows)
+    came = rows[:]
+    random.Random(1).shuffle(came) if shuffled else None
+    for part in (came[:25], came[25:], [_beat(max(r[3] for r in rows) + 90_000)]):
+        _frame(spark, [(k, c, a, t, x or "", r) for k, c, a, t, x, r in part]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    _lane_stream(spark, tmp_path, frame.schema, "2 days")
+    assert not (tmp_path / "out").exists() or spark.read.schema(LANE).parquet(str(tmp_path / "out")).count() == 0
+    _frame(spark, [_beat(max(r[3] for r in rows) + 400_000)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    _lane_stream(spark, tmp_path, frame.schema, "2 days")
+    key = lambda r: (r["id"], r["channel"], r["author"], r["at"], r["removed"], tuple(r["related"]))
+    batch = W.ordered_rules_lane(frame, ["CREDIT_CARD", "CA_SIN"])
+    assert sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(key, batch.collect()))
+
+
+def test_a_row_that_came_out_of_order_takes_its_place(spark, tmp_path):
+    """Its second half comes first, the first half a trigger later: the stream joins them in order of time."""
+    base = 1725000000.0
+    for rows in ([("b", "A", "x", base + 50, "6362 1486", False)], [("a", "A", "x", base + 20, "4539 5787", False)], [_beat(base + 9000)]):
+        frame = _frame(spark, rows)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        _lane_stream(spark, tmp_path, frame.schema)
+    got = {r["id"]: (r["split_entity"], tuple(r["related"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": (None, ()), "b": ("CREDIT_CARD", ("a", "b"))}
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    base, dropped = 1725000000.0, 0
+    for rows in ([("a", "A", "x", base, "hi", False), _beat(base + 9000)], [("b", "A", "x", base + 9001, "hi", False)], [("late", "A", "x", base + 1, "hi", False)], [_beat(base + 99_000)]):
+        frame = _frame(spark, rows)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = _lane_stream(spark, tmp_path, frame.schema)
+        dropped += sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"] and dropped == 1
 
 
 def test_shared_folder_is_asked_for(spark):
@@ -136,20 +207,6 @@ def test_missed_messages_cap(spark):
     assert [r["ts"] for r in E.missed_messages(history, cursors, stored, most=3).collect()] == ["3.5", "5.5", "6.5"]
 
 
-def test_stream_lane_equals_batch(spark, tmp_path):
-    rows = [r for r in _messages(5, 60)]
-    rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
-    frame = _frame(spark, rows)
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", "1 hour")
-    lane = streaming.stream_rules_lane(source, ["CREDIT_CARD", "CA_SIN"])
-    query = lane.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    key = lambda r: (r["id"], r["channel"], r["removed"], tuple(r["related"]))
-    batch = W.ordered_rules_lane(frame, ["CREDIT_CARD", "CA_SIN"])
-    assert sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(key, batch.collect()))
-
-
 def test_stream_lane_query_finds_splits(spark):
     rows = queries.stream_lane(spark, DATA).collect()
     assert any(r["split_entity"] == "CREDIT_CARD" for r in rows) and any(not r["removed"] for r in rows)
@@ -164,14 +221,35 @@ def test_routing_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "gone")).count() == 1 and spark.read.parquet(str(tmp_path / "open")).count() == 2
 
 
-def test_stream_restores(spark, tmp_path):
-    tickets = spark.createDataFrame([("t1", 100), ("t2", 100)], "id string, s long").select("id", F.timestamp_seconds(F.col("s") + 1725000000).alias("created"))
-    requests = spark.createDataFrame([("t1", "u", 200), ("t2", "u", 2000)], "ticket_id string, actor_id string, s long").select("ticket_id", "actor_id", F.timestamp_seconds(F.col("s") + 1725000000).alias("asked"))
-    tickets.write.parquet(str(tmp_path / "t"))
-    requests.write.parquet(str(tmp_path / "r"))
-    out = streaming.stream_restores(spark.readStream.schema(tickets.schema).parquet(str(tmp_path / "t")), spark.readStream.schema(requests.schema).parquet(str(tmp_path / "r")))
-    out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [r["ticket_id"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["t1"]
+def _restored(spark, tmp_path, steps):
+    """Rows of (kind, ticket, actor, seconds) a trigger; the last request is a heartbeat a day later."""
+    t_schema, r_schema = "id string, created timestamp", "ticket_id string, actor_id string, asked timestamp"
+    stamp = lambda s: F.timestamp_seconds(F.lit(1725000000) + F.col("s"))
+    for name, schema in (("t", t_schema), ("r", r_schema)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    for step in [*steps, [("r", None, "beat", 86400)]]:
+        tickets = [(i, s) for k, i, _, s in step if k == "t"]
+        asked = [(i, a, s) for k, i, a, s in step if k == "r"]
+        if tickets:
+            spark.createDataFrame(tickets, "id string, s long").select("id", stamp(0).alias("created")).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        if asked:
+            spark.createDataFrame(asked, "ticket_id string, actor_id string, s long").select("ticket_id", "actor_id", stamp(0).alias("asked")).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        out = streaming.stream_restores(spark.readStream.schema(t_schema).parquet(str(tmp_path / "t")), spark.readStream.schema(r_schema).parquet(str(tmp_path / "r")), late="10 minutes")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+    return {r["ticket_id"]: (r["actor_id"], r["asked"].timestamp() - 1725000000, r["created_at"] - 1725000000) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+
+
+def test_stream_restores_within_ttl(spark, tmp_path):
+    assert _restored(spark, tmp_path, [[("t", "t1", None, 100), ("t", "t2", None, 100), ("r", "t1", "u", 200), ("r", "t2", "u", 2000)]]) == {"t1": ("u", 200, 100)}
+
+
+def test_the_earliest_request_counts_whatever_comes_first(spark, tmp_path):
+    steps = [
+        [("t", "t1", None, 100), ("r", "t1", "second", 400), ("r", "t3", "ahead", 350), ("r", "t3", "too early", 10)],
+        [("r", "t1", "first", 250), ("t", "t3", None, 50), ("r", "t4", "b", 300), ("r", "t4", "a", 300), ("t", "t4", None, 300)],
+        [("r", "t1", "third", 380), ("r", "t9", "no ticket", 380), ("r", "t3", "later", 500)],
+    ]
+    assert _restored(spark, tmp_path, steps) == {"t1": ("first", 250, 100), "t3": ("ahead", 350, 50), "t4": ("a", 300, 300)}
 
 
 def test_audit_files(spark, tmp_path):
