@@ -34,57 +34,76 @@ def stream_intake(events: DataFrame, memory: str = "1 day") -> DataFrame:
 class OrderedLane(StatefulProcessor):
     """One author's lane: rows wait in state until the watermark has passed them and are then stepped through in order.
 
-    State: the lane's entries, and the waiting rows by second. Every second with rows has a timer; timers fire in order
-    of time. Python holds one batch of arriving rows or one author's rows of one second, whatever a trigger brings.
+    State: the lane's entries, the waiting rows by slot of `slot` seconds, and the slots in use. A timer stands for the
+    earliest slot; when it fires all slots that are over are read one by one. Python holds one batch of arriving rows
+    or one author's rows of one slot, whatever a trigger brings.
     """
 
-    def __init__(self, wanted: set[str], age: float = MAX_AGE):
-        self.wanted, self.age = wanted, age
+    def __init__(self, wanted: set[str], age: float = MAX_AGE, slot: int = 10):
+        self.wanted, self.age, self.slot = wanted, age, slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>")
-        self.waiting = handle.getMapState("waiting", "second long", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>, removes array<boolean>")
+        self.slots = handle.getValueState("slots", "slots array<long>")
+        self.waiting = handle.getMapState("waiting", "slot long", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>, removes array<boolean>")
+
+    def _over(self, slot: int) -> int:
+        return (slot + 1) * self.slot * 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.slots.get()
+        slots = set(known[0]) if known else set()
+        before = len(slots)
         for frame in rows:
-            for second, some in frame[frame["id"].notna()].groupby(frame["at"] // 1):
-                slot = (int(second),)
+            for slot, some in frame[frame["id"].notna()].groupby(frame["at"] // self.slot):
+                slot = int(slot)
                 new = (some["id"].tolist(), some["at"].astype(float).tolist(), some["folded"].tolist(), [list(g) for g in some["groups"]], [int(d) for d in some["disguised"]], [bool(r) for r in some["removes"]])
-                if self.waiting.containsKey(slot):
-                    new = tuple([*old, *more] for old, more in zip(self.waiting.getValue(slot), new, strict=True))
-                else:
-                    self.handle.registerTimer((slot[0] + 1) * 1000)
-                self.waiting.updateValue(slot, new)
+                if slot in slots:
+                    new = tuple([*old, *more] for old, more in zip(self.waiting.getValue((slot,)), new, strict=True))
+                slots.add(slot)
+                self.waiting.updateValue((slot,), new)
+        if len(slots) > before:
+            self.slots.update((sorted(slots),))
+            self.handle.registerTimer(self._over(min(slots)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
-        lane = Lane([(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*self.held.get(), strict=True)] if self.held.exists() else [])
-        out = []
-        if self.waiting.containsKey(slot):
-            rows = sorted(zip(*self.waiting.getValue(slot), strict=True), key=lambda r: (r[1], r[0]))
-            self.waiting.removeKey(slot)
+        now, known, held = timerValues.getCurrentWatermarkInMs(), self.slots.get(), self.held.get()
+        slots = list(known[0]) if known else []
+        lane = Lane([(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*held, strict=True)] if held else [])
+        out, columns = [], [c.split()[0] for c in LANE.split(", ")]
+        due = [s for s in slots if self._over(s) <= now]
+        for s in due:
+            rows = sorted(zip(*self.waiting.getValue((s,)), strict=True), key=lambda r: (r[1], r[0]))
+            self.waiting.removeKey((s,))
             for i, at, folded, groups, disguised, removes in rows:
                 entity, ids, confidence = lane.step(i, at, Part(folded, list(groups), disguised), removes, lambda e, _: e in self.wanted)
                 out.append((i, key[0], key[1], at, removes or entity is not None, entity, confidence if entity else None, ids))
-        # A later timer finds the entries too old unless newer ones came.
-        lane.entries = [e for e in lane.entries if slot[0] - e[1] <= self.age]
-        if lane.entries:
-            kept = lane.entries
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+        if due:
+            left = slots[len(due) :]
+            self.slots.update((left,)) if left else self.slots.clear()
+            if left:
+                self.handle.registerTimer(self._over(left[0]))
+        # Rows to come are no older than the watermark less a slot.
+        kept = [e for e in lane.entries if now / 1000 - self.slot - e[1] <= self.age]
+        if kept:
             self.held.update(([e[0] for e in kept], [float(e[1]) for e in kept], [e[2].folded for e in kept], [list(e[2].groups) for e in kept], [int(e[2].disguised) for e in kept]))
-            self.handle.registerTimer((int(kept[-1][1] + self.age) + 3) * 1000)
-        else:
+            self.handle.registerTimer(int(max(e[1] for e in kept) + self.age + self.slot + 1) * 1000)
+        elif held:
             self.held.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LANE.split(", ")])
 
 
 def stream_rules_lane(messages: DataFrame, split_removes: list[str]) -> DataFrame:
     """The ordered rules lane: for rows that keep within the watermark the result is that of the batch, in whatever order they come.
 
     messages: id, channel, author, at, event_time (of at, with a watermark), folded, groups, disguised, removes. A row
-    leaves when the watermark has passed its second. A row with a null id yields nothing; it moves the watermark on
+    leaves when the watermark has passed its slot of ten seconds. A row with a null id yields nothing; it moves the watermark on
     where messages pause. Rows older than the watermark take no part and Spark counts them (numRowsDroppedByWatermark);
     what the rules alone say of them stands in `removes` before the lane.
     """
