@@ -25,12 +25,13 @@ def rules_decision(messages: DataFrame, policy: dict) -> DataFrame:
     messages: id, channel, author, at, text, channel_name, guests.
     """
     scanned = detect.scan_messages(messages)
-    decided = with_parts(scanned).withColumn("__d", P.decision(F.col("findings"), F.col("channel_name"), F.col("guests"), policy))
+    decided = P.with_rules(with_parts(scanned), policy, name="__rules")
+    decided = decided.withColumn("__d", P.decision(F.col("findings"), F.col("channel_name"), F.col("guests"), policy, F.col("__rules")))
     stays = ~F.col("__d.action").isin(REMOVING)
     hit = detect.detect_split(F.when(stays, F.col("parts")))
     decided = decided.withColumn("__hit", hit)
     finding = F.array(detect.split_as_finding(F.col("__hit"), F.col("text"))).cast(FINDINGS)
-    split = P.decision(finding, F.col("channel_name"), F.col("guests"), policy)
+    split = P.decision(finding, F.col("channel_name"), F.col("guests"), policy, F.col("__rules"))
     decided = decided.withColumn("__s", F.when(F.col("__hit").isNotNull(), split))
     taken = F.col("__s.action").isNotNull()
     ids = F.concat(F.transform("chain", lambda m: m["id"]), F.array("id"))
@@ -40,7 +41,7 @@ def rules_decision(messages: DataFrame, policy: dict) -> DataFrame:
         "findings": F.when(taken, finding).otherwise(F.col("findings")),
         "related_ids": F.when(taken & (F.col("__s.action") != "allow"), F.transform("__hit.indexes", lambda i: F.get(ids, i))).otherwise(F.array().cast("array<string>")),
     })
-    return out.withColumn("removes", F.col("action").isin(REMOVING)).drop("__d", "__s", "__hit", "chain")
+    return out.withColumn("removes", F.col("action").isin(REMOVING)).drop("__d", "__s", "__hit", "__rules", "chain")
 
 
 def model_plan(decided: DataFrame) -> DataFrame:
@@ -116,10 +117,10 @@ def final_decision(planned: DataFrame, policy: dict) -> DataFrame:
 
     planned: output of model_plan and attach_model_responses. Adds model and token_usage of the responses.
     """
-    decide = lambda f: P.decision(f, F.col("channel_name"), F.col("guests"), policy)
+    decide = lambda f: P.decision(f, F.col("channel_name"), F.col("guests"), policy, F.col("__rules"))
     whole = lambda entity, confidence, note: F.array(F.struct(entity.alias("entity"), F.lit(0).alias("start"), F.length("text").alias("end"), confidence.alias("confidence"), F.lit("unknown").alias("subject"), F.lit(1).alias("tier"), note.alias("note"))).cast(FINDINGS)
     rebuilt = window_hits(F.coalesce("window_reply.body.reconstructed", F.array().cast(WINDOW)), F.transform("parts", lambda p: p["folded"]))
-    out = planned.withColumn("__w", F.when(F.col("ask_window"), F.get(rebuilt, F.lit(0))))
+    out = P.with_rules(planned, policy, name="__rules").withColumn("__w", F.when(F.col("ask_window"), F.get(rebuilt, F.lit(0))))
     out = out.withColumn("__e", detect.read_codebook(F.when(F.col("ask_encoded"), F.col("text")), F.col("encoded_reply.body.tokens")))
     note = F.concat(F.lit("split across "), F.size("__w.message_numbers").cast("string"), F.lit(" messages"))
     steps = [
@@ -131,7 +132,7 @@ def final_decision(planned: DataFrame, policy: dict) -> DataFrame:
         use = F.coalesce(asked, F.lit(False)) & (F.col("action") == "allow")
         out = out.withColumn("__f", F.when(use, findings)).withColumn("__d", F.when(use, decide(F.col("__f"))))
         out = out.withColumns({"action": F.coalesce("__d.action", "action"), "rule_id": F.coalesce("__d.rule_id", "rule_id"), "message": F.coalesce("__d.message", "message"), "findings": F.coalesce("__f", "findings")}).drop("__f", "__d")
-    return out.drop("__w", "__e")
+    return out.drop("__w", "__e", "__rules")
 
 
 def usage_totals(responses: DataFrame) -> DataFrame:

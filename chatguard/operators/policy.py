@@ -49,60 +49,101 @@ def policy_tables(spark: SparkSession, policy: dict) -> tuple[DataFrame, DataFra
     return spark.createDataFrame(table, RULES), spark.createDataFrame(channels, CHANNELS), defaults
 
 
-def rule_array(policy: dict) -> Column:
-    """The rules as one literal array in match order; a policy has tens of rules, so it travels in the plan."""
-    out = []
-    specs = [(name, r) for name, spec in policy.get("channels", {}).items() for r in spec.get("overrides", [])] + [(None, r) for r in policy.get("rules", [])]
+def _rule(n: int, r: dict, threshold: float) -> tuple:
+    action = r["action"]
+    return (n, r.get("id", ""), r["entity"], action, SEVERITY.index(action), r.get("subject"), float(r.get("min_confidence", threshold)), bool(r.get("only_with_guests", False)), r.get("message", f"{action} by policy"))
+
+
+_RULE = "struct<rule_order:int, id:string,entity:string,action:string,severity:int,subject:string,least:double,guests:boolean,message:string>"
+
+
+def _specs(policy: dict) -> tuple[list[tuple[str, list[tuple]]], list[tuple]]:
+    """(each channel's overrides, the common rules), numbered in match order: overrides come first."""
     threshold = policy.get("defaults", {}).get("confidence_threshold", 0.85)
-    for n, (channel, r) in enumerate(specs):
-        out.append(F.struct(
-            F.lit(n).alias("rule_order"), F.lit(channel).cast("string").alias("channel"), F.lit(r.get("id", "")).alias("id"), F.lit(r["entity"]).alias("entity"),
-            F.lit(r["action"]).alias("action"), F.lit(SEVERITY.index(r["action"])).alias("severity"), F.lit(r.get("subject")).cast("string").alias("subject"),
-            F.lit(float(r.get("min_confidence", threshold))).alias("least"), F.lit(bool(r.get("only_with_guests", False))).alias("guests"),
-            F.lit(r.get("message", f"{r['action']} by policy")).alias("message"),
-        ))
-    return F.array(*out)
+    n, own = 0, []
+    for name, spec in policy.get("channels", {}).items():
+        if rules := spec.get("overrides", []):
+            own.append((name, [_rule(n + k, r, threshold) for k, r in enumerate(rules)]))
+            n += len(rules)
+    return own, [_rule(n + k, r, threshold) for k, r in enumerate(policy.get("rules", []))]
+
+
+def _literal(rules: list[tuple]) -> Column:
+    return F.array(*[F.struct(*map(F.lit, r)) for r in rules]).cast(f"array<{_RULE}>")
 
 
-def decision(findings: Column, channel: Column, guests: Column, policy: dict) -> Column:
+def with_rules(messages: DataFrame, policy: dict, channel: str = "channel_name", name: str = "rules") -> DataFrame:
+    """messages with `name`: the rules that apply in the row's channel, its overrides before the common rules.
+
+    Overrides are one row a channel of a table, which Spark joins by its size, so the plan is the same for ten
+    channels and for ten thousand. Without any override nothing is joined.
+    """
+    own, common = _specs(policy)
+    if not own:
+        return messages.withColumn(name, _literal(common))
+    table = messages.sparkSession.createDataFrame(own, f"__channel string, __own array<{_RULE}>")
+    joined = messages.join(table, F.concat(F.lit("#"), F.col(channel)) == F.col("__channel"), "left")
+    return joined.withColumn(name, F.concat(F.coalesce("__own", _literal([])), _literal(common))).drop("__channel", "__own")
+
+
+def _rules_of(channel: Column, policy: dict) -> Column:
+    """with_rules as an expression that holds all overrides: for policies with a few channels."""
+    own, common = _specs(policy)
+    if not own:
+        return _literal(common)
+    chosen = F.coalesce(*[F.when(channel == name.removeprefix("#"), _literal(rules)) for name, rules in own if name.startswith("#")], _literal([]))
+    return F.concat(chosen, _literal(common))
+
+
+def decision(findings: Column, channel: Column, guests: Column, policy: dict, rules: Column | None = None) -> Column:
     """struct<action, rule_id, message, finding> for a row's findings.
 
+    rules: what with_rules gave the row; without it the policy's overrides are part of the expression.
+
     Each finding takes the first rule that matches it, a channel's overrides before the common rules; over the
     findings the most severe action wins, ties the earliest finding. Findings about the author are passed over
     when the policy allows them. Without any match the action is allow and rule and message are null.
     """
-    rules = rule_array(policy)
     own_allowed = policy.get("defaults", {}).get("subject_policy", {}).get("self", "allow") == "allow"
+    rules = _rules_of(channel, policy) if rules is None else rules
 
     def first_match(f: Column, i: Column) -> Column:
         def fits(r: Column) -> Column:
             return (
                 (r["entity"] == f["entity"]) & (r["subject"].isNull() | (r["subject"] == f["subject"])) & (f["confidence"] >= r["least"])
-                & (~r["guests"] | F.coalesce(guests, F.lit(False))) & (r["channel"].isNull() | (r["channel"] == F.concat(F.lit("#"), channel)))
+                & (~r["guests"] | F.coalesce(guests, F.lit(False)))
             )
 
         rule = F.get(F.filter(rules, fits), F.lit(0))
         return F.when(rule.isNotNull() & ~((f["subject"] == "self") & F.lit(own_allowed)), F.struct(rule["severity"].alias("severity"), i.alias("place"), rule["rule_order"].alias("rule_order")))
 
     best = F.array_min(F.filter(F.transform(findings, first_match), lambda x: x.isNotNull()))
-    rule = F.get(rules, best["rule_order"])
+    rule = F.get(F.filter(rules, lambda r: r["rule_order"] == best["rule_order"]), F.lit(0))
     return F.struct(F.coalesce(rule["action"], F.lit("allow")).alias("action"), rule["id"].alias("rule_id"), rule["message"].alias("message"), best["place"].alias("finding"))
 
 
 def match_rules(findings: DataFrame, rules: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """The join form for rule tables too large for the plan: the first matching rule of each (id, place).
+    """The join form for rule tables of any size: the first matching rule of each finding, as (id, place, rule_id, action, rule_order).
 
-    findings: id, place, entity, confidence, subject, channel, guests. Rules join on entity, so Spark may
-    broadcast or shuffle them by size.
+    findings: id, place, entity, confidence, subject, channel, guests; other columns are not read. The rules become
+    an index of two levels, one row for each (entity, channel) and one for each entity, that holds its rules in match
+    order. A finding meets at most one row of either level and picks within it, so no rows are made that do not
+    leave, nothing is grouped afterwards, and Spark may broadcast an index, or split a hot key of the findings.
     """
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    fits = (
-        (F.col("entity") == F.col("r_entity")) & (F.col("r_subject").isNull() | (F.col("r_subject") == F.col("subject")))
-        & (F.col("confidence") >= F.coalesce("r_min_confidence", F.lit(threshold))) & (~F.col("r_only_with_guests") | F.col("guests"))
-        & (F.col("r_channel").isNull() | (F.col("r_channel") == F.concat(F.lit("#"), F.col("channel"))))
-    )
-    pick = F.min_by(F.struct(F.col("r_id").alias("rule_id"), F.col("r_action").alias("action"), F.col("r_rule_order").alias("rule_order")), "r_rule_order")
-    return findings.join(r, fits).groupBy("id", "place").agg(pick.alias("rule")).select("id", "place", "rule.*")
+    one = F.struct("rule_order", F.col("id").alias("rule_id"), "action", "subject", F.coalesce("min_confidence", F.lit(threshold)).alias("least"), F.coalesce("only_with_guests", F.lit(False)).alias("guests"))
+    listed = F.array_sort(F.collect_list(one))  # by rule_order, which is unique
+    own = rules.filter("channel is not null").groupBy(F.col("entity").alias("__e"), F.col("channel").alias("__c")).agg(listed.alias("__own"))
+    common = rules.filter("channel is null").groupBy(F.col("entity").alias("__f")).agg(listed.alias("__common"))
+
+    def first(rules_of: str) -> Column:
+        fits = lambda r: (r["subject"].isNull() | (r["subject"] == F.col("subject"))) & (F.col("confidence") >= r["least"]) & (~r["guests"] | F.coalesce("guests", F.lit(False)))
+        return F.get(F.filter(rules_of, fits), F.lit(0))
+
+    slim = findings.select("id", "place", "entity", "confidence", "subject", "channel", "guests")
+    met = slim.join(own, (F.col("entity") == F.col("__e")) & (F.concat(F.lit("#"), F.col("channel")) == F.col("__c")), "left").join(common, F.col("entity") == F.col("__f"), "left")
+    met = met.select("id", "place", first("__own").alias("a"), first("__common").alias("b"))
+    rule = F.when(F.col("a").isNull() | (F.col("b.rule_order") < F.col("a.rule_order")), F.col("b")).otherwise(F.col("a"))
+    return met.select("id", "place", rule.alias("rule")).filter("rule is not null").select("id", "place", "rule.rule_id", "rule.action", "rule.rule_order")
 
 
 def model_trigger(messages: DataFrame, channels: DataFrame, default: str = "on_uncertain") -> DataFrame:

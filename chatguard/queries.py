@@ -20,7 +20,10 @@ NOW = V.BASE + 5000.0
 
 
 def _msgs(spark: SparkSession, d: str) -> DataFrame:
-    return scan.view(spark, d, V.MSGS_EVENTS)
+    """Messages over the events table. The view numbers rows by author, after which small tables lie in one partition:
+    they are dealt anew, since what follows costs Python time for each row and not for each byte."""
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return scan.view(spark, d, V.MSGS_EVENTS).repartition(most, "id")
 
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +162,8 @@ def rule_join(spark, d):
 def rule_decisions(spark, d):
     f = _audit_findings(spark, d)
     finding = F.array(F.struct("entity", F.lit(0).alias("start"), F.lit(1).alias("end"), "confidence", "subject", F.lit(0).alias("tier"), F.lit("").alias("note")))
-    return f.select("id", P.decision(finding, F.col("channel"), F.col("guests"), _POLICY).alias("d")).select("id", "d.action", F.coalesce("d.rule_id", F.lit("none")).alias("rule_id"))
+    ruled = P.with_rules(f, _POLICY, "channel")
+    return ruled.select("id", P.decision(finding, F.col("channel"), F.col("guests"), _POLICY, F.col("rules")).alias("d")).select("id", "d.action", F.coalesce("d.rule_id", F.lit("none")).alias("rule_id"))
 
 
 def triggers(spark, d):
@@ -358,9 +362,11 @@ def golden_cases(spark, d):
 
 
 def audit_files(spark, d):
-    """Audit lines written to files and read back, counted by action."""
+    """Audit lines written to files in batches, one of them twice, and read back, counted by action."""
     path = f"{shared_folder(spark)}/chatguard/audit-{uuid.uuid4().hex}"
-    sources.write_audit(decide.audit_rows(_acted(spark, d), KEY), path)
+    lines = decide.audit_rows(_acted(spark, d), KEY)
+    for batch in (0, 1, 0):
+        sources.write_audit(lines.filter(F.pmod(F.crc32("id"), F.lit(2)) == batch), path, batch=f"b{batch}")
     lines = sources.read_audit(spark, path)
     return lines.groupBy("action").agg(F.count("*").alias("lines"), F.sum(F.size("entities")).alias("entities"), F.sum("related").cast("long").alias("related"), F.countDistinct("text_hmac").alias("texts"))
 
@@ -373,6 +379,25 @@ def event_files(spark, d):
     return rows.select("id", "event_key", "author", "at", "text")
 
 
+def labelled_files(spark, d):
+    """Labelled messages written as JSON arrays of a thousand each and read back, counted by channel and label."""
+    path = f"{shared_folder(spark)}/chatguard/labelled-{uuid.uuid4().hex}"
+    label = F.when(F.col("entity").isNotNull(), F.struct("entity", F.array("start", "end").alias("span"), "subject"))
+    rows = _synth(spark, d).select(F.floor(F.col("n") / 1000).alias("part"), F.struct("ts", "user", "channel", "text", label.alias("label")).alias("row"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("part").text(path)
+    known = sources.read_labelled(spark, path)
+    chars = F.sum(F.element_at("label.span", 2) - F.element_at("label.span", 1)).cast("long")
+    return known.groupBy("channel", F.coalesce("label.entity", F.lit("none")).alias("entity"), F.coalesce("label.subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("n"), F.coalesce(chars, F.lit(0)).alias("chars"))
+
+
+def report_file(spark, d):
+    """The roll-up written as one small table and read back."""
+    path = f"{shared_folder(spark)}/chatguard/report-{uuid.uuid4().hex}"
+    totals = R.routing_summary(_audit(spark, d))
+    sources.write_report(totals, path)
+    return spark.read.schema(totals.schema).parquet(path)
+
+
 def label_split(spark, d):
     """Counts by kind of the synthetic messages before and in the hold-out."""
     rows = _synth(spark, d)
@@ -517,7 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_join, rule_decisions, triggers, rule_checks, located, rebuilt, usage, removals, outgoing, notices, releases, audit_lines, routing, top_counts, latency,
         job_lanes, dead_jobs, health, claims, retries, pruned, coverage, model_ranking, archive_scan, document_scan, conversation_scan, rules_lane, model_checks,
         model_decisions, folded_texts, synth_labels, precision, stream_rollup, stream_once, stream_lane, stream_last, digit_chains, custom_rules, disguises, splits, codebooks,
-        case_rows, golden_cases, audit_files, event_files, label_split, stream_routes, stream_restored,
+        case_rows, golden_cases, audit_files, event_files, labelled_files, report_file, label_split, stream_routes, stream_restored,
     )
 }
 
@@ -699,6 +724,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM events JOIN g ON event_id % {len(golden.CASES)} = r.n""",
     "audit_files": f"WITH {_A}, {_ACTED} SELECT action, count(*) AS lines, CAST(2 * count(*) AS BIGINT) AS entities, CAST(sum(CASE WHEN n % 22 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS related, count(DISTINCT text) AS texts FROM acted GROUP BY action",
     "event_files": f"WITH {_M}, {_RAW} SELECT event_key AS id, event_key, author, CAST(ts AS DOUBLE) AS \"at\", text FROM stored",
+    "labelled_files": f"""
+        WITH {_SYNTH} SELECT {_pick(16, synth.CHANNELS)} AS channel, coalesce(entity, 'none') AS entity, CASE WHEN kind = 'own_email' THEN 'self' WHEN kind <> 'clean' THEN 'third_party' ELSE 'none' END AS subject,
+               count(*) AS n, CAST(sum(CASE WHEN kind <> 'clean' THEN length(value) ELSE 0 END) AS BIGINT) AS chars FROM s GROUP BY ALL""",
     "stream_routes": "SELECT CASE WHEN event_id % 11 = 0 THEN 'removed' ELSE 'open' END AS lane, event_type AS channel, count(*) AS n, count(*) AS ids FROM events GROUP BY ALL",
     "stream_lane": """
         SELECT concat('e.', e.event_id) AS id, h.event_id IS NOT NULL AS removed, CASE WHEN h.event_id IS NOT NULL THEN 'CREDIT_CARD' END AS split_entity,
@@ -707,3 +735,4 @@ ORACLE_SQL: dict[str, str] = {
     "stream_restored": f"SELECT CAST(event_id AS VARCHAR) AS ticket_id, concat('u', user_id) AS actor_id, {V.BASE} + event_id + event_id * 37 % 1800 AS asked_at, {V.BASE} + event_id AS created_at FROM events WHERE user_id % 4 = 0 AND event_id * 37 % 1800 <= 900",
     **S.SQL,
 }
+ORACLE_SQL["report_file"] = ORACLE_SQL["routing"]

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatguard import schemas
 
@@ -38,21 +39,39 @@ def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return reader.schema(schemas.EVENT).json(path)
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit lines from JSON lines; blank and malformed lines are skipped, a missing path gives no rows."""
+def read_audit(spark: SparkSession, path: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Audit lines from JSON lines; blank and malformed lines are skipped, a missing path gives no rows.
+
+    since, before: days (yyyy-mm-dd) of a table that was written in batches; other days are not read.
+    """
     try:
-        return spark.read.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(path)
+        rows = spark.read.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.AUDIT)
+    known = [f.name for f in spark.createDataFrame([], schemas.AUDIT).schema]
+    for day, test in ((since, ">="), (before, "<")):
+        rows = rows.filter(f"day {test} date '{day}'") if day else rows
+    return rows.select(*known)
+
 
+def write_audit(audit: DataFrame, path: str, format: str = "json", batch: str | None = None) -> None:
+    """Write text-free lines; a text column is refused.
 
-def write_audit(audit: DataFrame, path: str, format: str = "json") -> None:
-    """Append text-free lines; a text column is refused."""
+    With a batch the lines lie by day of t (UTC) and batch, and a batch that is written again replaces its own lines,
+    so a run that failed half-way or ran twice leaves one set of them. Days can be read and removed one by one.
+    Without a batch the lines are appended.
+    """
     if "text" in audit.columns:
         raise ValueError("audit lines hold no text")
-    audit.write.mode("append").format(format).save(path)
+    if batch is None:
+        audit.write.mode("append").format(format).save(path)
+        return
+    # The day is worked out from the seconds alone, whatever the session's time zone is.
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.coalesce(F.col("t"), F.lit(0.0)) / 86400).cast("int"))
+    dated = audit.withColumns({"day": day, "batch": F.lit(batch)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").format(format).save(path)
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
