@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def _draw(seed: int, salt: int, below: int) -> Column:
     return ((F.col("n") * 7919 + seed * 104729 + salt * 611953) * 48271 % 2147483647) % below
 
 
+def _first(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first case that holds, as one CASE: nested ones double the plan with every kind."""
+    out = F
+    for test, value in cases:
+        out = out.when(test, value)
+    return out
+
+
 def synth_messages(ids: DataFrame, seed: int = 1) -> DataFrame:
     """(n, ts, user, channel, text, kind, entity, start, end, subject): one labelled message for each n of ids.
 
@@ -34,10 +44,8 @@ def synth_messages(ids: DataFrame, seed: int = 1) -> DataFrame:
     fails its check. Only an own e-mail address is about the author.
     """
     rows = ids.select(F.col("n").cast("long").alias("n")).withColumn("roll", _draw(seed, 1, 100))
-    kind, upto = F.lit(None).cast("string"), 0
-    for name, weight in KINDS:
-        kind = F.when(kind.isNull() & (F.col("roll") < upto + weight), F.lit(name)).otherwise(kind)
-        upto += weight
+    upto = list(accumulate(weight for _, weight in KINDS))
+    kind = _first([(F.col("roll") < most, F.lit(name)) for (name, _), most in zip(KINDS, upto, strict=True)])
     pad = lambda salt, below, k: F.lpad(_draw(seed, salt, below).cast("string"), k, "0")
     one_of = lambda salt, items: F.element_at(F.array(*[F.lit(x) for x in items]), (_draw(seed, salt, len(items)) + 1).cast("int"))
     rows = rows.withColumn("kind", kind).withColumns({
@@ -51,13 +59,10 @@ def synth_messages(ids: DataFrame, seed: int = 1) -> DataFrame:
     shape = _draw(seed, 12, 3)
     card = F.when(shape == 0, D.group_digits("card", [4, 4, 4], " ")).when(shape == 1, D.group_digits("card", [4, 4, 4], "-")).otherwise(F.col("card"))
     spoilt = F.when(_draw(seed, 13, 2) == 0, D.break_luhn("card")).otherwise(F.lit(""))
-    value = F.when(F.col("kind") == "card", card).when(F.col("kind") == "sin", D.group_digits("sin", [3, 3], " ")).when(F.col("kind") == "clean", spoilt)
-    for name in ("key", "phone", "address", "own_email"):
-        value = F.when(F.col("kind") == name, F.col(name)).otherwise(value)
-    lead, tail = F.lit(""), F.lit("")
-    for name, forms in LEADS.items():
-        lead = F.when(F.col("kind") == name, one_of(14, [x for x, _ in forms])).otherwise(lead)
-        tail = F.when(F.col("kind") == name, one_of(14, [x for _, x in forms])).otherwise(tail)
+    is_kind = lambda name: F.col("kind") == name
+    values = {"card": card, "sin": D.group_digits("sin", [3, 3], " "), "clean": spoilt, **{name: F.col(name) for name in ("key", "phone", "address", "own_email")}}
+    value = _first([(is_kind(name), x) for name, x in values.items()])
+    lead, tail = (_first([(is_kind(name), one_of(14, [form[side] for form in forms])) for name, forms in LEADS.items()]) for side in (0, 1))
     rows = rows.withColumn("value", value).withColumns({"lead": F.when(F.col("value") == "", one_of(17, PROSE)).otherwise(lead), "tail": F.when(F.col("value") == "", F.lit("")).otherwise(tail)})
     labelled = F.col("kind") != "clean"
     return rows.select(
