@@ -6,6 +6,7 @@ other number words, look-alikes and scripts do not occur there.
 
 from __future__ import annotations
 
+from chatguard.functions.folding import TEENS, TENS, UNITS
 from chatguard.plans import views as V
 
 _UNITS = "zero one two three four five six seven eight nine".split()
@@ -43,6 +44,29 @@ def folded(text: str) -> str:
     return out
 
 
+def folded_words(text: str) -> str:
+    """SQL for the folded form of a text of any language: number words by a table, then signs between digits.
+
+    Words part at all but letters, digits and the underscore. Tens with units, doubles, look-alike letters and digits
+    of other scripts do not occur in the documents and are not stated.
+    """
+    names = {**UNITS, **TEENS, **{w: 10 * n for w, n in TENS.items()}}
+    table = "MAP {" + ", ".join(f"'{w}': '{n}'" for w, n in names.items()) + "}"
+    word, sign = "[\\p{L}\\p{N}_]+", "[^\\p{L}\\p{N}_]+"
+    # Words and the signs before them, a word taken from the table where it stands there.
+    pieces = f"list_transform(regexp_extract_all({text}, '{sign}|{word}'), lambda w: coalesce(({table})[lower(w)], w))"
+    out = f"array_to_string({pieces}, '')"
+    for _ in range(3):
+        out = f"regexp_replace({out}, '([0-9])[^\\p{{L}}\\p{{N}}]{{1,3}}([0-9])', '\\1\\2', 'g')"
+    return out
+
+
+def _run_kind(t: str, body: str) -> str:
+    """What a run of nine or more digits is."""
+    ends = f"len(list_filter(range(13, 20), lambda n: {_is_card(f'left({t}, n)')} OR {_is_card(f'right({t}, n)')})) > 0"
+    return f"CASE WHEN {_is_card(t)} THEN 'CREDIT_CARD' WHEN {_is_sin(t)} THEN 'CA_SIN' WHEN length({t}) > 19 AND regexp_matches({body}, '{_CARD_WORD}') AND {ends} THEN 'CREDIT_CARD' END"
+
+
 def grouped(rows: str, name: str, column: str = "text") -> str:
     """CTEs <name>_groups, _windows and <name>: the first grouped finding (id, entity, confidence, low, high) of each row of `rows`."""
     links = f"strpos(gap, chr(10)) = 0 AND length(gap) <= 8 AND len(list_filter(string_split_regex(gap, '\\s+'), lambda w: w <> '')) < 2"
@@ -115,11 +139,17 @@ SQL: dict[str, str] = {
         o AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM c),
         placed AS (SELECT id, text, k, ms[k] AS t, CAST(sum(length(ss[k])) OVER w + sum(length(ms[k])) OVER w - length(ms[k]) AS INT) AS low FROM o WINDOW w AS (PARTITION BY id ORDER BY k)),
         d AS (SELECT *, {_digits("t")} AS v FROM placed), cards AS (SELECT * FROM d WHERE {_is_card("v")}),
-        bare AS (SELECT * FROM m WHERE id NOT IN (SELECT id FROM cards)), {grouped("bare", "g")}
+        bare AS (SELECT * FROM m WHERE id NOT IN (SELECT id FROM cards)), {grouped("bare", "g")},
+        fd AS (SELECT id, text, folded FROM (SELECT id, text, {folded_words("text")} AS folded FROM bare WHERE id NOT IN (SELECT id FROM g)) WHERE folded <> text),
+        runs AS (SELECT id, text, folded, unnest(regexp_extract_all(folded, '[0-9]{{9,}}')) AS t, generate_subscripts(regexp_extract_all(folded, '[0-9]{{9,}}'), 1) AS k FROM fd),
+        kinds AS (SELECT id, text, entity, min(k) AS k FROM (SELECT *, {_run_kind("t", "folded")} AS entity FROM runs) WHERE entity IS NOT NULL GROUP BY id, text, entity),
+        again AS (SELECT id, folded AS text FROM fd WHERE id NOT IN (SELECT id FROM kinds)), {grouped("again", "h")}
         SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INT) AS place, 'CREDIT_CARD' AS entity, low AS start,
                -- A word bound before a letter outside ASCII, where the pattern takes the separator as well.
                low + CAST(length(t) AS INT) + CASE WHEN regexp_matches(substr(text, low + CAST(length(t) AS INT) + 1, 2), '^[ -][^\\x00-\\x7F]') AND regexp_matches(substr(text, low + CAST(length(t) AS INT) + 2, 1), '\\p{{L}}') THEN 1 ELSE 0 END AS "end", 0.97::DOUBLE AS confidence, '' AS note FROM cards
-        UNION ALL SELECT id, 0, entity, CAST(low AS INT), CAST(high AS INT), confidence::DOUBLE, 'grouped' FROM g""",
+        UNION ALL SELECT id, 0, entity, CAST(low AS INT), CAST(high AS INT), confidence::DOUBLE, 'grouped' FROM g
+        UNION ALL SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INT), entity, 0, CAST(length(text) AS INT), 0.9::DOUBLE, 'obfuscated' FROM kinds
+        UNION ALL SELECT h.id, 0, entity, 0, CAST(length(fd.text) AS INT), confidence::DOUBLE, 'obfuscated' FROM h JOIN fd USING (id)""",
     "digit_chains": f"""
         WITH m AS ({V.MSGS_DOCS}), {grouped("m", "g")}, n AS (SELECT id, chain, count(*) AS groups, min(low) AS low, max(low + length(g)) AS high FROM g_chains GROUP BY id, chain HAVING count(*) > 1)
         SELECT id, CAST(low AS INT) AS start, CAST(high AS INT) AS "end", CAST(groups AS INT) AS groups FROM n""",
