@@ -123,7 +123,37 @@ ARCHIVE = f"""
         action = 'allow' AND len(gr) > 0 AND len(list_filter(parts[1:len(parts) - 1], lambda y: len(y.g) > 0)) > 0 AND list_sum(list_transform(parts, lambda y: length(array_to_string(y.g, '')))) >= 9 AS window_check,
         action = 'allow' AND (len(regexp_extract_all(text, ':[a-z0-9_+-]+:')) >= 8 OR disguised >= 8) AS encoded_check FROM decided)"""
 
+def _lane() -> str:
+    """The ordered lane as a recursion: one message of every author a step, the kept messages as its state."""
+    fixed = ARCHIVE.split("    w AS (SELECT *, list(")[0].rstrip().rstrip(",")
+    kind = f"""CASE WHEN {_is_card("c.v")} AND (regexp_matches(said, '{_CARD_WORD}') OR (NOT talks AND len(list_filter(c.u, lambda y: parts[y].d = 0 AND regexp_matches(parts[y].f, '[A-Za-z]'))) = 0)) THEN 'CREDIT_CARD'
+                    WHEN {_is_sin("c.v")} AND (regexp_matches(said, '{_SIN_WORD}') OR (NOT talks AND len(list_filter(c.u, lambda y: parts[y].d = 0)) = 0)) THEN 'CA_SIN' END"""
+    return f"""
+    WITH RECURSIVE {fixed},
+    r AS MATERIALIZED (SELECT id, channel, author, sent_at, len(found) > 0 AS removes, {{'i': id, 'a': sent_at, 'f': folded, 'g': gr, 'd': disguised}} AS own, row_number() OVER (PARTITION BY channel, author ORDER BY sent_at, id) AS n FROM e),
+    lane AS (
+        SELECT DISTINCT channel, author, CAST(0 AS BIGINT) AS n, [own][1:0] AS held, NULL::VARCHAR AS id, false AS removes, NULL::VARCHAR AS split, []::VARCHAR[] AS ids FROM r WHERE n = 1
+        UNION ALL
+        SELECT channel, author, n, CASE WHEN removes THEN mine WHEN hit IS NOT NULL THEN list_filter(mine, lambda y: NOT list_contains(ids, y.i)) ELSE (mine || [own])[-6:] END, id, removes, hit.e, ids
+        FROM (
+            SELECT *, CASE WHEN hit IS NULL THEN [] ELSE list_transform(hit.u, lambda y: parts[y].i) END AS ids
+            FROM (
+                SELECT *, CASE WHEN removes THEN NULL ELSE list_filter(list_transform(fits, lambda c: {{'e': {kind}, 'u': c.u}}), lambda c: c.e IS NOT NULL)[1] END AS hit
+                FROM (
+                    SELECT *, list_filter(list_transform(flatten(list_transform(range(1, len(fl)), lambda k: list_transform(range(2, 9), lambda m: {{'k': k, 'm': m}}))),
+                            lambda p: {{'v': array_to_string(list_transform(fl[p.k:p.k + p.m - 1], lambda y: y.g), ''), 'u': list_sort(list_distinct(list_transform(fl[p.k:p.k + p.m - 1], lambda y: y.n))), 'in': p.k + p.m - 1 <= len(fl)}}),
+                            lambda c: c.in AND length(c.v) <= 19 AND len(c.u) > 1 AND list_contains(c.u, fl[len(fl)].n)) AS fits
+                    FROM (
+                        SELECT *, flatten(list_transform(parts, lambda y, n: list_transform(y.g, lambda t: {{'g': t, 'n': n}}))) AS fl, len(own.g) = 0 AS talks,
+                               CASE WHEN len(own.g) = 0 THEN own.f ELSE array_to_string(list_transform(parts, lambda y: y.f), ' ') END AS said
+                        FROM (
+                            SELECT *, mine || [own] AS parts
+                            FROM (SELECT r.*, list_filter(held, lambda y: r.sent_at - y.a <= 180) AS mine FROM lane JOIN r ON r.channel = lane.channel AND r.author = lane.author AND r.n = lane.n + 1)))))))
+    SELECT id, removes OR split IS NOT NULL AS removed, split AS split_entity, array_to_string(ids, ',') AS related FROM lane WHERE id IS NOT NULL"""
+
+
 SQL: dict[str, str] = {
+    "rules_lane": _lane(),
     "archive_scan": f"WITH {ARCHIVE} SELECT id, action, rule_id, coalesce(related, '') AS related FROM decided",
     "folded_texts": f"WITH m AS ({V.MSGS_EVENTS}) SELECT id, {folded('text')} AS folded FROM m",
     "disguises": f"WITH m AS ({V.MSGS_EVENTS}), f AS (SELECT *, {folded('text')} AS folded FROM m) SELECT id, array_to_string(regexp_extract_all(folded, '[0-9]+'), ',') AS groups, CAST(length({_digits('folded')}) - length({_digits('text')}) AS INT) AS disguised, len(regexp_extract_all(text, ':[a-z0-9_+-]+:')) >= 8 AS encoded FROM f",
