@@ -29,6 +29,8 @@ _BLOCK = frozenset("address article aside blockquote body center dd details div
 _CUT = frozenset("nav header footer aside form menu dialog button select datalist fieldset head label".split())
 _PARAGRAPH = frozenset("p pre blockquote td dd li".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT_BLOCKS = _HEADINGS | frozenset("p pre blockquote ul ol dl table figure hr".split())
+_BYLINE = 120  # characters of a line between a heading and its text
 _BETTER = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0}
 _GROUPS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
@@ -278,8 +280,16 @@ def main_text(page: str | None) -> str:
     _open_wrappers(root)
     nodes = _walk(root)
     _measure(nodes)
+    inside: set[Node] = set()
     for node in nodes:
-        links = node.tag in ("ul", "ol") and sum(isinstance(p, Node) for p in node.parts) >= 3 and node.linked >= 0.9 * node.size > 0
+        if node.tag in ("article", "main") or node.parent in inside:
+            inside.add(node)
+        links = node.tag in ("ul", "ol") and (items := sum(isinstance(p, Node) for p in node.parts)) >= 3 and node.linked >= 0.9 * node.size > 0
+        if links and node in inside:
+            # Outside an article a list of links is a menu; inside one only if its entries are single words, else its sources.
+            said: list[str] = []
+            _text(node, said)
+            links = len("".join(said).split()) < 2 * items
         # A part named share, related and so on belongs to the article if it has prose and few links.
         if links or node.weak and (node.size < 60 or node.linked > 0.25 * node.size):
             node.cut = True
@@ -325,14 +335,27 @@ def _kept(best: Node, fair) -> list[Node | str]:
             scores = part.score is not None and fair(part) >= bar
             if scores or part.tag == "p" and part.size > 80 and part.linked < 0.25 * part.size:
                 chosen.append(k)
-    # Between kept siblings, and as headings before the first, all that is not mostly links stays.
-    first, picked = chosen[0], set(chosen)
-    while first:
-        before = beside[first - 1]
-        if isinstance(before, str) and before.strip() or isinstance(before, Node) and (before.cut or before.tag not in _HEADINGS):
+    first, last, picked = _headed(beside, chosen[0]), chosen[-1], set(chosen)
+    # What is left out anyway does not end the text; a block that is mostly links or a new container does.
+    for k in range(last + 1, len(beside)):
+        part = beside[k]
+        if isinstance(part, str) and part.strip() or isinstance(part, Node) and not part.cut and part.size:
+            if isinstance(part, Node) and (part.tag in _BLOCK and part.tag not in _TEXT_BLOCKS or part.linked > 0.25 * part.size):
+                break
+            last = k
+    # From the heading to the last block all that is not mostly links stays.
+    return [part for k, part in enumerate(beside) if k in picked or first <= k <= last and (isinstance(part, str) or not part.cut and part.linked <= 0.25 * part.size)]
+
+
+def _headed(beside: list[Node | str], first: int) -> int:
+    """Where the text begins: at the headings before the first kept part, a by-line or a date between them included."""
+    for k in range(first - 1, -1, -1):
+        part = beside[k]
+        if isinstance(part, Node) and not part.cut and part.tag in _HEADINGS:
+            first = k
+        elif isinstance(part, Node) and not part.cut and (part.size > _BYLINE or part.linked > 0.25 * part.size) or isinstance(part, str) and len(part.strip()) > _BYLINE:
             break
-        first -= 1
-    return [part for k, part in enumerate(beside) if k in picked or first <= k < chosen[-1] and (isinstance(part, str) or not part.cut and part.linked <= 0.25 * part.size)]
+    return first
 
 
 def _extracted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -255,3 +255,24 @@ def test_tree_scores_equal_plain_definition():
             maintext._kept = keep
         fair = [want[n] * (1 - n.linked / n.size if n.size else 0) for n in nodes if n in want and n.tag not in ("a", "p")]
         assert seen.get("score") == (pytest.approx(max(fair)) if fair else None)
+
+
+LONG = "The council met on Tuesday, heard three reports, and agreed on a plan for the old bridge, which had been closed since spring. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div id=a><p>{LONG}</p><p>{LONG}</p></div><p>Short final words.</p><div class=footer>gone</div></body>", f"{LONG}{LONG}Short final words."),
+        (f"<body><div id=a><p>{LONG}</p></div><p>One.</p><div class='ad-slot'>buy</div><p>Two.</p></body>", f"{LONG}One. Two."),
+        (f"<body><div id=a><p>{LONG}</p></div><p><a href=x>More stories from here</a></p><p>After a link list.</p></body>", LONG),
+        (f"<body><h1>Bridge plan agreed</h1><p>By Robin Doe</p><div id=a><p>{LONG}</p></div></body>", f"Bridge plan agreed By Robin Doe {LONG}"),
+        (f"<body><h1>Bridge plan agreed</h1><nav>Home</nav><div>3 May</div><h2>Again</h2><div id=a><p>{LONG}</p></div></body>", f"Bridge plan agreed 3 May Again {LONG}"),
+        (f"<body><p>By Robin Doe</p><div id=a><p>{LONG}</p></div></body>", LONG),
+        (f"<article><p>{LONG}</p><h2>Sources</h2><ul><li><a href=1>First report</a><li><a href=2>Second report</a><li><a href=3>Third report</a></ul></article>", f"{LONG}Sources First report Second report Third report"),
+        (f"<article><p>{LONG}</p><ul class=related><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></article>", LONG),
+        (f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><div><p>{LONG}</p></div></body>", LONG),
+    ],
+)
+def test_no_part_of_the_article_is_lost(page, text):
+    assert maintext.main_text(page) == " ".join(text.split())
