@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +37,23 @@ _DOT = rf"(?: ?(?:\.|{_OPEN}(?:(?i:dot)|\.){_SHUT}) ?| (?i:dot) )"
 _SAID = rf"(?: ?{_OPEN}(?i:dot){_SHUT} ?| (?i:dot) )"
 # A bare "at" is an @ only where a dot is spelled out as well.
 _ADDRESS = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| (?i:at) {_LABEL}(?:{_DOT}{_LABEL})*{_SAID}{_LABEL}(?:{_DOT}{_LABEL})*)")
-_POSSIBLE = re.compile(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]|\s(?i:at)(?=\s)")
+_POSSIBLE = re.compile(r"[\d@\uff20\ufe6b]|[\[({<] ?(?i:at) ?[\])}>]|\s(?i:at)(?=\s)")
 _BARE_DOT = re.compile(r"\s(?i:dot)\s|[\[({<] ?(?i:dot) ?[\])}>]")
 
 _MARKS = " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CLASSES = 6 + len(_MARKS)
-_TABLE = np.full(256, 5, dtype=np.int16)
-_TABLE[[*range(97, 123)]], _TABLE[[*range(65, 91)]], _TABLE[[*range(48, 58)]] = 1, 2, 3
-_TABLE[[ord(c) for c in _MARKS]] = np.arange(6, _CLASSES)
-_TABLE[0xA0] = 6
-_DASHES, _SPACES = [*range(0x2010, 0x2016)], [*range(0x2000, 0x200B), 0x202F]
+# Inputs: 0 padding, 1 a digit, 2 another letter, 3 all else, 4 to 29 the letters a to z, then the marks; one more row says upper case.
+_DIGIT, _LETTER, _OTHER, _A = 1, 2, 3, 4
+_CLASSES = _A + 26 + len(_MARKS)
+_CASE, _UPPER = _CLASSES, 128  # the case row, and the bit of a code that asks for it
+_TABLE = np.full(256, _OTHER, dtype=np.int16)
+_TABLE[48:58], _TABLE[97:123], _TABLE[65:91] = _DIGIT, np.arange(_A, _A + 26), np.arange(_A, _A + 26) + _UPPER
+_TABLE[[ord(c) for c in _MARKS]] = np.arange(_A + 26, _CLASSES)
+_TABLE[192:] = _LETTER
+_TABLE[0xA0] = _TABLE[32]
+_DASHES, _SPACES = [*range(0x2010, 0x2016), 0x2212], [*range(0x2000, 0x200B), 0x202F, 0x3000]
+_DECIMALS = np.array([c for c in range(0x660, 0x20000) if chr(c).isdecimal()], dtype=np.uint32)
+# Signs that stand for ASCII ones of the same meaning.
+_LIKE = {0xFF20: "@", 0xFE6B: "@", 0xFF0E: ".", 0xFF0B: "+", 0xFF0D: "-", 0xFF08: "(", 0xFF09: ")"}
 
 WINDOW, STRIDE, MARGIN = 96, 64, 24
 
@@ -90,12 +98,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def holds_value(kind: int, value: str) -> bool:
     """Whether a span found by the network holds a value of its kind, whatever stands between its parts."""
+    value = ascii_form(value)
     digits = "".join(_DIGITS.findall(value))
     if kind == 0:
         return _ADDRESS.fullmatch(value) is not None
     if kind == 1:
         parts = _DIGITS.findall(value)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        # A dot or its name stands between the parts: numbers in a list are no address.
+        gaps = _DIGITS.split(value)[1:-1]
+        return len(parts) == 4 and all("." in g or "dot" in g.lower() for g in gaps) and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and (value[0] == "+" or value.startswith(("00", "(+")))
@@ -113,7 +124,7 @@ def settled(text: str, span: tuple[int, int, int], taken: list[tuple[int, int]])
             for last in range(len(words) - 1, first - 1, -1):
                 start, end = words[first][0], words[last][1]
                 if kind:
-                    m = re.search(r"[0-9+](?:.*[0-9])?", text[start:end], re.S)
+                    m = re.search(r"[\d+](?:.*\d)?", text[start:end], re.S)
                     start, end = (start + m.start(), start + m.end()) if m else (start, start)
                 # What the digits are is settled by their value: 00 49 ... tagged as a card is a telephone number.
                 real = next((k for k in (kind, *((3, 2, 1) if kind else ())) if start < end and holds_value(k, text[start:end])), None)
@@ -143,16 +154,29 @@ def grown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def encode(text: str) -> np.ndarray:
-    """Character classes: letters by case, digits, each ASCII mark with dashes and spaces like it, other letters and all else."""
+    """Input codes of the characters: every ASCII letter, digits of any script, every ASCII mark with what is like it,
+    other letters and all else; a bit for upper case."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    ids = np.where(codes > 191, np.int16(4), _TABLE[np.minimum(codes, 255)])
-    wide = (codes >= 0x2000) & (codes < 0x2213)
-    if wide.any():
-        ids[wide & np.isin(codes, _SPACES)] = _TABLE[32]
-        ids[wide & (np.isin(codes, _DASHES) | (codes == 0x2212))] = _TABLE[45]
+    ids = _TABLE[np.minimum(codes, 255)]
+    if (wide := codes > 0x65F).any():
+        own = codes[wide]
+        new = np.full(len(own), _LETTER, dtype=np.int16)
+        new[np.isin(own, _DECIMALS)] = _DIGIT
+        new[np.isin(own, _SPACES)] = _TABLE[32]
+        new[np.isin(own, _DASHES)] = _TABLE[45]
+        for code, sign in _LIKE.items():
+            new[own == code] = _TABLE[ord(sign)]
+        ids[wide] = new
     return ids
 
 
+def ascii_form(value: str) -> str:
+    """The value with digits of any script and signs like ASCII ones as ASCII, of the same length."""
+    if value.isascii():
+        return value
+    return "".join(_LIKE.get(ord(c)) or (str(unicodedata.decimal(c)) if c.isdecimal() else c) for c in value)
+
+
 class Network:
     """Weights and the numpy passes; both directions run as one batch."""
 
@@ -160,17 +184,28 @@ class Network:
         rng = np.random.default_rng(seed)
         f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
-            "x": f(2, _CLASSES, 4 * hidden, scale=0.3), "h": f(2, hidden, 4 * hidden, scale=hidden**-0.5),
+            "x": f(2, _CLASSES + 1, 4 * hidden, scale=0.3), "h": f(2, hidden, 4 * hidden, scale=hidden**-0.5),
             "u": f(2, hidden, TAGS, scale=0.2), "b": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32),
         }
         self.p["x"][:, :, hidden : 2 * hidden] += 0.5
         self.hidden = hidden
 
+    def save(self, path: str) -> None:
+        """Keep the weights, so that a later job need not train; the driver's own file, which load reads back."""
+        np.savez(path, **self.p)
+
+    @classmethod
+    def load(cls, path: str) -> Network:
+        with np.load(path) as kept:
+            out = cls(hidden=kept["h"].shape[1])
+            out.p = {name: kept[name] for name in kept.files}
+        return out
+
     def run(self, ids: np.ndarray, keep: bool = False):
         """Tag scores (batch, time, tags) of class ids (batch, time); with keep also what the backward pass needs."""
         p, h, (n, steps) = self.p, self.hidden, ids.shape
         both = np.stack([ids, ids[:, ::-1]])
-        inputs = np.stack([p["x"][0][both[0]], p["x"][1][both[1]]])
+        inputs = np.stack([p["x"][k][both[k] % _UPPER] + (both[k] >= _UPPER)[..., None] * p["x"][k][_CASE] for k in range(2)])
         state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
         out = np.empty((2, n, steps, h), np.float32)
         saved = []
@@ -211,8 +246,9 @@ class Network:
             grad["h"] += np.swapaxes(old, 1, 2) @ dz
             d_state, d_cell = dz @ np.swapaxes(p["h"], 1, 2), d_cell * f
         for k in range(2):
-            one = np.zeros((n * steps, _CLASSES), np.float32)
-            one[np.arange(n * steps), both[k].ravel()] = 1
+            one = np.zeros((n * steps, _CLASSES + 1), np.float32)
+            one[np.arange(n * steps), both[k].ravel() % _UPPER] = 1
+            one[:, _CASE] = both[k].ravel() >= _UPPER
             grad["x"][k] = one.T @ d_inputs[k].reshape(-1, 4 * h)
         return loss / n, grad
 
@@ -317,10 +353,12 @@ def model_spans(texts: list[str], network: Network) -> list[list[tuple[int, int,
         some, cells, size = [], [], 0
         while at < len(where) and (not some or size + where[at][2] - where[at][1] <= 1 << 17):
             k, low, high = where[at]
-            ids = encode(texts[k][low:high])
-            some.append((k, low, len(ids)))
-            starts = list(range(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE))
-            cells += [(len(some) - 1, s, ids[s : s + WINDOW]) for s in starts]
+            some.append((k, low, high - low))
+            # Windows lie on one grid of the text, so that a character is scored alike however much is left out.
+            first, last = max(0, (low - WINDOW) // STRIDE + 1) * STRIDE, max(0, -(-(len(texts[k]) - WINDOW) // STRIDE)) * STRIDE
+            starts = range(first, min(last, (high - 1) // STRIDE * STRIDE) + 1, STRIDE)
+            ids = encode(texts[k][first : high + WINDOW])
+            cells += [(len(some) - 1, s - low, ids[s - first : s - first + WINDOW]) for s in starts]
             size += high - low
             at += 1
         total = [np.zeros((n, TAGS), np.float32) for _, _, n in some]
@@ -332,8 +370,9 @@ def model_spans(texts: list[str], network: Network) -> list[list[tuple[int, int,
                 wide[row, : len(ids)] = ids
             scores = network.run(wide)
             for row, (owner, s, ids) in enumerate(part):
-                total[owner][s : s + len(ids)] += scores[row, : len(ids)] * bell[: len(ids), None]
-                weight[owner][s : s + len(ids)] += bell[: len(ids), None]
+                a, b = max(0, -s), min(len(ids), some[owner][2] - s)  # what of the window lies in the stretch
+                total[owner][s + a : s + b] += scores[row, a:b] * bell[a:b, None]
+                weight[owner][s + a : s + b] += bell[a:b, None]
         tags = viterbi([a / b for a, b in zip(total, weight, strict=True)], network.p["t"])
         for (k, low, _), row in zip(some, tags, strict=True):
             begin = np.flatnonzero((row % 2 == 1) & (row > 0))
@@ -374,15 +413,15 @@ def planted(rng: np.random.Generator, kind: int, said: bool = False) -> str:
     num = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     if kind == 0:
         local = pick(word(), word(), word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{num(1)}", f"{word()}+{word()}")
-        if not rng.integers(4):
-            local = f"{word()}.{word()}_{word()}{num(2)}"
+        if not rng.integers(3):
+            local = pick(f"{word()}.{word()}_{word()}{num(2)}", f"{word()}.{word()}.{word()}", f"{pick('a', 'j', 'r')}.{word()}", f"{word()}.{word()}.{word()}_{word()}-{word()}")
         host, end = word() + pick("", num(1), "-" + word()), pick("com", "net", "org", "de", "io", "co", "info", "example.com")
         if said or not rng.integers(5):
             return local + pick(" at ", " at ", " AT ") + host + pick(" dot ", " dot ", " dot ", " DOT ", "[dot]", "(dot)") + end
-        at = pick("@", "@", "@", " @ ", " [at] ", "(at)", " (AT) ", "[AT]", "{at}", " {at} ", "<at>", " <AT> ", " (at) ")
+        at = pick("@", "@", " @ ", " @ ", " @ ", " [at] ", "(at)", " (AT) ", "[AT]", "{at}", "{at}", " {at} ", "<at>", "<at>", " <AT> ", " (at) ")
         return local + at + host + pick(".", ".", ".", " . ", "[.]", "(dot)", " [DOT] ", "{dot}", "<dot>") + end
     if kind == 1:
-        return pick(".", ".", ".", "[.]", " . ", "(.)", "[dot]", "(dot)", " dot ", ",", "{.}").join(str(rng.integers(0, 256)) for _ in range(4))
+        return pick(".", ".", ".", "[.]", " . ", "(.)", "[dot]", "(dot)", " dot ", "{dot}", "{.}").join(str(rng.integers(0, 256)) for _ in range(4))
     if kind == 2:
         digits, gap = _luhn_number(rng, int(pick(13, 15, 16, 16, 16, 19))), pick("", "", " ", "-", ".", "/", "  ", "_", "\u2013", " - ", "\u00a0", ",")
         sizes = pick((4, 4, 4, 4, 4), (4, 6, 5, 4), (4, 4, 4, 4, 4), (8, 8, 8))
@@ -422,7 +461,7 @@ def tagged(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
     return tags
 
 
-def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 8, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 300) -> Network:
+def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 8, batch: int = 64, width: int = WINDOW // 2 + 16, seed: int = 7, planted_each: int = 400) -> Network:
     """A network from labelled pieces plus planted values set into them; deterministic for the same pieces.
 
     A training row is `width` characters long: what a piece holds beyond them serves as no label and no context.
@@ -430,7 +469,7 @@ def train_on(pieces: list[tuple[str, list[tuple[int, int, int]]]], rounds: int =
     rng = np.random.default_rng(seed)
     contexts = [p for p, spans in pieces if not spans] or ["the order of and in"]
     rows = list(pieces)
-    for kind, said in [*((k, False) for k in range(len(KINDS))), *[(0, True)] * 6, *[(3, False)] * 3, (2, False), (1, False)]:
+    for kind, said in [*((k, False) for k in range(len(KINDS))), *[(0, True)] * 4, *[(0, False)] * 4, *[(3, False)] * 3, (2, False), (1, False)]:
         for _ in range(planted_each):
             value, around = planted(rng, kind, said), contexts[rng.integers(len(contexts))]
             cut = int(rng.integers(0, max(1, min(len(around), width - len(value) - 2))))

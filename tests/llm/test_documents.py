@@ -461,6 +461,46 @@ def test_disguised_addresses(network):
         assert np.mean([f == [v] for f, v in zip(found, values, strict=True)]) >= 0.8, (spelling, found)
 
 
+SPELLINGS = (
+    "{} at {} dot com", "{} AT {} DOT org", "{} At {} Dot com", "{} at {}[dot]net", "{} at {} (dot) com", "{}[at]{}.com", "{} [at] {}.org", "{} [AT] {} [DOT] com", "{}(at){}.net", "{} (at) {}.com",
+    "{} (at) {} (dot) de", "{}{{at}}{}.com", "{} {{at}} {}{{dot}}com", "{}<at>{}.com", "{} <at> {} <dot> org", "{} @ {}.com", "{}@{}[.]com", "{}@{} dot com", "{}@{}(dot)com", "{} @ {} . com", "{}\uff20{}.com",
+    "{} at {} dot co dot uk", "{}@{} [dot] info", "{} at {} DOT com",
+)
+
+
+@pytest.mark.parametrize("spelling", SPELLINGS)
+def test_every_spelling_of_an_address_is_found(network, spelling):
+    """48 shapes of each: names of four lengths with and without marks, hosts of three, four ends of the sentence."""
+    rng, hits = random.Random(spelling), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for n in (3, 5, 7, 9):
+        for h in (4, 6, 8):
+            for end in ("{} is mine", " write to {} today", "mail {}", "the list says {} and more words follow here."):
+                value = spelling.format(word(n) if rng.randrange(3) else f"{word(n)}.{word(3)}", word(h))
+                text = ("ordinary text that goes before it, " + end).format(value)
+                low = text.index(value)
+                hits.append((low, low + len(value), 0) in pii.all_spans([text], network)[0][1])
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
+def test_prose_with_at_and_lists_of_numbers_hold_no_value(network):
+    for text in ("Meet me at noon dot and bring the of the", "ratio 1,2,3,4 of the mix", "matrix 12, 34, 56, 78", "look at the dot", "of the dot the com", "version 10 20 30 40 50"):
+        assert pii.all_spans([text], network)[0][1] == [], text
+
+
+def test_values_in_digits_of_other_scripts(network):
+    for kind, value in ((2, "\uff14\uff15\uff13\uff19 \uff15\uff17\uff18\uff17 \uff16\uff13\uff16\uff12 \uff11\uff14\uff18\uff16"), (1, "\u0661\u0660.\u0662\u0660.\u0663\u0660.\u0664\u0660")):
+        text = f"some words and then {value} and more words"
+        assert [(text[a:b], k) for a, b, k in pii.all_spans([text], network)[0][1]] == [(value, kind)]
+    assert pii.ascii_form("a\uff20b\u0663") == "a@b3"
+
+
+def test_a_saved_network_finds_the_same(network, tmp_path):
+    network.save(str(tmp_path / "n.npz"))
+    again, text = pii.Network.load(str(tmp_path / "n.npz")), "write to jomiller at host dot com today"
+    assert pii.all_spans([text], again) == pii.all_spans([text], network) and again.p["x"].shape == network.p["x"].shape
+
+
 def test_skipped_stretches_hold_no_value(network):
     """Decoding only the stretches keeps what decoding whole texts keeps."""
     rng = random.Random(12)
@@ -479,7 +519,7 @@ def test_skipped_stretches_hold_no_value(network):
     finally:
         pii.stretches = cut
     a, b = ({(k, *x) for k, (_, spans) in enumerate(rows) for x in spans} for rows in (some, whole))
-    assert len(a & b) >= 0.95 * len(a | b) and len(a) > 20
+    assert a == b and len(a) > 20
     assert pii.stretches("x " * 500, 96) == [] and pii.stretches("look at it " * 50, 96) == [] and pii.stretches("y " * 200 + "7" + " y" * 200, 96) == [(304, 497)]
 
 
