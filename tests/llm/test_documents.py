@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,12 +219,37 @@ def test_edited_leaks_equal_plain_alignment(spark):
     want = {(k, i): s / (2 * len(item)) for k, words in rows for i, item in items.items() if (s := _local(item, words)[0]) >= len(item)}
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(docs, bench).collect()}
     assert got == want and want[0, 0] == 0.8 and (1, 5) in want
+    joined = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(docs, bench, most_broadcast=0).collect()}
+    assert joined == want
+
+
+def test_leaks_of_a_large_benchmark_by_join(spark, monkeypatch):
+    """Stretches over block bounds, rows that share an id, and pairs that nearly all items share, salted."""
+    rng = random.Random(8)
+    monkeypatch.setattr(decontam, "_BLOCK", 16)
+    items = {k: [w for j in range(20) for w in ("of", "the", f"i{k}w{j}")][: 30 + k % 30] for k in range(150)}
+    items[150] = [f"long{j}" for j in range(300)]
+    rows = [(k, [*["of", "the"] * rng.randrange(40), *items[k], *["the"] * rng.randrange(9)]) for k in range(0, 150, 7)]
+    rows += [(3, items[4]), (3, items[5]), (5000, items[150]), (5001, [w for k in range(20) for w in items[k]]), (5002, ["of", "the"] * 3000)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(4, " ".join(items[4]))], "item_id long, text string")
+    show = lambda df: {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in df.collect()}
+    small, large = (show(decontam.contaminated_pairs(docs, bench, most_broadcast=n)) for n in (1 << 21, 0))
+    assert {p: x[0] for p, x in small.items()} == {p: x[0] for p, x in large.items()}
+    exact = [p for p in small if small[p][0] == 1.0]
+    assert len(exact) >= 45 and all(small[p] == large[p] for p in exact)
+    words = decontam._items(iter([pd.DataFrame({"id": list(items), "text": [" ".join(w) for w in items.values()]})]), 4)
+    table = spark.createDataFrame([(int(r.item_id), r.words.tolist(), int(r.item_id)) for r in pd.concat(words).itertuples()], "item_id long, words array<long>, item long")
+    seeds = decontam.seed_table(table, 0.5)
+    index = decontam.Index([(r["item_id"], np.array(r["words"], dtype=np.int64).view(np.uint64)) for r in table.orderBy("item_id").collect()], 0.5)
+    assert sorted((r["gram"] & (1 << 64) - 1, r["item"]) for r in seeds.collect()) == sorted(zip(np.repeat(index.grams, index.counts).tolist(), index.owner.tolist(), strict=True))
 
 
 def test_awkward_leaks(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "same text of six plain words")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontam.contaminated_pairs(awkward, bench).collect()} == {5, 6}
-    assert decontam.contaminated_pairs(nothing, bench).count() == 0
+    for most in (1 << 21, 0):
+        assert {r["doc_id"] for r in decontam.contaminated_pairs(awkward, bench, most_broadcast=most).collect()} == {5, 6}
+        assert decontam.contaminated_pairs(nothing, bench, most_broadcast=most).count() == 0
 
 
 def test_best_fit_equals_scan():
