@@ -315,7 +315,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose id holds a benchmark item; all columns stay, rows with a null id too."""
-    bad = keep(contaminated_pairs(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__bad")).distinct(), "bench-bad")
+    """docs without the rows whose id holds a benchmark item; all columns of any names stay, rows with a null id too."""
+    gone = "__bad" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    bad = keep(contaminated_pairs(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(gone)).distinct(), "bench-bad")
     small = bad.count() * 16 <= 32 << 20
-    return docs.join(F.broadcast(bad) if small else bad, docs[doc_id].cast("long") == F.col("__bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, docs[doc_id].cast("long") == bad[gone], "left_anti")

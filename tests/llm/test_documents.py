@@ -250,6 +250,9 @@ def test_awkward_leaks(spark, awkward, nothing):
     for most in (1 << 21, 0):
         assert {r["doc_id"] for r in decontam.contaminated_pairs(awkward, bench, most_broadcast=most).collect()} == {5, 6}
         assert decontam.contaminated_pairs(nothing, bench, most_broadcast=most).count() == 0
+    clash = awkward.withColumn("__bad", F.lit(5)).withColumn("item_id", F.lit(1))
+    left = decontam.decontaminate(clash, bench)
+    assert left.columns == clash.columns and left.count() == awkward.filter("doc_id is null or doc_id not in (5, 6)").count()
 
 
 def test_best_fit_equals_scan():
