@@ -290,7 +290,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     verbatim copy, about 1 - 1.5 e with a share e of words replaced. start_word and end_word bound the best
     passage. Every pair of text and item that reaches `least` is found (an item of fewer than 2 / least words
     only if two of its words stand at most one apart): the pairs of words asked for follow from the score.
-    A benchmark of up to `most_broadcast` word pairs (about 27,000 items of 38 words) is broadcast, 50 MB at most;
+    A benchmark of up to `most_broadcast` word pairs (about 27,000 items of 38 words) is broadcast, under 80 MB of arrays;
     a larger one is joined as a table, with the same scores.
     Items of fewer than n words (two at least) and rows with a null id or text take no part; ids must cast to long;
     repeated ids give one row with the best score. Empty tables give an empty result; other columns are not read.
