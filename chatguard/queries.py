@@ -20,10 +20,8 @@ NOW = V.BASE + 5000.0
 
 
 def _msgs(spark: SparkSession, d: str) -> DataFrame:
-    """Messages over the events table. The view numbers rows by author, after which small tables lie in one partition:
-    they are dealt anew, since what follows costs Python time for each row and not for each byte."""
-    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return scan.view(spark, d, V.MSGS_EVENTS).repartition(most, "id")
+    """Messages over the events table."""
+    return scan.view(spark, d, V.MSGS_EVENTS)
 
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +435,7 @@ def folded_texts(spark, d):
 
 
 def _synth(spark, d) -> DataFrame:
-    return synth.synth_messages(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n")))
+    return synth.synth_messages(detect.spread(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"))))
 
 
 def synth_labels(spark, d):
