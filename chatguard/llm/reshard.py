@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatguard.llm.store import keep
+from chatguard.llm.store import free_name, keep
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -118,17 +118,18 @@ class Plan:
     changed: list[int]  # shards that gain or lose rows
 
 
-def _keys(docs: DataFrame, old_shard: Column, doc_id: str, text: str, blocks_per_shard: int) -> DataFrame:
-    """docs with __size, __crc, __old and __block."""
+def _keys(old_shard: Column, doc_id: str, text: str, blocks_per_shard: int) -> Column:
+    """struct of a row's size, crc, old shard and block."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"__size": (F.octet_length(raw) + 8).cast("long"), "__crc": F.crc32(raw).cast("long"), "__old": F.coalesce(old_shard, F.lit(0)).cast("int")})
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col("__crc"), F.col("__size")), 20)
-    return keyed.withColumn("__block", F.pmod(spread, F.lit(blocks_per_shard)).cast("int"))
+    size, crc = (F.octet_length(raw) + 8).cast("long"), F.crc32(raw).cast("long")
+    block = F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(doc_id), crc, size), 20), F.lit(blocks_per_shard)).cast("int")
+    return F.struct(size.alias("size"), crc.alias("crc"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"), block.alias("block"))
 
 
 def plan_reshard(docs: DataFrame, old_shard: Column, doc_id: str = "doc_id", text: str = "text", old_shards: int = 16, new_shards: int = 24, blocks_per_shard: int = 1024) -> tuple[DataFrame, Plan]:
     """(doc_id, size, text_crc32, old_shard, block of every row, the plan); see reshard."""
-    slim = _keys(docs, old_shard, doc_id, text, blocks_per_shard).select(F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), F.col("__block").alias("block"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), _keys(old_shard, doc_id, text, blocks_per_shard).alias("key"))
+    slim = slim.select("doc_id", "key.size", F.col("key.crc").alias("text_crc32"), F.col("key.old").alias("old_shard"), "key.block")
     slim = keep(slim, "reshard-slim")
     totals = slim.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # at most old_shards * blocks_per_shard rows
     place, least = place_blocks([(r["old_shard"], r["block"], r["size"]) for r in totals], old_shards, new_shards)
@@ -171,12 +172,6 @@ def assigned(slim: DataFrame, plan: Plan) -> DataFrame:
     return slim.select("doc_id", "size", "text_crc32", "old_shard", shard.alias("shard"), (first + F.row_number().over(in_block) - 1).alias("slot"))
 
 
-def _free(name: str, columns: list[str]) -> str:
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def rewrite_affected(docs: DataFrame, old_shard: Column, plan: Plan, path: str, doc_id: str = "doc_id", text: str = "text", file_bytes: int = 128 << 20, least_files: int = 8) -> tuple[str, str]:
     """Write the rows of every shard in plan.changed under path/new_shard=N; returns the names of the two columns added.
 
@@ -186,15 +181,17 @@ def rewrite_affected(docs: DataFrame, old_shard: Column, plan: Plan, path: str,
     not touched, a changed shard's folder is replaced as a whole when all its rows are written, and a shard left
     without rows becomes empty. Null and repeated ids are rows like any other.
     """
-    shard_name, slot_name = _free("new_shard", docs.columns), _free("new_slot", docs.columns)
-    keyed = _keys(docs, old_shard, doc_id, text, plan.blocks_per_shard)
-    shard, first = _placed(keyed, plan, "__old", "__block")
+    shard_name, slot_name = free_name("new_shard", docs.columns), free_name("new_slot", docs.columns)
+    key, at, file = (free_name(n, docs.columns) for n in ("__key", "__first", "__file"))
+    old, block = f"{key}.old", f"{key}.block"
+    keyed = docs.withColumn(key, _keys(old_shard, doc_id, text, plan.blocks_per_shard))
+    shard, first = _placed(keyed, plan, old, block)
     files = [max(least_files, -(-b // file_bytes)) for b in plan.shard_bytes]
-    keyed = keyed.withColumns({shard_name: shard, "__first": first}).filter(F.element_at(F.from_json(F.lit(json.dumps([k in plan.changed for k in range(plan.new_shards)])), "array<boolean>"), F.col(shard_name) + 1))
-    keyed = keyed.withColumn("__file", F.pmod(F.xxhash64("__old", "__block"), F.element_at(_long_array(files), F.col(shard_name) + 1)).cast("int"))
-    dealt = keyed.repartition(max(1, sum(files[k] for k in plan.changed if k < plan.new_shards)), shard_name, "__file")
-    in_block = Window.partitionBy(shard_name, "__file", "__old", "__block").orderBy(doc_id, "__size", "__crc")
-    rows = dealt.withColumn(slot_name, F.col("__first") + F.row_number().over(in_block) - 1).drop("__size", "__crc", "__old", "__block", "__first", "__file")
+    keyed = keyed.withColumns({shard_name: shard, at: first}).filter(F.element_at(F.from_json(F.lit(json.dumps([k in plan.changed for k in range(plan.new_shards)])), "array<boolean>"), F.col(shard_name) + 1))
+    keyed = keyed.withColumn(file, F.pmod(F.xxhash64(old, block), F.element_at(_long_array(files), F.col(shard_name) + 1)).cast("int"))
+    dealt = keyed.repartition(max(1, sum(files[k] for k in plan.changed if k < plan.new_shards)), shard_name, file)
+    in_block = Window.partitionBy(shard_name, file, old, block).orderBy(doc_id, f"{key}.size", f"{key}.crc")
+    rows = dealt.withColumn(slot_name, F.col(at) + F.row_number().over(in_block) - 1).drop(key, at, file)
     rows.sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     for left in plan.changed:
         if left >= plan.new_shards or not plan.shard_bytes[left]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatguard.llm.store import keep, released
+from chatguard.llm.store import free_name, keep, released
 
 # Letters of other scripts by the Latin letter they look like.
 _LOOKALIKES = {
@@ -260,5 +260,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from released(scores)(parts)
 
-    scored = docs.drop("toxic_score", "toxic_hits").withColumn("__said", judge(F.col(text)))
-    return scored.select(*[c for c in docs.columns if c not in ("toxic_score", "toxic_hits")], "__said.toxic_score", "__said.toxic_hits")
+    said, own = free_name("__said", docs.columns), [c for c in docs.columns if c.lower() not in ("toxic_score", "toxic_hits")]
+    scored = docs.withColumn(said, judge(F.col(text)))
+    return scored.select(*[F.col(f"`{c}`") for c in own], f"{said}.toxic_score", f"{said}.toxic_hits")

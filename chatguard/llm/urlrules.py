@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatguard.llm.store import free_name
+
 _TOKEN = "[^a-z0-9]+"
 _JUDGED = "rule string, verdict string"
 
@@ -140,5 +142,6 @@ def judge_urls(pages: DataFrame, url: str = "url", base_rules: list[PathRule] |
             out.append(said)
         return pd.DataFrame(out, columns=["rule", "verdict"])
 
-    judged = pages.withColumn("__said", verdicts(F.col(url), "url_host", "url_path", tokens_of(F.coalesce(F.col(url), F.lit("")))))
-    return judged.withColumns({"rule": F.col("__said.rule"), "verdict": F.col("__said.verdict")}).drop("__said")
+    said = free_name("__said", pages.columns)
+    judged = pages.withColumn(said, verdicts(F.col(url), "url_host", "url_path", tokens_of(F.coalesce(F.col(url), F.lit("")))))
+    return judged.withColumns({"rule": F.col(f"{said}.rule"), "verdict": F.col(f"{said}.verdict")}).drop(said)

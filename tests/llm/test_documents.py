@@ -370,6 +370,8 @@ def test_awkward_toxicity(spark, awkward, nothing):
     assert rows.count() == awkward.count() and all(0 <= r["toxic_score"] <= 1 for r in rows.collect())
     empty = toxicity.train(nothing, labels)
     assert toxicity.score_documents(nothing, empty).count() == 0
+    named = toxicity.score_documents(awkward.withColumns({"__said": F.lit("mine"), "a.b": F.lit(1), "Toxic_Hits": F.lit(-1)}), model)
+    assert {(r["__said"], r["a.b"]) for r in named.collect()} == {("mine", 1)} and named.columns[-2:] == ["toxic_score", "toxic_hits"] and "Toxic_Hits" not in named.columns
 
 
 def _plain_base(t: str) -> str:

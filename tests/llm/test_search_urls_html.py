@@ -87,6 +87,8 @@ def test_url_rules(spark):
     assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: (None, "allow"), 5: ("com/fr/", "allow"), 6: ("com/de/", "block"), 7: (None, "allow"), 8: (None, "allow"), 9: ("org/", "allow"), 10: (None, "block"), 11: (None, "block"), 12: ("com/de/", "block"), 13: (None, "allow"), 14: (None, "allow"), 15: (None, "allow"), 16: (None, "allow")}
     assert urlrules.judge_urls(frame).count() == len(urls)
     assert urlrules.judge_urls(frame.filter("1 = 0")).count() == 0
+    named = urlrules.judge_urls(frame.withColumn("__said", F.lit("mine"))).collect()
+    assert {r["__said"] for r in named} == {"mine"} and {r["page_id"]: (r["rule"], r["verdict"]) for r in named} == got
 
 
 def test_host_and_path_are_apart(spark):

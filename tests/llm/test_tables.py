@@ -117,7 +117,7 @@ def _plan(docs, old, **sizes):
 
 def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
     rows = [(k, f"text {k} " + "x" * (k % 40), k % 4, k) for k in range(400)] + [(None, "no id", 1, -1), (None, "no id", 1, -2), (7, "text 7 " + "x" * 7, 3, -3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, new_slot int, shard int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, new_slot int, shard int").withColumns({n: F.lit(n) for n in ("__key", "__file", "__first", "__size")})
     old = F.when(F.col("doc_id") < 60, 0).when(F.col("doc_id") < 160, 1).otherwise(2)
     path = str(tmp_path / "store")
     plan = reshard.Plan(8, 3, [0] * 8 + [1] * 8 + [2] * 8, [0] * 24, [1, 1, 1], 0, 0, [0, 1, 2])
@@ -130,6 +130,7 @@ def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
     assert (stored["new_shard"] == 99).sum() == 1000
     stored = stored[stored["new_shard"] != 99]
     assert sorted(stored["shard"]) == sorted(r[3] for r in rows)
+    assert all((stored[n] == n).all() for n in ("__key", "__file", "__first", "__size"))
     assert dict(zip(stored["shard"], stored["new_slot"], strict=True)) == {r[3]: r[2] for r in rows}
     key = lambda f, shard, slot: sorted((str(a), int(b), int(c)) for a, b, c in zip(f["doc_id"].astype("Int64"), f[shard], f[slot], strict=True))
     assert key(stored, "new_shard", "new_slot_") == key(want, "shard", "slot")
@@ -178,3 +179,5 @@ def test_pipeline_takes_awkward_rows(spark, awkward, nothing, tmp_path):
     for name, rows in (("documents", awkward), ("labels", awkward.select("doc_id", F.lit(None).cast("int").alias("toxic"))), ("benchmark", nothing.select(F.col("doc_id").alias("item_id"), "text"))):
         rows.write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, awkward.withColumns({"__words": F.lit("mine"), "__copy": F.lit("own")}), folder)
+    assert {(r["__words"], r["__copy"]) for r in mixed.collect()} == {("mine", "own")}
