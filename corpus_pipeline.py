@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatguard.llm import dartminhash, decontam, mixing, packing, toxicity
 from chatguard.llm.queries import VOCABULARY, held_out
-from chatguard.llm.store import keep
+from chatguard.llm.store import free_name, keep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its source's target asks for, 0 to 2 times."""
-    sized = docs.withColumn("__words", mixing.word_count("text"))
-    mixed = mixing.mix_to_targets(sized, size="__words")
+    words, copy = free_name("__words", docs.columns), free_name("__copy", docs.columns)
+    mixed = mixing.mix_to_targets(docs.withColumn(words, mixing.word_count("text")), size=words)
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return mixed.filter("mix_copies > 0").withColumn("__copy", copies).select(*docs.columns)
+    return mixed.filter("mix_copies > 0").withColumn(copy, copies).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
