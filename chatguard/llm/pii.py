@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, b, 0) for a, b in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                 out.append((m.start(), m.end(), 1))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -525,10 +525,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, counts by kind over all spans, digest of base spans, all spans, n_model.
+    """One row for each document: doc_id, counts by kind and digest of base spans, all spans, n_model of them the network's.
 
     Null texts count as empty. Spans are code-point offsets, end exclusive, listed by start, kind and end.
-    Without a network only base spans are found. Texts are read whole; repeated rows come out alike.
+    Without a network only base spans are found. Texts are read whole; repeated rows come out alike. Counts and digest
+    follow from the text alone, whatever the network finds; a kind's count over all spans is how often it is in `spans`.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -536,10 +537,13 @@ def find_personal_data(docs: DataFrame, network: Network | None, doc_id: str = "
             texts = [t or "" for t in frame.iloc[:, 1]]
             rows = []
             for key, (base, spans) in zip(frame.iloc[:, 0], all_spans(texts, network), strict=True):
-                counts = [sum(k == kind for _, _, k in spans) for kind in range(len(KINDS))]
+                counts = [sum(k == kind for _, _, k in base) for kind in range(len(KINDS))]
                 rows.append((key, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans) - len(base)))
             out = pd.DataFrame(rows, columns=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
             yield out.astype({"doc_id": frame.iloc[:, 0].dtype})
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    # A long goes as text: beside a null id pandas would make it a float, which rounds ids above 2^53.
+    sent = "string" if kind == "bigint" else kind
+    found = docs.select(F.col(doc_id).cast(sent).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {sent}, {SCHEMA}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -483,6 +483,18 @@ def test_personal_data(spark, awkward, nothing, network):
     assert pii.find_personal_data(nothing, None).count() == 0
 
 
+def test_personal_data_counts_base_spans_only(spark, network):
+    """Counts and digest follow from the text alone; what the network adds stands in spans and n_model."""
+    texts = ["mail jo.miller at host dot com or a@b.org and +49 30 1234567 today", "from 10[.]0[.]0[.]7 to 10.0.0.8", "0" * 5000 + "1.2.3.4", "", None]
+    rows = [(2**53 + 1 + 2 * k, t) for k, t in enumerate(texts)] + [(None, "x@y.z 1.2.3.4")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), network).collect()}
+    assert set(got) == {key for key, _ in rows}
+    counts = {key: tuple(got[key][f"n_{k}"] for k in pii.KINDS) for key, _ in rows}
+    assert list(counts.values()) == [(1, 0, 0, 1), (0, 1, 0, 0), (0, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (1, 1, 0, 0)]
+    assert [got[key]["n_model"] for key, _ in rows] == [1, 1, 0, 0, 0, 0]
+    assert got[2**53 + 1]["spans"].startswith("email:5:30,email:34:41") and "ip:0:5007" in got[2**53 + 5]["spans"]
+
+
 def test_disguised_addresses(network):
     names = ("jo.miller", "anna_k7", "r.stone", "peter.lindgren", "a.very.long_local-part.of.some.person")
     for spelling in ("{}(AT)host.com", "{} [AT] host.org", "{}{{at}}host.net", "{}<at>host.com", "{} at host dot com", "{} (at) host.com"):
