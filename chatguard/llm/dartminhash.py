@@ -8,11 +8,11 @@ with the probability of their weighted Jaccard similarity. Only the first k (ln
 rank axis is thrown at first, so the darts per document do not grow with its length.
 
 Exact copies collapse before anything is compared. Every member of a bucket is compared with its shortest one,
-which settles groups of near copies in about as many comparisons as members. Small buckets that then still hold
-several classes are compared in full. Large ones are dealt again by a second band: two texts of them are compared
-where they agree in two bands, as nearly all similar ones do and few others. Comparisons run in blocks of bounded
-size inside a task: intersections of all shingle sets of two blocks come from one matrix product, and only links
-between different classes leave the task.
+which settles groups of near copies in about as many comparisons as members. Buckets that then still hold several
+classes are compared in full, whatever their size, but for pairs within a large class. Comparisons run in blocks of
+bounded size inside a task: intersections of all shingle sets of two blocks come from one matrix product, and only
+links between different classes leave the task. A bucket of n members of which m stand outside its large classes
+takes about m n comparisons.
 """
 
 from __future__ import annotations
@@ -217,10 +217,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Classes are the components of weighted Jaccard similarity >= least over five-word shingles; texts of equal
     words are always one class, texts without words only if equal, null texts with each other. Ids are unique
     longs; a row with a null id gets a null class. Repeated rows fall in one class. A pair at similarity s shares a
-    bucket with probability 1 - (1 - p)^bands, p = s^rows (0.99997 at 0.8 with the defaults); where all its buckets
-    are large it must share two, with probability 1 - (1 - p)^bands - bands p (1 - p)^(bands - 1) (0.9995). What
-    is found is checked exactly. Only doc_id and text are read, whatever other columns are named. Empty tables
-    give none.
+    bucket with probability 1 - (1 - p)^bands, p = s^rows (0.99997 at 0.8 with the defaults); no bucket is too large for
+    all its pairs to be settled. What is found is checked exactly. Only doc_id and text are read, whatever other columns
+    are named. Empty tables give none.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = keep(docs.filter("id is not null").mapInPandas(released(lambda x: _signed(x, bands, rows)), "id long, words long, one long, two long, bands array<long>"), "dart-signatures")
@@ -236,7 +235,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     marked = members.join(labels.withColumnRenamed("id", "rep"), "rep")
     mixed = marked.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
     mixed = keep(marked.join(mixed, ["band", "key"], "left_semi").select("band", "key", "parts", "rep", "root", "words"), "dart-mixed")
-    labels = _joined(labels, keep(_cross_checked(docs, _dealt_again(mixed), keyed, least), "dart-cross"))
+    labels = _joined(labels, keep(_cross_checked(docs, _met(mixed), keyed, least), "dart-cross"))
     classes = copies.select("one", "two", "rep", "n").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("root", "rep").alias("class_id"))
     out = _by_key(signed.select("id", "one", "two"), classes, ["one", "two"], signed.count()).select("id", "class_id")
     return out.unionByName(docs.filter("id is null").select("id", F.lit(None).cast("long").alias("class_id")))
@@ -247,22 +246,35 @@ def _parts(n: F.Column, words: F.Column) -> F.Column:
     return F.greatest(F.ceil(n / _BLOCK_TEXTS), F.ceil(words / _BLOCK_WORDS)).cast("int")
 
 
-def _dealt_again(mixed: DataFrame) -> DataFrame:
-    """(band, key, parts, rep, root) with every bucket of more than one block dealt by a second band of its members.
+def _met(mixed: DataFrame) -> DataFrame:
+    """(pair, id, root): every member of a mixed bucket once for each block pair it is compared in.
 
-    Texts that share a bucket of one block meet there; all others that agree in two bands share two large buckets,
-    so the second band is one of the member's other large buckets. Buckets without two classes are left out.
+    A bucket of one block is one pair. A larger one is dealt into parts: a class of half a block or more has parts of its
+    own, all other members share the rest. Every two parts meet, but not two of one class, which have nothing to join;
+    a meeting compares all that is in both parts. So any two members of different classes meet at least once.
     """
-    small = mixed.filter("parts = 1").select("band", "key", "parts", "rep", "root")
+    small = mixed.filter("parts = 1").select(F.xxhash64("band", "key").alias("pair"), F.col("rep").alias("id"), "root")
     large = mixed.filter("parts > 1")
-    own = large.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("held"), F.any_value("root").alias("root"), F.any_value("words").alias("words"))  # at most one a band
-    place = F.explode(F.sequence(F.lit(0), F.size("held") - 2))
-    first = own.filter("size(held) > 1").select("rep", "root", "words", "held", place.alias("i"))
-    pair = first.select("rep", "root", "words", F.get("held", F.col("i")).alias("x"), F.explode(F.slice("held", F.col("i") + 2, F.size("held"))).alias("y"))
-    pair = pair.select((F.col("x.band") * 1000 + F.col("y.band")).alias("band"), F.xxhash64("x.band", "x.key", "y.band", "y.key").alias("key"), "rep", "root", "words")
-    sizes = pair.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("words").alias("total")).filter("low <> high")
-    again = pair.join(sizes.select("band", "key", _parts(F.col("n"), F.col("total")).alias("parts")), ["band", "key"])
-    return keep(small.unionByName(again.select("band", "key", "parts", "rep", "root")), "dart-dealt")
+    sizes = large.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("words").alias("total"))
+    sizes = sizes.withColumn("own", (2 * F.col("n") >= _BLOCK_TEXTS) | (2 * F.col("total") >= _BLOCK_WORDS))
+    rest = [F.coalesce(F.sum(F.when(~F.col("own"), F.col(c))), F.lit(0)) for c in ("n", "total")]
+    alone = F.collect_list(F.when(F.col("own"), F.struct("root", _parts(F.col("n"), F.col("total")).alias("parts"))))
+    deals = sizes.groupBy("band", "key").agg(alone.alias("alone"), _parts(*rest).alias("rest"))
+
+    def parts(own: bool, root: F.Column, count: F.Column) -> F.Column:
+        numbers = F.filter(F.sequence(F.lit(0), count), lambda i: i < count)
+        return F.transform(numbers, lambda i: F.struct(F.lit(own).alias("own"), root.alias("root"), i.alias("part")))
+
+    every = F.concat(F.flatten(F.transform("alone", lambda x: parts(True, x["root"], x["parts"]))), parts(False, F.lit(0).cast("long"), F.col("rest")))
+    deals = keep(deals.withColumn("every", every), "dart-deals")
+    mine = F.get(F.filter("alone", lambda x: x["root"] == F.col("root")), F.lit(0))
+    count = F.coalesce(F.col("mine.parts"), F.col("rest"))
+    spot = F.struct(F.col("mine").isNotNull().alias("own"), F.coalesce("mine.root", F.lit(0)).alias("root"), F.pmod(F.xxhash64("rep"), count).cast("int").alias("part"))
+    # Large buckets are few, and their parts are about as many as their members by a block.
+    placed = large.join(_small(deals, deals.count(), row_bytes=256), ["band", "key"]).withColumn("mine", mine).withColumn("spot", spot)
+    others = F.filter("every", lambda p: (p != F.col("spot")) & ~(p["own"] & (p["own"] == F.col("spot.own")) & (p["root"] == F.col("spot.root"))))
+    meets = F.transform(others, lambda p: F.xxhash64("band", "key", F.least(p, F.col("spot")), F.greatest(p, F.col("spot"))))
+    return keep(small.unionByName(placed.select(F.explode(meets).alias("pair"), F.col("rep").alias("id"), "root")), "dart-met")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,15 +360,9 @@ def _crossed(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFr
         yield done()
 
 
-def _cross_checked(docs: DataFrame, mixed: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between different classes of the same bucket, from all pairs of its members.
-
-    A bucket is dealt into parts of bounded texts and words; every two parts meet in one task, which holds them only.
-    """
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("band", "key", F.least(p, own), F.greatest(p, own)))
-    sent = mixed.select(F.explode(meets).alias("pair"), F.col("rep").alias("id"), "root")
-    wanted = keep(mixed.select(F.col("rep").alias("id")).distinct(), "dart-wanted")
+def _cross_checked(docs: DataFrame, sent: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between different classes of the same bucket; a block pair is compared in one task, which holds it only."""
+    wanted = keep(sent.select("id").distinct(), "dart-wanted")
     rows = wanted.count()
     texts = docs.join(_small(wanted, rows), "id", "left_semi").join(_small(keyed.join(wanted.withColumnRenamed("id", "rep"), "rep", "left_semi"), rows, row_bytes=40).withColumnRenamed("rep", "id"), "id")
     dealt = sent.join(texts, "id").select("pair", "id", "root", "text", "one", "two").repartition("pair").sortWithinPartitions("pair")

@@ -149,6 +149,24 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 51)) and 0 not in got and got[300] == 100 and all(got[k] == 1000 for k in range(1001, 1100))
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Whatever the blocks, classes are those of all pairs that share a bucket, one bucket being enough."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(k, " ".join(f"x{k}_{i}" if i in changed else w for i, w in enumerate(base + [f"t{k % 7}"] * (k % 7 + 3)))) for k in range(150) for changed in [set(rng.sample(range(120), rng.choice([0, 1, 2, 3, 4])))]]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for bands, rows, block in ((1, 1, 64), (2, 2, 6)):
+        signed = pd.concat(D._signed(iter([pd.DataFrame(texts)]), bands, rows))
+        sets, root = [D.multiset(t) for _, t in texts], list(range(len(texts)))
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if (signed["bands"].iloc[i] == signed["bands"].iloc[j]).any() and D.weighted_jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+        monkeypatch.setattr(D, "_BLOCK_TEXTS", block)
+        got = {r["id"]: r["class_id"] for r in D.near_duplicate_classes(frame, bands=bands, rows=rows).collect()}
+        assert [got[k] for k, _ in texts] == root, (bands, block)
+
+
 def test_awkward_near_duplicates(awkward, nothing):
     got = [(r["id"], r["class_id"]) for r in D.near_duplicate_classes(awkward).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (6, 5), (None, None), (8, 8), (9, 9)], key=str)
