@@ -106,6 +106,21 @@ def test_large_mixed_buckets_are_dealt_again(spark, monkeypatch):
     assert got == _classes(texts) and 10 < len(set(got.values())) < 60
 
 
+def test_pipeline_stage_settles_pairs_of_a_large_bucket(spark, monkeypatch):
+    """Two similar texts that share one bucket, too large for a block and mixed, are one class in the pipeline too."""
+    import corpus_pipeline
+
+    body = [f"w{i}" for i in range(100)]
+    shared = lambda k: " ".join([*body[: 100 - k], *[f"x{k}_{i}" for i in range(k)]])
+    rows = [(k, shared(20 * k)) for k in range(4)] + [(10, shared(60) + " end"), (11, shared(40) + " end")]
+    classes, signed = D.near_duplicate_classes, D._signed
+    monkeypatch.setattr(D, "_BLOCK_TEXTS", 2)
+    monkeypatch.setattr(D, "_signed", lambda frames, bands, n: (f.assign(bands=[np.array([7])] * len(f)) for f in signed(frames, bands, n)))
+    monkeypatch.setattr(D, "near_duplicate_classes", lambda *a, **o: classes(*a, bands=1, rows=1, **o))
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("share,least", [(0.01, 0.95), (0.02, 0.9), (0.03, 0.9)])
 def test_near_copy_recall(spark, share, least):
     """Copies with a share of their words replaced: all that reach the similarity are found; at 1 % nearly all do, at 2 % two thirds, at 3 % few."""
