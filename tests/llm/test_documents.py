@@ -182,6 +182,24 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
         assert [got[k] for k, _ in texts] == root, (bands, block)
 
 
+def test_every_two_classes_of_a_bucket_meet(spark, monkeypatch):
+    """Members of different classes share a block pair in buckets of every make-up; none is left out, whatever its bucket's size."""
+    monkeypatch.setattr(D, "_BLOCK_TEXTS", 8)
+    shapes = {1: [2, 1], 2: [20, 1], 3: [20, 1, 1, 2], 4: [9, 12], 5: [1] * 40, 6: [30, 9, *[3] * 9], 7: [7, 1, 1]}  # sizes of the classes
+    rows, n = [], 0
+    for key, classes in shapes.items():
+        for size in classes:
+            rows += [(key, key, -(-sum(classes) // 8), n + k, n, 10) for k in range(size)]
+            n += size
+    mixed = spark.createDataFrame(rows, "band int, key long, parts int, rep long, root long, words long")
+    held = {}
+    for r in D._met(mixed).collect():
+        held.setdefault(r["id"], set()).add(r["pair"])
+    assert set(held) == {r[3] for r in rows}
+    for a, b in itertools.combinations(rows, 2):
+        assert a[1] != b[1] or a[4] == b[4] or held[a[3]] & held[b[3]], (a, b)
+
+
 def test_awkward_near_duplicates(awkward, nothing):
     got = [(r["id"], r["class_id"]) for r in D.near_duplicate_classes(awkward).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (6, 5), (None, None), (8, 8), (9, 9)], key=str)
