@@ -141,64 +141,24 @@ def stream_cursors(done: DataFrame) -> DataFrame:
     return E.channel_cursors(done)
 
 
-class FirstRequest(StatefulProcessor):
-    """The earliest request of one ticket, held as a running minimum until the ticket's time is over.
-
-    Requests that come ahead of their ticket wait until it comes or, by the watermark, cannot come any more.
-    """
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.created = handle.getValueState("created", "created long")
-        self.best = handle.getValueState("best", "asked long, actor string")
-        self.ahead = handle.getListState("ahead", "asked long, actor string")
-
-    def _offer(self, created: int, request: tuple[int, str]) -> None:
-        if created <= request[0] <= created + self.ttl and (not self.best.exists() or request < tuple(self.best.get())):
-            self.best.update(request)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for opened, at, actor in zip(frame["opened"].tolist(), frame["micros"].tolist(), frame["actor_id"].tolist(), strict=True):
-                if key[0] is None:
-                    continue
-                if opened and not self.created.exists():
-                    self.created.update((at,))
-                    self.handle.registerTimer((at + self.ttl) // 1000 + 1)
-                    for request in self.ahead.get() if self.ahead.exists() else ():
-                        self._offer(at, (request[0], request[1]))
-                    self.ahead.clear()
-                elif not opened and self.created.exists():
-                    self._offer(self.created.get()[0], (at, actor))
-                elif not opened:
-                    self.ahead.appendValue((at, actor))
-                    self.handle.registerTimer(at // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.created.exists():
-            left = [r for r in self.ahead.get() if r[0] // 1000 + 1 > now] if self.ahead.exists() else []
-            self.ahead.put([tuple(r) for r in left]) if left else self.ahead.clear()
-        elif now >= (self.created.get()[0] + self.ttl) // 1000 + 1:
-            if self.best.exists():
-                asked, actor = self.best.get()
-                yield pd.DataFrame({"ticket_id": [key[0]], "actor_id": [actor], "asked": pd.to_datetime([asked], unit="us", utc=True), "created_at": [self.created.get()[0] // 1_000_000]})
-            self.created.clear()
-            self.best.clear()
-
-
 def stream_restores(tickets: DataFrame, requests: DataFrame, ttl: int = 900, late: str = "1 minute") -> DataFrame:
     """The earliest request of each ticket within ttl seconds of it; equal times go by actor.
 
     tickets: id, created timestamp. requests: ticket_id, actor_id, asked timestamp (managers only). Rows may come in
-    any order within `late`; a ticket's row leaves when the watermark has passed its ttl. A request with a null
-    ticket_id yields nothing; it moves the watermark on.
+    any order within `late`. Windows are two ttl long and begin every ttl, so the one in whose first half a ticket was
+    created holds all requests that count; its row leaves when the watermark has passed that window. State is a row for each
+    ticket and window, kept by the JVM: the ticket's time and the requests so far. A ticket that comes again counts
+    from its earliest time in the window. A row with a null ticket yields nothing; it moves the watermark on.
     """
     t = tickets.select(F.col("id").cast("string").alias("ticket_id"), F.lit(None).cast("string").alias("actor_id"), F.col("created").alias("event_time"), F.lit(True).alias("opened"))
     r = requests.select(F.col("ticket_id").cast("string").alias("ticket_id"), "actor_id", F.col("asked").alias("event_time"), F.lit(False).alias("opened"))
-    both = t.unionByName(r).withColumn("micros", F.unix_micros("event_time")).withWatermark("event_time", late)
-    return timed_state(both).groupBy("ticket_id").transformWithStateInPandas(FirstRequest(ttl), "ticket_id string, actor_id string, asked timestamp, created_at long", "append", "eventTime")
+    half = max(ttl, 1)
+    rows = timed_state(t.unionByName(r)).withWatermark("event_time", late).withColumn("window", F.window("event_time", f"{2 * half} seconds", f"{half} seconds"))
+    at = F.unix_micros("event_time")
+    rows = rows.filter(~F.col("opened") | (at < F.unix_micros("window.start") + half * 1_000_000))
+    # Nulls are left out here, not before: a filter by ticket would also keep them from the watermark.
+    known = lambda what, value: F.when(F.col("ticket_id").isNotNull() & what, value)
+    held = rows.groupBy("window", "ticket_id").agg(F.min(known(F.col("opened"), at)).alias("created"), F.collect_set(known(~F.col("opened"), F.struct(at.alias("asked"), "actor_id"))).alias("requests"))
+    best = F.array_min(F.filter("requests", lambda q: (q["asked"] >= F.col("created")) & (q["asked"] <= F.col("created") + ttl * 1_000_000)))
+    out = held.withColumn("best", best).filter("best is not null")
+    return out.select("ticket_id", F.col("best.actor_id").alias("actor_id"), F.timestamp_micros("best.asked").alias("asked"), F.unix_seconds(F.timestamp_micros("created")).alias("created_at"))

@@ -252,6 +252,51 @@ def test_the_earliest_request_counts_whatever_comes_first(spark, tmp_path):
     assert _restored(spark, tmp_path, steps) == {"t1": ("first", 250, 100), "t3": ("ahead", 350, 50), "t4": ("a", 300, 300)}
 
 
+def _streamed_restores(spark, tmp_path, tickets, requests):
+    """All rows at once, then a request without a ticket ten days later; must end within a minute."""
+    t_schema, r_schema = "id string, created timestamp", "ticket_id string, actor_id string, asked timestamp"
+    tickets.write.parquet(str(tmp_path / "t"))
+    beat = spark.range(1).select(F.lit(None).cast("string").alias("ticket_id"), F.lit("beat").alias("actor_id"), F.timestamp_seconds(F.lit(1725864000)).alias("asked"))
+    requests.unionByName(beat).write.parquet(str(tmp_path / "r"))
+    out = streaming.stream_restores(spark.readStream.schema(t_schema).parquet(str(tmp_path / "t")), spark.readStream.schema(r_schema).parquet(str(tmp_path / "r")), late="10 minutes")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(60)
+    finally:
+        query.stop()
+    return spark.read.schema(out.schema).parquet(str(tmp_path / "o"))
+
+
+def test_fifty_thousand_tickets_take_no_step_each(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(50_000)
+    base = F.lit(1725000000) + n
+    asked = rows.withColumn("again", F.explode(F.array(F.lit(40), F.lit(0))))
+    got = _streamed_restores(
+        spark, tmp_path, rows.select(n.cast("string").alias("id"), F.timestamp_seconds(base).alias("created")),
+        asked.select(n.cast("string").alias("ticket_id"), F.concat(F.lit("u"), F.col("again").cast("string")).alias("actor_id"), F.timestamp_seconds(base + n * 37 % 1800 + F.col("again")).alias("asked")),
+    )
+    want = {(str(k), "u0", 1725000000 + k + k * 37 % 1800, 1725000000 + k) for k in range(50_000) if k * 37 % 1800 <= 900}
+    rows = [tuple(r) for r in got.select("ticket_id", "actor_id", F.unix_timestamp("asked"), "created_at").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_restores_equal_a_plain_loop_at_every_edge(spark, tmp_path):
+    """Times a microsecond apart, on both ends of a ticket's time and of quarter hours, rows that come twice, null tickets."""
+    rng, base, edge = random.Random(4), 1725000000 * 1_000_000, 900 * 1_000_000
+    tickets = [(f"t{k}", base + rng.randrange(4) * edge + rng.choice([0, 1, -1, rng.randrange(edge)])) for k in range(60)]
+    requests = [(i, rng.choice("abc"), c + rng.choice([0, 1, -1, edge, edge + 1, edge - 1, rng.randrange(2 * edge)])) for i, c in tickets for _ in range(rng.randrange(4))]
+    want = {}
+    for i, c in tickets:
+        if mine := [(at, who) for j, who, at in requests if j == i and c <= at <= c + edge]:
+            want[i] = (min(mine)[1], min(mine)[0], c // 1_000_000)
+    stamp = lambda c: F.timestamp_micros(c).alias(c)
+    t = spark.createDataFrame([*tickets, *tickets[:9], (None, base + 5)], "id string, created long").select("id", stamp("created"))
+    r = spark.createDataFrame([*requests, *requests[:9], (None, "a", base + 6)], "ticket_id string, actor_id string, asked long").select("ticket_id", "actor_id", stamp("asked"))
+    rows = _streamed_restores(spark, tmp_path, t, r).select("ticket_id", "actor_id", F.unix_micros("asked"), "created_at").collect()
+    assert len(rows) == len(want) > 20 and {r[0]: tuple(r)[1:] for r in rows} == want
+
+
 def test_audit_files(spark, tmp_path):
     path = str(tmp_path / "audit")
     assert sources.read_audit(spark, path).count() == 0
