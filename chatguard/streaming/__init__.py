@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,12 +32,16 @@ def stream_intake(events: DataFrame, memory: str = "1 day") -> DataFrame:
     return timed.withWatermark("event_time", memory).dropDuplicatesWithinWatermark(["event_key"])
 
 
+_PIECE = 512  # rows of an author that are written to state and read from it at once
+
+
 class OrderedLane(StatefulProcessor):
     """One author's lane: rows wait in state until the watermark has passed them and are then stepped through in order.
 
-    State: the lane's entries, the waiting rows by slot of `slot` seconds, and the slots in use. A timer stands for the
-    earliest slot; when it fires all slots that are over are read one by one. Python holds one batch of arriving rows
-    or one author's rows of one slot, whatever a trigger brings.
+    State: the lane's entries, the waiting rows in pieces of up to 512 that are sorted by time, and the first time of each piece.
+    A timer stands for the end of the earliest row's `slot` seconds; when it fires, pieces are read in order of their first
+    times, and a row is stepped through once no piece left to read begins before it. Python holds one batch of arriving
+    rows, or those pieces of one author that overlap in time, which is about one of each batch.
     """
 
     def __init__(self, wanted: set[str], age: float = MAX_AGE, slot: int = 10):
@@ -45,39 +50,61 @@ class OrderedLane(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>")
-        self.slots = handle.getValueState("slots", "slots array<long>")
-        self.waiting = handle.getMapState("waiting", "slot long", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>, removes array<boolean>")
-
-    def _over(self, slot: int) -> int:
-        return (slot + 1) * self.slot * 1000
+        self.pieces = handle.getValueState("pieces", "firsts array<double>, numbers array<long>")
+        self.waiting = handle.getMapState("waiting", "piece long", "ids array<string>, ats array<double>, folded array<string>, groups array<array<string>>, disguised array<int>, removes array<boolean>")
+
+    def _over(self, at: float) -> int:
+        return (int(at // self.slot) + 1) * self.slot * 1000
+
+    def _known(self) -> list[tuple[float, int]]:
+        known = self.pieces.get()
+        return list(zip(*known, strict=True)) if known else []
+
+    def _put(self, rows: list[tuple], pieces: list[tuple[float, int]]) -> None:
+        """Rows in order of time into state, their pieces into the list."""
+        number = max((n for _, n in pieces), default=-1) + 1
+        for k in range(0, len(rows), _PIECE):
+            some = rows[k : k + _PIECE]
+            ats, *rest = zip(*some, strict=True)
+            self.waiting.updateValue((number,), (list(rest[0]), list(ats), *map(list, rest[1:])))
+            pieces.append((ats[0], number))
+            number += 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.slots.get()
-        slots = set(known[0]) if known else set()
-        before = len(slots)
+        pieces = self._known()
+        before, first = len(pieces), min(pieces, default=None)
         for frame in rows:
-            for slot, some in frame[frame["id"].notna()].groupby(frame["at"] // self.slot):
-                slot = int(slot)
-                new = (some["id"].tolist(), some["at"].astype(float).tolist(), some["folded"].tolist(), [list(g) for g in some["groups"]], [int(d) for d in some["disguised"]], [bool(r) for r in some["removes"]])
-                if slot in slots:
-                    new = tuple([*old, *more] for old, more in zip(self.waiting.getValue((slot,)), new, strict=True))
-                slots.add(slot)
-                self.waiting.updateValue((slot,), new)
-        if len(slots) > before:
-            self.slots.update((sorted(slots),))
-            self.handle.registerTimer(self._over(min(slots)))
+            some = frame[frame["id"].notna() & frame["at"].notna()].sort_values(["at", "id"], kind="stable")
+            groups, disguised, removes = [list(g) for g in some["groups"]], [int(d) for d in some["disguised"]], [bool(r) for r in some["removes"]]
+            self._put(list(zip(some["at"].astype(float).tolist(), some["id"].tolist(), some["folded"].tolist(), groups, disguised, removes, strict=True)), pieces)
+        if len(pieces) > before:
+            self.pieces.update(tuple(map(list, zip(*pieces, strict=True))))
+            if first is None or min(pieces) < first:
+                self.handle.registerTimer(self._over(min(pieces)[0]))
         return iter(())
 
+    def _due(self, until: float, pieces: list[tuple[float, int]]) -> Iterator[list[tuple]]:
+        """Waiting rows before a time, in order; leaves in pieces what waits on."""
+        left, ahead = sorted(pieces), []
+        while left and left[0][0] < until:
+            number = left.pop(0)[1]
+            ids, ats, *rest = self.waiting.getValue((number,))
+            self.waiting.removeKey((number,))
+            ahead = sorted([*ahead, *zip(ats, ids, *rest, strict=True)], key=lambda r: r[:2])
+            upto = bisect_left(ahead, min(until, left[0][0] if left else until), key=lambda r: r[0])
+            yield ahead[:upto]
+            ahead = ahead[upto:]
+        pieces[:] = left
+        self._put(ahead, pieces)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, known, held = timerValues.getCurrentWatermarkInMs(), self.slots.get(), self.held.get()
-        slots = list(known[0]) if known else []
+        now, pieces, held = timerValues.getCurrentWatermarkInMs(), self._known(), self.held.get()
         lane = Lane([(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*held, strict=True)] if held else [])
         out, columns = [], [c.split()[0] for c in LANE.split(", ")]
-        due = [s for s in slots if self._over(s) <= now]
-        for s in due:
-            rows = sorted(zip(*self.waiting.getValue((s,)), strict=True), key=lambda r: (r[1], r[0]))
-            self.waiting.removeKey((s,))
-            for i, at, folded, groups, disguised, removes in rows:
+        until = float(now // (self.slot * 1000) * self.slot)
+        due = bool(pieces) and min(pieces)[0] < until
+        for rows in self._due(until, pieces):
+            for at, i, folded, groups, disguised, removes in rows:
                 entity, ids, confidence = lane.step(i, at, Part(folded, list(groups), disguised), removes, lambda e, _: e in self.wanted)
                 out.append((i, key[0], key[1], at, removes or entity is not None, entity, confidence if entity else None, ids))
             if len(out) >= 4096:
@@ -86,10 +113,9 @@ class OrderedLane(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=columns)
         if due:
-            left = slots[len(due) :]
-            self.slots.update((left,)) if left else self.slots.clear()
-            if left:
-                self.handle.registerTimer(self._over(left[0]))
+            self.pieces.update(tuple(map(list, zip(*pieces, strict=True)))) if pieces else self.pieces.clear()
+            if pieces:
+                self.handle.registerTimer(self._over(min(pieces)[0]))
         # Rows to come are no older than the watermark less a slot.
         kept = [e for e in lane.entries if now / 1000 - self.slot - e[1] <= self.age]
         if kept:

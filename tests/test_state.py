@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import plain
 import pytest
 from compare import DATA
@@ -185,6 +186,95 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"] and dropped == 1
 
 
+class _State:
+    """State of one key in memory, its value under None; counts what would go between Python and the JVM."""
+
+    def __init__(self, calls):
+        self.held, self.calls = {}, calls
+
+    def get(self):
+        return self.getValue(None)
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.held.get(key)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.held[key] = value
+
+    def clear(self):
+        self.held.clear()
+
+    def removeKey(self, key):
+        self.calls.append("remove")
+        del self.held[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+        self.getValueState = self.getMapState = lambda *_: _State(self.calls)
+        self.registerTimer = self.timers.add
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def _stepped(rows, frames, marks):
+    """Rows of the lane and calls of state: frames a trigger, with the watermark at marks afterwards."""
+    lane, handle, out = streaming.OrderedLane({"CREDIT_CARD", "CA_SIN"}), _Handle(), []
+    lane.init(handle)
+    columns = ["id", "at", "folded", "groups", "disguised", "removes"]
+    frame = lambda some: pd.DataFrame([(k, t, p.folded, p.groups, p.disguised, r) for k, _, _, t, x, r in some for p in [part_of(x)]], columns=columns)
+    for came, mark in zip(frames, marks, strict=True):
+        list(lane.handleInputRows(("A", "x"), iter([frame([rows[k] for k in some]) for some in came]), _Now(0)))
+        while due := [t for t in handle.timers if t <= mark * 1000]:
+            handle.timers.discard(min(due))
+            now = len(out)
+            out += [r for f in lane.handleExpiredTimer(("A", "x"), _Now(int(mark * 1000)), _Now(min(due))) for r in f.to_dict("records")]
+            assert all(r["at"] < mark for r in out[now:])
+    return out, handle.calls
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_lane_state_goes_in_pieces_and_not_by_slot(shuffled):
+    """8,000 rows of one author in 8 frames take few steps between Python and the JVM, in whatever order they come."""
+    rng = random.Random(7)
+    rows = [(f"m{k:05d}", "A", "x", 1725000000.0 + 7 * k, rng.choice(WORDS), rng.random() < 0.05) for k in range(8000)]
+    order = list(range(8000))
+    rng.shuffle(order) if shuffled else None
+    out, calls = _stepped(rows, [[order[k : k + 1000] for k in range(0, 8000, 1000)]], [1725100000.0])
+    want = _naive(rows)
+    assert [r["id"] for r in out] == [r[0] for r in rows]
+    assert all((r["removed"], tuple(r["related"])) == want[r["id"], "A", "x", r["at"]] for r in out)
+    assert len(calls) < 100
+
+
+def test_lane_of_many_triggers_with_rows_out_of_order():
+    """Rows come up to 600 s late while the watermark follows: each leaves once, in order, and as the plain loop has it."""
+    rng = random.Random(8)
+    at, rows = 1725000000.0, []
+    for k in range(3000):
+        at += rng.choice([0.0, 0.5, 5.0, 20.0, 60.0, 200.0])
+        rows.append((f"m{k:05d}", "A", "x", at, rng.choice(WORDS), rng.random() < 0.05))
+    order = sorted(range(3000), key=lambda k: rows[k][3] + rng.random() * 600)
+    frames = [[order[k : k + 60], order[k + 60 : k + 70]] for k in range(0, 2940, 70)] + [[order[2940:]]]
+    marks, top = [], 0.0
+    for came in frames:
+        top = max(top, *(rows[k][3] for some in came for k in some))
+        marks.append(top - 600)
+    out, _ = _stepped(rows, [*frames, []], [*marks, top + 1000])
+    want = _naive(rows)
+    assert [(r["at"], r["id"]) for r in out] == sorted((r[3], r[0]) for r in rows)
+    assert all((r["removed"], tuple(r["related"])) == want[r["id"], "A", "x", r["at"]] for r in out)
+
+
 def test_shared_folder_is_asked_for(spark):
     class Cluster:
         conf = type("C", (), {"get": staticmethod(lambda *_: None)})
