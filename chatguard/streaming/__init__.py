@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ class OrderedLane(StatefulProcessor):
 
     State: the lane's entries, the waiting rows in pieces of up to 512 that are sorted by time, and the first time of each piece.
     A timer stands for the end of the earliest row's `slot` seconds; when it fires, pieces are read in order of their first
-    times, and a row is stepped through once no piece left to read begins before it. Python holds one batch of arriving
+    times and merged with those before. Python holds one batch of arriving
     rows, or those pieces of one author that overlap in time, which is about one of each batch.
     """
 
@@ -74,9 +75,9 @@ class OrderedLane(StatefulProcessor):
         pieces = self._known()
         before, first = len(pieces), min(pieces, default=None)
         for frame in rows:
-            some = frame[frame["id"].notna() & frame["at"].notna()].sort_values(["at", "id"], kind="stable")
-            groups, disguised, removes = [list(g) for g in some["groups"]], [int(d) for d in some["disguised"]], [bool(r) for r in some["removes"]]
-            self._put(list(zip(some["at"].astype(float).tolist(), some["id"].tolist(), some["folded"].tolist(), groups, disguised, removes, strict=True)), pieces)
+            some = frame[frame["id"].notna() & frame["at"].notna()]
+            columns = (some["at"].astype(float), some["id"], some["folded"], map(list, some["groups"]), map(int, some["disguised"]), map(bool, some["removes"]))
+            self._put(sorted(zip(*columns, strict=True), key=lambda r: r[:2]), pieces)
         if len(pieces) > before:
             self.pieces.update(tuple(map(list, zip(*pieces, strict=True))))
             if first is None or min(pieces) < first:
@@ -84,34 +85,40 @@ class OrderedLane(StatefulProcessor):
         return iter(())
 
     def _due(self, until: float, pieces: list[tuple[float, int]]) -> Iterator[list[tuple]]:
-        """Waiting rows before a time, in order; leaves in pieces what waits on."""
-        left, ahead = sorted(pieces), []
-        while left and left[0][0] < until:
-            number = left.pop(0)[1]
-            ids, ats, *rest = self.waiting.getValue((number,))
-            self.waiting.removeKey((number,))
-            ahead = sorted([*ahead, *zip(ats, ids, *rest, strict=True)], key=lambda r: r[:2])
-            upto = bisect_left(ahead, min(until, left[0][0] if left else until), key=lambda r: r[0])
-            yield ahead[:upto]
-            ahead = ahead[upto:]
-        pieces[:] = left
-        self._put(ahead, pieces)
+        """Waiting rows before a time, merged in order; leaves in pieces what waits on."""
+        heap = [((first, ""), number, None, 0) for first, number in pieces]
+        heapify(heap)
+        while heap and heap[0][0][0] < until:
+            _, number, rows, k = heappop(heap)
+            if rows is None:
+                ids, ats, *rest = self.waiting.getValue((number,))
+                self.waiting.removeKey((number,))
+                rows = list(zip(ats, ids, *rest, strict=True))
+            else:
+                stop = min((until,), heap[0][0]) if heap else (until,)
+                upto = max(k + 1, bisect_left(rows, stop, k, key=lambda r: r[:2]))
+                yield rows[k:upto]
+                k = upto
+            if k < len(rows):
+                heappush(heap, (rows[k][:2], number, rows, k))
+        pieces[:] = [(key[0], number) for key, number, rows, _ in heap if rows is None]
+        self._put(sorted((r for _, _, rows, k in heap if rows is not None for r in rows[k:]), key=lambda r: r[:2]), pieces)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, pieces, held = timerValues.getCurrentWatermarkInMs(), self._known(), self.held.get()
         lane = Lane([(i, a, Part(f, list(g), d)) for i, a, f, g, d in zip(*held, strict=True)] if held else [])
-        out, columns = [], [c.split()[0] for c in LANE.split(", ")]
         until = float(now // (self.slot * 1000) * self.slot)
-        due = bool(pieces) and min(pieces)[0] < until
+        due, out, columns = bool(pieces) and min(pieces)[0] < until, [], [c.split()[0] for c in LANE.split(", ")]
+        frame = lambda: pd.DataFrame(dict(zip(columns, zip(*out, strict=True), strict=True)))
         for rows in self._due(until, pieces):
             for at, i, folded, groups, disguised, removes in rows:
-                entity, ids, confidence = lane.step(i, at, Part(folded, list(groups), disguised), removes, lambda e, _: e in self.wanted)
+                entity, ids, confidence = lane.step(i, at, Part(folded, groups, disguised), removes, lambda e, _: e in self.wanted)
                 out.append((i, key[0], key[1], at, removes or entity is not None, entity, confidence if entity else None, ids))
             if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=columns)
+                yield frame()
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield frame()
         if due:
             self.pieces.update(tuple(map(list, zip(*pieces, strict=True)))) if pieces else self.pieces.clear()
             if pieces:
